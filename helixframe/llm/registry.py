@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from helixframe.llm import line_dedup, simhash
+from helixframe.llm import line_dedup, pii, simhash
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }

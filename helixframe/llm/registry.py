@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from helixframe.llm import line_dedup, pii, simhash
+from helixframe.llm import line_dedup, packing, pii, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_packing": packing.op2_packing,
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }

@@ -58,12 +58,13 @@ def drop_common_lines(df: DataFrame, *, text: str = "text", id_col: str = "doc_i
     """``df`` with ``text`` rebuilt, and the columns ``n_lines`` and ``n_dropped``; columns of those names are replaced.
 
     The hashes are written once; counting them combines before the shuffle, so
-    a line of every document weighs no more than another. Only hashes over the
-    threshold come back to the rows they are from, and each row's own such
+    a line of every document weighs no more than another. The counts that reach
+    the threshold are written too: the join then stands right on two exchanges,
+    and a very common line's partition can be split. Only these hashes come back to the rows they are from, and each row's own such
     hashes form its list: no list is longer than a text.
     """
     seen = cut(line_hashes(df, text=text, id_col=id_col, min_chars=min_chars), "lines")
-    common = seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
+    common = cut(seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2"), "common")
     own = seen.join(common, ["h1", "h2"]).groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("hs"))
     own = own.select(F.col("k").alias("__k"), F.col("hs").alias("__hs"))
     keep = without(df, "n_lines", "n_dropped")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from helixframe.llm import ctph, decontaminate, line_dedup, packing, pii, quality, simhash
+from helixframe.llm import ctph, decontaminate, line_dedup, packing, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_packing": packing.op2_packing,
     "op4_fingerprints": ctph.op4_fingerprints,
+    "op5_secrets": secrets.op5_secrets,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import ctph, decontaminate, line_dedup, packing, pii, quality, secrets, simhash
+from helixframe.llm import ctph, decontaminate, line_dedup, packing, pii, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,8 +13,10 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_fixity": warc.op10_fixity,
 }
 
 ORACLES = {
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op10_fixity": warc.OP10_SQL,
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,3 +46,11 @@ def without(df: DataFrame, *names: str) -> list[str]:
     """Columns of ``df`` that no output column of the operator replaces."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def once_in_worker(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
+    kept = sys.modules.setdefault("_helixframe_worker", types.ModuleType("_helixframe_worker"))
+    if key not in vars(kept):
+        vars(kept)[key] = make()
+    return vars(kept)[key]

@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table, texts
+from helixframe.llm.common import once_in_worker, table, texts
 from helixframe.plans.scratch import cut
 
 #: Words whose ids a worker keeps; beyond it starts anew, so memory is bounded.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
+#: How the tokenizer cuts a word: contractions, runs of letters, single digits, runs of other marks.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with these aren't split at white space first: separators that only Python takes as white space, special tokens, letters whose case or normal form depends on their neighbours.
 WHOLE = re.compile("[\x1c-\x1fɐ-\U0010ffff]|<\\|")
 
@@ -39,25 +41,55 @@ PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 
 def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Ids of texts by a tokenizer whose tokens never span white space.
+    """Ids of texts by a tokenizer of words with end marks, whose tokens never span white space.
 
-    A word's ids are worked out once and kept; a text that could depend on more
-    than its words goes to the tokenizer whole.
+    A word's ids are worked out once and kept. New words are cut where the
+    tokenizer would cut them, and the parts that are new as well are encoded in
+    one go, set apart by spaces: each part's ids end with the first one that is
+    marked as a word's end. A text that could depend on more than its words
+    goes to the tokenizer whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    cut_word = regex.compile(CUTS).findall
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    known: dict[str, bytes] = {}
+    part_ids: dict[str, bytes] = {}
+
+    def parts_of(w: str) -> list[str]:
+        if w.isalpha():
+            return [w]
+        if w[-1] in ",." and w[:-1].isalpha():
+            return [w[:-1], w[-1]]
+        return cut_word(w)
+
+    def learn(words: list[str]) -> None:
+        cut_up = [parts_of(w) for w in words]
+        new = list({p for parts in cut_up for p in parts if p not in part_ids and p not in known})
+        if new:
+            ids = np.array(tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            stop = np.flatnonzero(ends[ids]) + 1
+            if len(stop) != len(new):
+                raise ValueError("the tokenizer's words don't end where its white space is")
+            raw = ids.tobytes()
+            stop = (4 * stop).tolist()
+            part_ids.update(zip(new, map(raw.__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
+        for w, parts in zip(words, cut_up, strict=True):
+            known[w] = b"".join([part_ids.get(p) or known[p] for p in parts])
 
     def encode(batch: list[str]) -> list[np.ndarray]:
         split = [None if WHOLE.search(t) else t.lower().split() for t in batch]
-        if len(known) > KNOWN_WORDS:
+        if len(known) + len(part_ids) > KNOWN_WORDS:
             known.clear()
-        new = list({w for words in split if words for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            part_ids.clear()
+        new = {w for words in split if words for w in words if w not in known}
+        if new:
+            learn(list(new))
         out = []
         for t, words in zip(batch, split, strict=True):
             if words is None:
@@ -125,7 +157,7 @@ def _runner(size: int, windows: int, min_cut: int, round_no: int, last: bool, ke
             count += 1
 
         packer = Packer(size, windows, min_cut, emit)
-        encode = word_encoder(path) if path else None
+        encode = once_in_worker(f"encoder {path}", lambda: word_encoder(path)) if path else None
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*done, strict=True))

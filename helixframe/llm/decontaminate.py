@@ -19,6 +19,7 @@ give repeated results. Null item ids are left out of the list of ids.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 SHARD = 1 << 20
 #: Every such text position's place in the suffix order is kept.
 SAMPLED = 16
+#: Occurrences that are located at a time.
+LOCATED = 1 << 16
 
 
 def words(text: bytes) -> list[bytes]:
@@ -150,13 +153,15 @@ def _hits(texts: list[bytes], ids: dict[bytes, int], windows: dict[int, tuple[np
             back = [(k, first - s) for k, (_, runs) in enumerate(held) for s, first, _ in runs]
             for n, (patterns, owners) in windows.items():
                 lo, hi = index.search(patterns)
-                for p in np.flatnonzero(hi > lo).tolist():
-                    for a in range(int(lo[p]), int(hi[p]), 1 << 16):
-                        at = index.locate(np.arange(a, min(a + (1 << 16), int(hi[p]))))
-                        for x, run in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True):
-                            k, shift = back[run]
-                            spans[k].append((x + shift, x + shift + n))
-                            items[k].update(owners[p])
+                before = np.concatenate(([0], np.cumsum(hi - lo)))
+                for a in range(0, int(before[-1]), LOCATED):
+                    flat = np.arange(a, min(a + LOCATED, int(before[-1])))
+                    p = np.searchsorted(before, flat, "right") - 1
+                    at = index.locate(lo[p] + flat - before[p])
+                    for q, x, run in zip(p.tolist(), at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True):
+                        k, shift = back[run]
+                        spans[k].append((x + shift, x + shift + n))
+                        items[k].update(owners[q])
         for (n, _), s, i in zip(held, spans, items, strict=True):
             merged: list[list[int]] = []
             for a, b in sorted(s):
@@ -170,7 +175,7 @@ def _hits(texts: list[bytes], ids: dict[bytes, int], windows: dict[int, tuple[np
         w = words(t)
         runs = []
         if least:
-            row = np.fromiter((get(x, 0) for x in w), np.int32, len(w))
+            row = np.fromiter(map(get, w, repeat(0)), np.int32, len(w))
             edge = np.flatnonzero(np.diff(np.concatenate(([False], row > 0, [False])).astype(np.int8)))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 if b - a >= least:

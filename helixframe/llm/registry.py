@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from helixframe.llm import ctph, decontaminate, line_dedup, packing, pii, quality, secrets, simhash, warc
+from helixframe.llm import ctph, decontaminate, line_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_packing": packing.op2_packing,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_fingerprints": ctph.op4_fingerprints,
     "op5_secrets": secrets.op5_secrets,
     "op6_decontaminate": decontaminate.op6_decontaminate,

@@ -17,7 +17,6 @@ runs again makes the same.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,15 +30,23 @@ from helixframe.llm.common import once_in_worker, table, texts
 from helixframe.plans.scratch import cut
 
 #: Words whose ids a worker keeps; beyond it starts anew, so memory is bounded.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 600_000
 #: How the tokenizer cuts a word: contractions, runs of letters, single digits, runs of other marks.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts with these aren't split at white space first: separators that only Python takes as white space, special tokens, letters whose case or normal form depends on their neighbours.
-WHOLE = re.compile("[\x1c-\x1fɐ-\U0010ffff]|<\\|")
+#: Texts with these aren't split at white space first: separators that only Python takes as white space, and special tokens.
+WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Below it no letter's case or normal form depends on its neighbours.
+ALONE = 0x250
 
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _by_words(text: str) -> bool:
+    if any(x in text for x in WHOLE):
+        return False
+    return text.isascii() or int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) < ALONE
+
+
 def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Ids of texts by a tokenizer of words with end marks, whose tokens never span white space.
 
@@ -51,15 +58,17 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    # Parts come in their normal form and set apart by spaces: no more is left to do before the merges.
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     cut_word = regex.compile(CUTS).findall
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
     known: dict[str, bytes] = {}
-    part_ids: dict[str, bytes] = {}
 
     def parts_of(w: str) -> list[str]:
         if w.isalpha():
@@ -70,24 +79,25 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
 
     def learn(words: list[str]) -> None:
         cut_up = [parts_of(w) for w in words]
-        new = list({p for parts in cut_up for p in parts if p not in part_ids and p not in known})
+        new = list({p for parts in cut_up for p in parts if p not in known})
         if new:
-            ids = np.array(tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            lines = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in plain.encode_batch_fast(lines, add_special_tokens=False)])
             stop = np.flatnonzero(ends[ids]) + 1
             if len(stop) != len(new):
                 raise ValueError("the tokenizer's words don't end where its white space is")
             raw = ids.tobytes()
             stop = (4 * stop).tolist()
-            part_ids.update(zip(new, map(raw.__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
+            known.update(zip(new, map(raw.__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
         for w, parts in zip(words, cut_up, strict=True):
-            known[w] = b"".join([part_ids.get(p) or known[p] for p in parts])
+            if len(parts) > 1:
+                known[w] = b"".join([known[p] for p in parts])
 
     def encode(batch: list[str]) -> list[np.ndarray]:
-        split = [None if WHOLE.search(t) else t.lower().split() for t in batch]
-        if len(known) + len(part_ids) > KNOWN_WORDS:
+        split = [t.lower().split() if _by_words(t) else None for t in batch]
+        if len(known) > KNOWN_WORDS:
             known.clear()
-            part_ids.clear()
-        new = {w for words in split if words for w in words if w not in known}
+        new = set().union(*filter(None, split)).difference(known)
         if new:
             learn(list(new))
         out = []
@@ -172,6 +182,8 @@ def _runner(size: int, windows: int, min_cut: int, round_no: int, last: bool, ke
                     part = b.slice(at, 256)
                     for doc, ids in zip(part.column(0).to_pylist(), encode(texts(part.column(1))), strict=True):
                         packer.add(doc, 0, np.append(ids, np.uint32(end_id)), len(ids) + 1)
+                    if done:
+                        yield flush()
             else:
                 for doc, start, tokens, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     packer.add(doc, start, np.frombuffer(raw, "<u4"), tokens)

@@ -154,7 +154,7 @@ def with_next(df: DataFrame, f: Callable[[list[tuple]], pa.RecordBatch], schema:
     edge = source.withColumn("low", low).join(F.broadcast(at), "low").groupBy("b").agg(F.min(F.struct(low.alias("low"), F.col("text"))).alias("x"))
     rows = source.select(bucket("id").alias("b"), F.lit(0).alias("edge"), "id", "text")
     edges = edge.select("b", F.lit(1).alias("edge"), F.lit(None).cast("long").alias("id"), F.col("x.text").alias("text"))
-    dealt = rows.unionByName(edges).repartition(len(order), "b").sortWithinPartitions("b", "edge", F.asc_nulls_first("id"), "text")
+    dealt = rows.unionByName(edges).repartitionById(buckets, "b").sortWithinPartitions("b", "edge", F.asc_nulls_first("id"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

@@ -31,13 +31,24 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``f`` on each Arrow batch; batches hold 64 MB at most, so memory doesn't grow with a partition."""
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB where the session has the default of 64: a task holds a batch several times over."""
+    if spark.conf.get(BATCH_BYTES, None) in ("64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(BATCH_BYTES, "8388608b")
+
+
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 1024) -> DataFrame:
+    """``f`` on up to ``rows`` rows of an Arrow batch; batches are bounded in bytes, so memory doesn't grow with a partition."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            for i in range(0, b.num_rows, rows):
+                yield f(b.slice(i, rows))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

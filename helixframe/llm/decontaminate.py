@@ -18,6 +18,7 @@ give repeated results. Null item ids are left out of the list of ids.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -189,15 +190,30 @@ def _hits(texts: list[bytes], ids: dict[bytes, int], windows: dict[int, tuple[np
     yield from search()
 
 
+_ANY_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def cut_out(text: bytes, spans: list[list[int]] | list[tuple[int, int]]) -> bytes:
+    """The text without the words of its spans."""
+    places = [m.span() for m in _ANY_WORD.finditer(text)]
+    kept, end = [], 0
+    for a, z in spans:
+        kept.append(text[end : places[a][0]])
+        end = places[z - 1][1]
+    return b"".join([*kept, text[end:]])
+
+
 def _blocks(benchmark: DataFrame, item_text: str, block_chars: int) -> int:
     return max(1, -(-(benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0) // block_chars))
 
 
-def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_chars: int = 8_000_000) -> DataFrame:
+def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_chars: int = 8_000_000, remove: bool = False) -> DataFrame:
     """``df`` with n_words, spans (array of [start, end) in words, merged) and items (sorted ids as strings); columns of those names are replaced.
 
     With a benchmark of more than one block the texts are read once for each,
-    and spans from different blocks merged within each row.
+    and spans from different blocks merged within each row. ``remove`` cuts the
+    spans' words out of the texts, from each span's first word to its last, in
+    the last of these passes; clean texts stay as they are.
     """
     names = ("n_words", "spans", "items")
     keep = without(df, *names)
@@ -213,11 +229,12 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", i
         ids, windows = item_windows(items, size)
         shared = df.sparkSession.sparkContext.broadcast((ids, windows, [r.i for r in rows]))
 
-        def mark(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+        def mark(b: pa.RecordBatch, shared=shared, last=remove and k == blocks - 1) -> pa.RecordBatch:
             ids, windows, names_of = shared.value
             n, spans, items = [], [], []
+            whole, left = utf8(b.column(at)), b.column(at).to_pylist() if last else []
             before = b.column(len(keep) + 1).to_pylist(), b.column(len(keep) + 2).to_pylist()
-            for (count, found, own), old, seen in zip(_hits(utf8(b.column(at)), ids, windows), *before, strict=True):
+            for (count, found, own), old, seen in zip(_hits(whole, ids, windows), *before, strict=True):
                 if old:
                     both: list[list[int]] = []
                     for a, z in sorted([*found, *((x["start"], x["end"]) for x in old)]):
@@ -226,42 +243,20 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", i
                         else:
                             both.append([a, z])
                     found = both
+                if last and found:
+                    left[len(n)] = cut_out(whole[len(n)], found).decode()
                 n.append(count)
                 spans.append([{"start": a, "end": z} for a, z in found])
                 items.append(sorted({names_of[i] for i in own if names_of[i] is not None} | set(seen)))
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
-            columns = [*b.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])]
+            columns = [pa.array(left, pa.string()) if last and i == at else c for i, c in enumerate(b.columns[: len(keep)])]
+            columns += [pa.array(n, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])]
             return pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
-        out = by_batch(out, mark, schema)
+        out = by_batch(out, mark, schema, rows=8192)
     return out
 
 
-def remove_spans(df: DataFrame, *, text: str = "text") -> DataFrame:
-    """``df`` with the words of ``spans`` cut out of its texts, from each span's first word to its last; clean texts stay as they are."""
-    import re
-
-    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-    columns = df.columns
-    at, spans = columns.index(text), columns.index("spans")
-
-    def cut_out(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t, found in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(spans).to_pylist(), strict=True):
-            if found and t is not None:
-                places = [m.span() for m in word.finditer(t)]
-                kept, end = [], 0
-                for s in found:
-                    kept.append(t[end : places[s["start"]][0]])
-                    end = places[s["end"] - 1][1]
-                t = b"".join([*kept, t[end:]])
-            out.append(t)
-        new = pa.array(out, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], columns)
-
-    return by_batch(df, cut_out, df.schema)
-
-
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of the whole benchmark in all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import once_in_worker, table, texts
+from helixframe.llm.common import once_in_worker, small_batches, table, texts
 from helixframe.plans.scratch import cut
 
 #: Words whose ids a worker keeps; beyond it starts anew, so memory is bounded.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 450_000
 #: How the tokenizer cuts a word: contractions, runs of letters, single digits, runs of other marks.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with these aren't split at white space first: separators that only Python takes as white space, and special tokens.
@@ -60,15 +60,16 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     import regex
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tokenizer, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain = Tokenizer.from_file(path)
+    vocabulary = plain.get_vocab()
     # Parts come in their normal form and set apart by spaces: no more is left to do before the merges.
     plain.normalizer = normalizers.Sequence([])
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     cut_word = regex.compile(CUTS).findall
-    vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
     known: dict[str, bytes] = {}
+    whole: list[Tokenizer] = []
 
     def parts_of(w: str) -> list[str]:
         if w.isalpha():
@@ -103,7 +104,9 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         out = []
         for t, words in zip(batch, split, strict=True):
             if words is None:
-                out.append(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
+                if not whole:
+                    whole.append(Tokenizer.from_file(path))
+                out.append(np.array(whole[0].encode(t, add_special_tokens=False).ids, "<u4"))
             else:
                 out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4"))
         return out
@@ -208,6 +211,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, text: str = "text", id_col: str
     pieces and the leftovers are read from them. ``tokenizer_path`` must exist
     on the workers.
     """
+    small_batches(df.sparkSession)
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     first = cut(source.mapInArrow(_runner(size, windows, min_cut, 0, False, keep_ids, tokenizer_path, end_id), PIECES), "packed")
     left = first.filter("sequence_id IS NULL").select("doc", "start", "doc_tokens", "ids")

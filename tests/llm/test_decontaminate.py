@@ -43,8 +43,10 @@ def test_brute_force(spark):
 
 def test_remove(spark):
     docs = spark.createDataFrame([(1, "Ab, short  ITEM! z"), (2, None), (3, "clean.")], "doc_id long, text string")
-    found = D.find_benchmark(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
-    assert [r.text for r in D.remove_spans(found).orderBy("doc_id").collect()] == ["Ab, ! z", None, "clean."]
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for chars in (8_000_000, 30):
+        found = D.find_benchmark(docs, bench, block_chars=chars, remove=True)
+        assert [r.text for r in found.orderBy("doc_id").collect()] == ["Ab, ! z", None, "clean."]
 
 
 def test_index_against_scan():

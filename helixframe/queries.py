@@ -318,6 +318,29 @@ arm AS MATERIALIZED (SELECT node_id, cov, length(seq) AS len, CASE WHEN ins < 0
 pairs AS MATERIALIZED (SELECT u.node_id AS u, v.node_id AS v, v.cov * length(v.s) AS extra FROM arm u JOIN arm v USING (major, minor, ms, ns)
  WHERE (floor(u.cov * 100) > floor(v.cov * 100) OR (floor(u.cov * 100) = floor(v.cov * 100) AND u.node_id < v.node_id))
  AND levenshtein(u.s, CASE WHEN u.l = v.l OR u.l = reverse({FLIP('v.l')}) THEN v.s ELSE {RC('v.s')} END) <= floor(greatest(length(u.s), length(v.s)) * {CFG.bubble_edit_rate}))""",
+    ),
+    "repeats": (
+        "contig",
+        f"""cext AS MATERIALIZED (SELECT e.*, substr(CASE WHEN e.dst_dir = 'f' THEN n.seq ELSE {RC('n.seq')} END, e.ovl + 1) AS ext, n.cov FROM ce e JOIN cdeg d USING (src, src_dir) JOIN cn n ON n.node_id = e.dst WHERE d.deg > 1),
+uext AS MATERIALIZED (SELECT * FROM cext WHERE src IN (SELECT node_id FROM cn WHERE length(seq) * {CFG.kmer_cov}::DOUBLE / {READ_LEN - K + 1} - (length(seq) * cov / {READ_LEN}) * ln(2) > {repeats.UNIQUE})),
+clen AS (SELECT src, src_dir, CASE WHEN max(i) = 2 OR max(cov) FILTER (i = 1) + max(cov) FILTER (i = 2) > 2 THEN max(len) FILTER (i = 2) ELSE max(len) FILTER (i = 3) END AS n FROM (SELECT src, src_dir, cov, length(ext) AS len, row_number() OVER (PARTITION BY src, src_dir ORDER BY length(ext) DESC, dst, dst_dir, ovl) AS i FROM uext) GROUP BY ALL),
+vote AS (SELECT src, src_dir, n, pos, b, sum(w) AS s FROM (SELECT r.src, r.src_dir, l.n, i AS pos, substr(r.ext, i, 1) AS b, floor(r.cov)::BIGINT AS w FROM uext r JOIN clen l USING (src, src_dir), range(1, least(l.n, length(r.ext)) + 1) p(i)) GROUP BY ALL),
+won AS (SELECT src, src_dir, n, pos, max(b) FILTER (s / total > {CFG.majority}) AS base FROM (SELECT *, sum(s) OVER (PARTITION BY src, src_dir, pos) AS total FROM vote) GROUP BY ALL),
+ok AS (SELECT src, src_dir FROM won GROUP BY ALL HAVING count(*) FILTER (base IS NULL) / any_value(n) <= {CFG.pwm_n}),
+shared AS (SELECT src, src_dir, max(ovl) AS top, max(ovl) FILTER (c > 1) AS shared FROM (SELECT src, src_dir, ovl, count(*) AS c FROM cext GROUP BY ALL) GROUP BY ALL),
+rm AS MATERIALIZED (SELECT x.src, x.src_dir, x.dst, x.dst_dir, x.ovl FROM uext x JOIN ok USING (src, src_dir) JOIN won v ON v.src = x.src AND v.src_dir = x.src_dir AND v.base IS NOT NULL AND v.pos <= length(x.ext) AND substr(x.ext, v.pos, 1) <> v.base
+ UNION SELECT {EDGES} FROM cext WHERE src = dst UNION SELECT x.src, x.src_dir, x.dst, x.dst_dir, x.ovl FROM cext x JOIN shared s USING (src, src_dir) WHERE s.shared < s.top AND x.ovl <= s.shared)""",
+    ),
+    "supported": (
+        "edges",
+        f"""held AS (SELECT node_id, count(*) AS held FROM nr GROUP BY node_id),
+uq AS (SELECT n.node_id, length(n.seq) AS slen FROM nodes n LEFT JOIN held h USING (node_id) WHERE length(n.seq) * {MATES['reads']}::DOUBLE / {MATES['ctg_sum']} - coalesce(h.held, 0) * ln(2) > {repeats.UNIQUE}),
+x AS MATERIALIZED (SELECT e.*, u.slen, length(n.seq) AS len FROM edges e JOIN uq u ON u.node_id = e.src JOIN nodes n ON n.node_id = e.dst),
+across AS (SELECT x.*, y.dst AS d2, y.len AS len2, y.ovl AS ovl2 FROM x LEFT JOIN x y ON y.src = x.src AND y.src_dir <> x.src_dir),
+sup AS MATERIALIZED (SELECT c.src, c.src_dir, c.dst, c.dst_dir, c.ovl, greatest(coalesce(max(m1.mates), 0), coalesce(max(m2.mates), 0)) AS support, coalesce(bool_or(c.dst <> c.d2 AND c.len + c.len2 + c.slen - c.ovl - c.ovl2 < {CFG.insert_len + 2 * CFG.insert_sd}), false) AS near
+ FROM across c LEFT JOIN mates m1 ON m1.a = c.src AND m1.b = c.dst LEFT JOIN mates m2 ON m2.a = c.dst AND m2.b = c.d2 GROUP BY ALL),
+side AS (SELECT src, src_dir FROM sup GROUP BY ALL HAVING count(*) > 1 AND max(support) > 0 AND NOT bool_or(near)),
+mm AS MATERIALIZED (SELECT {EDGES} FROM sup JOIN side USING (src, src_dir) QUALIFY row_number() OVER (PARTITION BY src, src_dir ORDER BY support DESC, dst, dst_dir, ovl) > 1)""",
     ),
     "mates": ("reads", f"nr AS MATERIALIZED (SELECT min(read_id) OVER (PARTITION BY least(seq, {RC('seq')})) AS node_id, read_id FROM reads), mates AS MATERIALIZED (SELECT x.node_id AS a, y.node_id AS b, count(*) AS mates FROM nr x JOIN nr y ON y.read_id = CASE WHEN x.read_id LIKE '%\\_1' ESCAPE '\\' THEN left(x.read_id, -1) || '2' ELSE left(x.read_id, -1) || '1' END GROUP BY ALL)"),
     "halves": (
@@ -352,8 +375,8 @@ left_ AS (SELECT * FROM cn WHERE node_id NOT IN (SELECT node_id FROM gone)), le
 SELECT n.node_id, n.seq, round(n.cov, 6) AS cov, (SELECT count(*) FROM le WHERE src = n.node_id AND src_dir = 'f') AS fdeg, (SELECT count(*) FROM le WHERE src = n.node_id AND src_dir = 'r') AS rdeg FROM left_ n""")
 
 
-def _without(marks: str) -> str:
-    return f"SELECT {EDGES} FROM edges EXCEPT (SELECT {EDGES} FROM {marks} UNION SELECT dst, {FLIP('dst_dir')}, src, {FLIP('src_dir')}, ovl FROM {marks})"
+def _without(marks: str, edges: str = "edges") -> str:
+    return f"SELECT {EDGES} FROM {edges} EXCEPT (SELECT {EDGES} FROM {marks} UNION SELECT dst, {FLIP('dst_dir')}, src, {FLIP('src_dir')}, ovl FROM {marks})"
 
 
 _PACKED = "length(seq) // 2 + length(seq) % 2"
@@ -397,6 +420,8 @@ SELECT e.node_id AS read_id, e.pos::INT AS pos, CASE WHEN strand = 'f' THEN won
     "bubble_pairs": _sql("pairs", "SELECT u, v, round(extra, 6) AS extra FROM pairs"),
     "remove_low_coverage": _left_over("lowcov"),
     "a_statistic": _sql("contig", f"SELECT node_id, round(a, 6) AS a_stat, a > 10 AS is_unique FROM (SELECT node_id, length(seq) * 30.0::DOUBLE / {READ_LEN - K + 1} - (length(seq) * cov / {READ_LEN}) * ln(2) AS a FROM cn)"),
+    "cut_repeat_boundary": _sql("repeats", _without("rm", "ce")),
+    "mate_edge_support": _sql("mates+supported", _without("mm")),
     "mate_counts": _sql("mates", "SELECT * FROM mates"),
     "graph_stats": _sql("halves", "SELECT cutoff, cnt, s AS sum, round(s / cnt, 2) AS mean, n50, n50cnt, round(d / s, 2) AS deg, round(c / s, 2) AS cov FROM half JOIN n50 USING (cutoff)"),
     "n50": _sql("halves", "SELECT * FROM n50"),

@@ -263,3 +263,29 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(docs, table(spark, sf_dir, "benchmark"), size=10)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+OP6_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, {_WORDS_SQL} AS ws FROM documents
+), b AS (
+  SELECT item_id, {_WORDS_SQL} AS ws FROM benchmark
+), item AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS w
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0), range(1, len(ws) - n + 2) t(i)
+), win AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS w
+  FROM d, (SELECT DISTINCT n FROM item), range(1, len(ws) - n + 2) t(i)
+), hit AS MATERIALIZED (
+  SELECT win.doc_id, win.i, win.n, item.item_id FROM win JOIN item USING (n, w)
+), place AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, range(i, i + n) t(p) GROUP BY doc_id
+), own AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items,
+       sha256(coalesce(o.xs, '')) AS items_sha256, p.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN place p USING (doc_id) LEFT JOIN own o USING (doc_id)
+"""

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_fixity": warc.OP10_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
 }

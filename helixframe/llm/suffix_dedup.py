@@ -13,7 +13,8 @@ Strings are judged on the input, so of equal strings exactly the first stays.
    sorted by their substrings' names, and all others are induced from them,
    bucket by bucket, through queues that go to disk when they outgrow their
    share of memory. Neighbours in that order with a common prefix of ``length``
-   bytes are equal windows; the first one of each stays.
+   bytes are equal windows; the first one of each stays. An anchor with more
+   segments than a task should hold has its windows compared by their hashes.
 4. Each document is joined with its repeats and cut.
 
 Null texts have no bytes. Rows of equal id and equal text are one document,
@@ -41,6 +42,8 @@ GRAM = 32
 BLOCK = 1 << 20
 #: Bytes of a shard from which a new one is begun, if the anchor changes.
 SHARD = 6 << 20
+#: Segments of one anchor beyond which its windows are compared by hash, in all tasks.
+CROWD = 40_000
 #: Entries of a shard's queues that are held in memory.
 HELD = 32 << 20
 
@@ -94,7 +97,12 @@ PLACE = "id long, th long, p long"
 
 
 def segment_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h, c, id, th, p): anchor's hash, hash of the segment's bytes, document, start and windows packed as start * 256 + windows."""
+    """(h, c, id, th, p): anchor's hash, hash of the segment's bytes, document, start and windows packed as start * 256 + windows.
+
+    Segments equal to an earlier one of the same batch are repeats for sure:
+    their p is negated, and they go by a hash of their place, so a passage of a
+    third of all documents sends one row for each batch to its anchor's task.
+    """
 
     def emit(b: pa.RecordBatch) -> pa.RecordBatch:
         mixed, hash_ = _mix(), xxhash.xxh3_64_intdigest
@@ -107,8 +115,14 @@ def segment_rows(docs: DataFrame, length: int) -> DataFrame:
                 p.append(s << 8 | w)
             counts.append(len(h) - n)
         ids, ths = (np.repeat(b.column(i).to_numpy(), counts) for i in (0, 1))
-        columns = [np.array(h, np.int64), np.array(c, np.uint64).view(np.int64), ids, ths, np.array(p, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "c", "id", "th", "p"])
+        x = np.stack([np.array(h, np.int64), np.array(c, np.uint64).view(np.int64), ids, ths, np.array(p, np.int64)])
+        x = x[:, np.lexsort(x[::-1])]
+        new = np.concatenate(([True], (x[:2, 1:] != x[:2, :-1]).any(0)))[: x.shape[1]]
+        lead = np.maximum.accumulate(np.where(new, np.arange(x.shape[1]), 0))
+        sure = ~new & (x[2:] != x[2:, lead]).any(0)
+        x[0, sure] = (x[2, sure] * 31 + x[4, sure]) * 0x2545F4914F6CDD1D
+        x[4, sure] = ~x[4, sure]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["h", "c", "id", "th", "p"])
 
     return by_batch(docs, emit, "h long, c long, id long, th long, p long", rows=256)
 
@@ -119,6 +133,10 @@ def resolve(rows: DataFrame) -> DataFrame:
     Rows come in order and stream through: a task holds a batch and the state
     of the anchor that the last one ended in, however often that anchor occurs.
     """
+
+    def rows_of(x: np.ndarray, repeat: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(x.shape[1], repeat)), *(pa.array(x[i]) for i in (0, 2, 3, 4))], ["repeat", "h", "id", "th", "p"])
+
     ordered = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "c", "id", "th", "p")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +144,11 @@ def resolve(rows: DataFrame) -> DataFrame:
         waiting: np.ndarray | None = None  # the first row of the last h, while it has one segment only
         for b in batches:
             x = np.stack([c.to_numpy() for c in b.columns])
+            sure = x[4] < 0
+            known, x = x[:, sure], x[:, ~sure]
+            if known.shape[1]:
+                known[4] = ~known[4]
+                yield rows_of(known, True)
             if not x.shape[1]:
                 continue
             new_h = np.concatenate(([first is None or x[0, 0] != first[0]], x[0, 1:] != x[0, :-1]))
@@ -148,9 +171,8 @@ def resolve(rows: DataFrame) -> DataFrame:
                 waiting = None
             k = int(lead[-1])
             first = x[:, k].copy() if k >= 0 else first
-            flag = np.repeat([True, False], [repeat.shape[1], on.shape[1]])
-            both = np.concatenate((repeat, on), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(flag), *(pa.array(both[i]) for i in (0, 2, 3, 4))], ["repeat", "h", "id", "th", "p"])
+            yield rows_of(repeat, True)
+            yield rows_of(on, False)
 
     return ordered.mapInArrow(run, "repeat boolean, h long, id long, th long, p long")
 
@@ -333,8 +355,8 @@ def repeated_windows(parts: list[bytes], rank: np.ndarray, start: np.ndarray, le
         yield int(seg[a]), int(offset[a]), b - a
 
 
-def shard_repeats(docs: DataFrame, leads: DataFrame, length: int, *, shard: int = SHARD, held: int = HELD) -> DataFrame:
-    """(id, th, p): windows of the leading segments that an earlier leading segment has."""
+def _fetched(docs: DataFrame, leads: DataFrame, length: int) -> DataFrame:
+    """(h, id, th, s, part): the bytes of segments, from one join of the documents."""
     own = leads.groupBy("id", "th").agg(F.collect_list(F.struct("h", "p")).alias("xs"))
     joined = docs.join(own, ["id", "th"])
 
@@ -348,7 +370,35 @@ def shard_repeats(docs: DataFrame, leads: DataFrame, length: int, *, shard: int
         kinds = [pa.int64()] * 4 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "id", "th", "s", "part"])
 
-    parts = by_batch(joined, fetch, "h long, id long, th long, s long, part binary", rows=256)
+    return by_batch(joined, fetch, "h long, id long, th long, s long, part binary", rows=256)
+
+
+def crowded_repeats(parts: DataFrame, length: int) -> DataFrame:
+    """(id, th, p): windows that an earlier segment has, for anchors of more segments than a task should hold: by 128-bit hashes of the windows, whose first places combine before the shuffle."""
+
+    def windows(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw, counts = [], []
+        for part in b.column(4).to_pylist():
+            raw.extend(xxhash.xxh3_128_digest(part[k : k + length]) for k in range(len(part) - length + 1))
+            counts.append(len(part) - length + 1)
+        w = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
+        at = np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids, ths, starts = (np.repeat(b.column(i).to_numpy(), counts) for i in (1, 2, 3))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (w[:, 0].copy(), w[:, 1].copy(), ids, ths, starts + at)], ["w1", "w2", "id", "th", "s"])
+
+    found = cut(by_batch(parts, windows, "w1 long, w2 long, id long, th long, s long"), "windows")
+    first = cut(found.groupBy("w1", "w2").agg(F.min(F.struct("id", "th", "s")).alias("x")), "firsts")
+    late = found.join(first, ["w1", "w2"]).filter(F.struct("id", "th", "s") != F.col("x"))
+    return late.select("id", "th", (F.col("s") * 256 + 1).alias("p"))
+
+
+def shard_repeats(docs: DataFrame, leads: DataFrame, length: int, *, shard: int = SHARD, held: int = HELD, crowd: int = CROWD) -> DataFrame:
+    """(id, th, p): windows of the leading segments that an earlier leading segment has."""
+    many = cut(leads.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("h"), "crowds")
+    if not many.isEmpty():
+        rest = shard_repeats(docs, leads.join(many, "h", "left_anti"), length, shard=shard, held=held, crowd=2**62)
+        return rest.unionByName(crowded_repeats(_fetched(docs, leads.join(many, "h"), length), length))
+    parts = _fetched(docs, leads, length)
     dealt = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "id", "th", "s")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +431,7 @@ def shard_repeats(docs: DataFrame, leads: DataFrame, length: int, *, shard: int
     return dealt.mapInArrow(run, PLACE)
 
 
-def remove_repeats(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = 100, shard: int = SHARD, held: int = HELD) -> DataFrame:
+def remove_repeats(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = 100, shard: int = SHARD, held: int = HELD, crowd: int = CROWD) -> DataFrame:
     """``df`` with repeats cut out of ``text``, and n_bytes, n_removed and n_spans (maximal runs cut); columns of those names are replaced.
 
     The text that is left is bytes cut where a repeat begins or ends, which may
@@ -391,7 +441,7 @@ def remove_repeats(df: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         raise ValueError(f"length must be over {GRAM} and at most {GRAM + 255}")
     docs = _documents(df, text, id_col)
     found = cut(resolve(segment_rows(docs, length)), "segments")
-    more = cut(shard_repeats(docs, found.filter(~F.col("repeat")).select("h", "id", "th", "p"), length, shard=shard, held=held), "repeats")
+    more = cut(shard_repeats(docs, found.filter(~F.col("repeat")).select("h", "id", "th", "p"), length, shard=shard, held=held, crowd=crowd), "repeats")
     spans = found.filter("repeat").select("id", "th", "p").unionByName(more)
     own = spans.groupBy("id", "th").agg(F.collect_list("p").alias("__ps")).withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
     names = ("n_bytes", "n_removed", "n_spans")

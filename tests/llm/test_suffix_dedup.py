@@ -67,11 +67,11 @@ def corpus(rng, n):
     return [*out, b"", b"q" * 700, b"q" * 120, b"ab" * 90]
 
 
-@pytest.mark.parametrize("length,shard,held", [(100, 6 << 20, 32 << 20), (40, 3000, 64)])
-def test_brute_force(spark, length, shard, held):
+@pytest.mark.parametrize("length,shard,held,crowd", [(100, 6 << 20, 32 << 20, 100_000), (40, 3000, 64, 100_000), (40, 3000, 64, 3)])
+def test_brute_force(spark, length, shard, held, crowd):
     docs = [(i, t.decode()) for i, t in enumerate(corpus(random.Random(length), 120))]
     df = spark.createDataFrame([(i, t, "old") for i, t in docs], "doc_id long, text string, n_spans string").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)) for r in S.remove_repeats(df, length=length, shard=shard, held=held).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)) for r in S.remove_repeats(df, length=length, shard=shard, held=held, crowd=crowd).collect()}
     want = brute([(i, 0, t.encode()) for i, t in docs], length)
     assert got == {i: v for (i, _), v in want.items()}
     assert sum(v[1] for v in got.values()) > 1000

@@ -289,7 +289,13 @@ cm AS MATERIALIZED (SELECT DISTINCT x.src, x.src_dir, x.dst, x.dst_dir, x.ovl FR
         f"""walk(hid, hdir, id, dir, pos, ovl) AS (
  SELECT DISTINCT src, src_dir, src, src_dir, 0, 0 FROM link WHERE (src, src_dir) NOT IN (SELECT (dst, dst_dir) FROM link)
  UNION ALL SELECT w.hid, w.hdir, l.dst, l.dst_dir, w.pos + 1, l.ovl FROM walk w JOIN link l ON l.src = w.id AND l.src_dir = w.dir),
-place AS MATERIALIZED (SELECT * FROM walk),
+ringl AS MATERIALIZED (SELECT * FROM link WHERE (src, src_dir) NOT IN (SELECT (id, dir) FROM walk)),
+reach(id, dir, rid, rdir) AS (SELECT src, src_dir, src, src_dir FROM ringl UNION SELECT r.id, r.dir, l.dst, l.dst_dir FROM reach r JOIN ringl l ON l.src = r.rid AND l.src_dir = r.rdir),
+openl AS MATERIALIZED (SELECT l.* FROM ringl l JOIN (SELECT id, dir, min(rid) AS least FROM reach GROUP BY ALL) t ON t.id = l.dst AND t.dir = l.dst_dir WHERE NOT ((l.dst = t.least AND l.dst_dir = 'f') OR (l.src = t.least AND l.src_dir = 'r'))),
+walk2(hid, hdir, id, dir, pos, ovl) AS (
+ SELECT DISTINCT src, src_dir, src, src_dir, 0, 0 FROM openl WHERE (src, src_dir) NOT IN (SELECT (dst, dst_dir) FROM openl)
+ UNION ALL SELECT w.hid, w.hdir, l.dst, l.dst_dir, w.pos + 1, l.ovl FROM walk2 w JOIN openl l ON l.src = w.id AND l.src_dir = w.dir),
+place AS MATERIALIZED (SELECT * FROM walk UNION ALL SELECT * FROM walk2),
 chain AS MATERIALIZED (SELECT hid, hdir, tid, tdir, least(hid, tid) AS c FROM (SELECT hid, hdir, arg_max(id, pos) AS tid, arg_max(dir, pos) AS tdir FROM place GROUP BY ALL) WHERE CASE WHEN hid <= tid THEN hdir ELSE tdir END = 'f'),
 member AS MATERIALIZED (SELECT p.*, ch.c, ch.tid, ch.tdir FROM place p JOIN chain ch USING (hid, hdir)),
 made AS (SELECT c AS node_id, string_agg(substr(o.seq, m.ovl + 1), '' ORDER BY m.pos) AS seq, sum(n.cov * length(n.seq)) AS weight FROM member m JOIN o ON o.id = m.id AND o.dir = m.dir JOIN nodes n ON n.node_id = m.id GROUP BY c),

@@ -11,18 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.plans.scratch import spread
+
 READ_LEN, STEP, K = 36, 7, 21
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAN"
 
 
+#: Letters of a block; a window is cut from its block, as reaching into a text takes time by the distance.
+BLOCK = 100 * STEP
+
+
 def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, seq)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     letters = F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), ALPHABET, BASES)
     s = docs.select("doc_id", letters.alias("s")).filter(F.length("s") > 0)
-    at = s.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.length("s") - 1, F.lit(STEP))).alias("i"))
-    w = (F.col("i") / STEP).cast("int")
+    b = s.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.length("s") - 1, F.lit(BLOCK))).alias("b"))
+    b = b.select("doc_id", "b", F.substr("s", F.col("b") + 1, F.lit(BLOCK + READ_LEN)).alias("s"))
+    at = b.select("doc_id", "b", "s", F.explode(F.sequence(F.lit(0), F.least(F.length("s"), F.lit(BLOCK)) - 1, F.lit(STEP))).alias("i"))
+    w = ((F.col("b") + F.col("i")) / STEP).cast("int")
     piece = F.substr("s", F.col("i") + 1, F.lit(READ_LEN))
     turned = F.when(w % 2 == 1, F.reverse(F.translate(piece, "ACGT", "TGCA"))).otherwise(piece)
     name = F.concat(F.lit("d"), "doc_id", F.lit("p"), (w / 2).cast("int"), F.lit("_"), 1 + w % 2)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.dna import canonical, flip_dir, homopolymer, oriented, rc_strict
+from helixframe.functions.dna import canonical, flip_dir, homopolymer, kmers, oriented, rc_strict
+from helixframe.plans.scratch import cut
 
 EDGE = ["src", "src_dir", "dst", "dst_dir", "ovl"]
 
@@ -21,37 +22,54 @@ def orient(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("id"), both.alias("o")).select("id", "o.dir", F.col("o.s").alias("seq"))
 
 
-def overlap_candidates(nodes: DataFrame, k: int, *, stop: DataFrame | None = None, low_kmer: int = 1, up_kmer: int = 2000) -> DataFrame:
-    """Pairs whose windows say they may overlap: a window of A at i is the k-mer that B begins with, so L = len - i.
+def _windows(o: DataFrame, k: int, stop: DataFrame | None, low_kmer: int, up_kmer: int, carry: bool) -> DataFrame:
+    """(kmer, src, src_dir, ovl) of the windows that may propose, with the text from there on (rest) if carried.
 
-    Inner windows of one letter or on the stop list propose nothing. A k-mer
-    with more than ``up_kmer`` windows keeps those of the longest overlaps (ties
-    by id and direction), and one needs more than ``low_kmer`` entries, the
-    beginning of B itself among them.
+    The stop list and the crowded k-mers are written first: where they are
+    empty, as on most inputs, no window is joined with them.
     """
-    if k % 2 == 0:
-        raise ValueError("k must be odd: a k-mer could else be its own reverse complement")
-    o = orient(nodes)
-    starts = o.select(F.col("id").alias("dst"), F.col("dir").alias("dst_dir"), F.substr("seq", F.lit(1), F.lit(k)).alias("kmer"), F.length("seq").alias("dst_len"))
     at = F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("i")
     w = o.filter(F.length("seq") >= k).select(F.col("id").alias("src"), F.col("dir").alias("src_dir"), F.length("seq").alias("n"), at, "seq")
-    w = w.select("src", "src_dir", "n", "i", F.substr("seq", F.col("i") + 1, F.lit(k)).alias("kmer"))
+    rest = [F.substr("seq", F.col("i") + 1).alias("rest")] if carry else []
+    w = w.select("src", "src_dir", "n", "i", F.substr("seq", F.col("i") + 1, F.lit(k)).alias("kmer"), *rest)
     inner = (F.col("i") >= 1) & (F.col("i") < F.col("n") - k)
     w = w.filter(~(inner & homopolymer("kmer")))
-    if stop is not None:
+    if stop is not None and not (stop := cut(stop, "stop")).isEmpty():
         ends = w.filter(~inner)
         mid = w.filter(inner).withColumn("c", canonical("kmer")).join(stop.withColumnRenamed("kmer", "c"), "c", "left_anti").drop("c")
         w = ends.unionByName(mid)
-    w = w.select("kmer", "src", "src_dir", (F.col("n") - F.col("i")).alias("ovl"))
-    counts = w.groupBy("kmer").agg(F.count("*").alias("c"))
-    full = counts.filter(F.col("c") > up_kmer).select("kmer")
-    order = Window.partitionBy("kmer").orderBy(F.desc("ovl"), "src", "src_dir")
-    crowded = w.join(full, "kmer", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= up_kmer).drop("rank")
-    w = w.join(full, "kmer", "left_anti").unionByName(crowded)
+    w = w.select("kmer", "src", "src_dir", (F.col("n") - F.col("i")).alias("ovl"), *(["rest"] if carry else []))
+    # One strand's windows, before any filter, bound the number of each k-mer on both.
+    own = o.filter("dir = 'f'").select(F.explode(kmers("seq", k, last=True)).alias("w")).groupBy(canonical("w.kmer").alias("c")).agg(F.count("*").alias("n"))
+    full = cut(own.filter(F.col("n") > up_kmer).select(F.explode(F.array("c", rc_strict("c"))).alias("kmer")), "crowded")
+    if not full.isEmpty():
+        order = Window.partitionBy("kmer").orderBy(F.desc("ovl"), "src", "src_dir")
+        crowded = w.join(full, "kmer", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= up_kmer).drop("rank")
+        w = w.join(full, "kmer", "left_anti").unionByName(crowded)
     if low_kmer > 1:
-        w = w.join(counts.filter(F.col("c") > low_kmer).select("kmer"), "kmer", "left_semi")
-    found = w.join(starts, "kmer").filter((F.col("src") != F.col("dst")) & (F.col("ovl") <= F.col("dst_len")))
-    return found.select(*EDGE)
+        w = w.join(w.groupBy("kmer").agg(F.count("*").alias("c")).filter(F.col("c") > low_kmer).select("kmer"), "kmer", "left_semi")
+    return w
+
+
+def _proposed(nodes: DataFrame, k: int, stop: DataFrame | None, low_kmer: int, up_kmer: int, carry: bool) -> DataFrame:
+    if k % 2 == 0:
+        raise ValueError("k must be odd: a k-mer could else be its own reverse complement")
+    o = orient(nodes)
+    begun = [F.col("seq").alias("dst_seq")] if carry else []
+    starts = o.select(F.col("id").alias("dst"), F.col("dir").alias("dst_dir"), F.substr("seq", F.lit(1), F.lit(k)).alias("kmer"), F.length("seq").alias("dst_len"), *begun)
+    found = _windows(o, k, stop, low_kmer, up_kmer, carry).join(starts, "kmer")
+    return found.filter((F.col("src") != F.col("dst")) & (F.col("ovl") <= F.col("dst_len")))
+
+
+def overlap_candidates(nodes: DataFrame, k: int, *, stop: DataFrame | None = None, low_kmer: int = 1, up_kmer: int = 2000) -> DataFrame:
+    """Pairs whose windows say they may overlap: a window of A at i is the k-mer that B begins with, so L = len - i.
+
+    Inner windows of one letter or on the stop list propose nothing. A k-mer
+    with more than ``up_kmer`` windows keeps those of the longest overlaps (ties
+    by id and direction), and one needs more than ``low_kmer`` entries, the
+    beginning of B itself among them.
+    """
+    return _proposed(nodes, k, stop, low_kmer, up_kmer, False).select(*EDGE)
 
 
 def overlap_verify(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,6 +92,19 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return edges.select(*EDGE).union(flipped(edges)).distinct()
 
 
+#: Nodes up to this length carry their text through the k-mer join, which then verifies by itself.
+CARRIED = 256
+
+
 def overlaps(nodes: DataFrame, k: int, *, stop: DataFrame | None = None, low_kmer: int = 1, up_kmer: int = 2000) -> DataFrame:
-    """Candidates, verified, with both copies."""
-    return symmetrize(overlap_verify(overlap_candidates(nodes, k, stop=stop, low_kmer=low_kmer, up_kmer=up_kmer), nodes))
+    """Candidates, verified, with both copies.
+
+    Short reads take their texts along, so that one join proposes and verifies;
+    where a node is longer than ``CARRIED`` the texts are joined to the
+    candidates instead. Both give the same edges.
+    """
+    longest = nodes.agg(F.max(F.length("seq"))).first()[0] or 0
+    if longest > CARRIED:
+        return symmetrize(overlap_verify(overlap_candidates(nodes, k, stop=stop, low_kmer=low_kmer, up_kmer=up_kmer), nodes))
+    same = _proposed(nodes, k, stop, low_kmer, up_kmer, True).filter(F.startswith("dst_seq", F.col("rest")))
+    return symmetrize(same.groupBy("src", "src_dir", "dst", "dst_dir").agg(F.max("ovl").alias("ovl")).select(*EDGE))

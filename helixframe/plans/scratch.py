@@ -34,6 +34,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the cluster has cores, where its files give fewer: a single small file is one task else."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reserve(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the interpreter ends."""
     path = f"{shared_dir(spark)}/helixframe-{name}-{uuid.uuid4().hex}"

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters of the packed form: one for each pair of bases, then one for each single base.
-PACKED = dict(zip([a + b for a in "ACGT" for b in "ACGT"] + list("ACGT"), "ABCDEFGHIJKLMNOPQRST", strict=True))
+#: Letters of the packed form, fixed values: each base, then the pairs that begin with it, take the next letter from A on.
+PACKED = {code: chr(65 + i) for i, code in enumerate(x + y for x in "ACGT" for y in ["", *"ACGT"])}
 
 
 def _c(x: Column | str) -> Column:

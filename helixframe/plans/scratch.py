@@ -15,16 +15,18 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, weakref.ref] = {}
+#: The folder made for sessions that name none, as in tests on one machine.
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; one of our own only where it names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", "")
     if found:
         return found.rstrip("/")
-    own = tempfile.mkdtemp(prefix="helixframe-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="helixframe-"))
+    return f"file://{_own[0]}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

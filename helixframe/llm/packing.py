@@ -9,8 +9,11 @@ partitions' windows hold at the end is merged: the leftovers of many
 partitions are packed once more by the same rules.
 
 A null or empty text gives its end token alone. Each row is a document of its
-own: repeated rows and ids are packed each for itself, null ids too. A sequence
-number is made of the merge round, the partition and a count, so a task that
+own: repeated rows and ids are packed each for itself, null ids too. A text of
+any length is packed whole, in as many pieces as it needs. Other columns than
+id and text are left out: a row of the result is a piece, and the id leads back
+to them; whatever they are named, they clash with none. A sequence number is
+made of the merge round, the partition and a count, so a task that
 runs again makes the same.
 """
 
@@ -22,6 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +33,16 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import once_in_worker, small_batches, table, texts
 from helixframe.plans.scratch import cut
 
-#: Words whose ids a worker keeps; beyond it starts anew, so memory is bounded.
-KNOWN_WORDS = 450_000
+#: Bytes of words and ids, each with what Python adds to it, that a worker keeps; beyond it starts anew, so memory is bounded.
+KNOWN_BYTES = 64 << 20
+#: What a kept word takes beside its letters and its ids: two objects' heads and its place in the table.
+ENTRY = 200
+#: Bytes of new words that are encoded in one go: the tokenizer's own form of them takes a hundred times as much.
+LEARN_BYTES = 128 << 10
+#: Bytes of texts that are split into words at a time, and rows of them at most.
+GROUP_BYTES, GROUP_ROWS = 512 << 10, 256
+#: Words of one text that are looked up at a time.
+GROUP_WORDS = 64 << 10
 #: How the tokenizer cuts a word: contractions, runs of letters, single digits, runs of other marks.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with these aren't split at white space first: separators that only Python takes as white space, and special tokens.
@@ -52,9 +64,9 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
 
     A word's ids are worked out once and kept. New words are cut where the
     tokenizer would cut them, and the parts that are new as well are encoded in
-    one go, set apart by spaces: each part's ids end with the first one that is
-    marked as a word's end. A text that could depend on more than its words
-    goes to the tokenizer whole.
+    slices of ``LEARN_BYTES``, set apart by spaces: each part's ids end with the
+    first one that is marked as a word's end. A text that could depend on more
+    than its words goes to the tokenizer whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
@@ -68,7 +80,9 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     cut_word = regex.compile(CUTS).findall
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    del vocabulary
     known: dict[str, bytes] = {}
+    held = 0
     whole: list[Tokenizer] = []
 
     def parts_of(w: str) -> list[str]:
@@ -78,42 +92,83 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
             return [w[:-1], w[-1]]
         return cut_word(w)
 
-    def learn(words: list[str]) -> None:
-        cut_up = [parts_of(w) for w in words]
-        new = list({p for parts in cut_up for p in parts if p not in known})
-        if new:
-            lines = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in plain.encode_batch_fast(lines, add_special_tokens=False)])
-            stop = np.flatnonzero(ends[ids]) + 1
-            if len(stop) != len(new):
-                raise ValueError("the tokenizer's words don't end where its white space is")
-            raw = ids.tobytes()
-            stop = (4 * stop).tolist()
-            known.update(zip(new, map(raw.__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
-        for w, parts in zip(words, cut_up, strict=True):
+    def keep(word: str, ids: bytes) -> None:
+        nonlocal held
+        known[word] = ids
+        held += len(word) + len(ids) + ENTRY
+
+    def ask(new: list[str]) -> None:
+        lines = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in plain.encode_batch_fast(lines, add_special_tokens=False)])
+        stop = np.flatnonzero(ends[ids]) + 1
+        if len(stop) != len(new):
+            raise ValueError("the tokenizer's words don't end where its white space is")
+        raw = ids.tobytes()
+        stop = (4 * stop).tolist()
+        for p, a, b in zip(new, [0, *stop[:-1]], stop, strict=True):
+            keep(p, raw[a:b])
+
+    def learn(words: set[str]) -> None:
+        cut_up = {w: parts_of(w) for w in words}
+        new = list({p for parts in cut_up.values() for p in parts if p not in known})
+        size, first = 0, 0
+        for i, p in enumerate(new):
+            size += len(p)
+            if size >= LEARN_BYTES:
+                ask(new[first : i + 1])
+                size, first = 0, i + 1
+        if first < len(new):
+            ask(new[first:])
+        for w, parts in cut_up.items():
             if len(parts) > 1:
-                known[w] = b"".join([known[p] for p in parts])
+                keep(w, b"".join([known[p] for p in parts]))
+
+    def look_up(group: list[list[str]]) -> None:
+        """Every word of the group is known then."""
+        nonlocal held
+        words = set().union(*group)
+        new = words.difference(known)
+        if new and held > KNOWN_BYTES:
+            known.clear()
+            held, new = 0, words
+        if new:
+            learn(new)
 
     def encode(batch: list[str]) -> list[np.ndarray]:
         split = [t.lower().split() if _by_words(t) else None for t in batch]
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        new = set().union(*filter(None, split)).difference(known)
-        if new:
-            learn(list(new))
-        out = []
-        for t, words in zip(batch, split, strict=True):
+        short = [s for s in split if s and len(s) <= GROUP_WORDS]
+        if short:
+            look_up(short)
+        done = [None if s is None or len(s) > GROUP_WORDS else np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4") for s in split]
+        for i, (t, words) in enumerate(zip(batch, split, strict=True)):
             if words is None:
                 if not whole:
                     whole.append(Tokenizer.from_file(path))
-                out.append(np.array(whole[0].encode(t, add_special_tokens=False).ids, "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4"))
-        return out
+                done[i] = np.array(whole[0].encode(t, add_special_tokens=False).ids, "<u4")
+            elif done[i] is None:
+                parts = []
+                for a in range(0, len(words), GROUP_WORDS):
+                    look_up([words[a : a + GROUP_WORDS]])
+                    parts.append(b"".join(map(known.__getitem__, words[a : a + GROUP_WORDS])))
+                done[i] = np.frombuffer(b"".join(parts), "<u4")
+        return done
 
     return encode
 
 
+def groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of up to ``GROUP_ROWS`` rows and about ``GROUP_BYTES`` bytes; one text at least."""
+    size = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > first and (held + n > GROUP_BYTES or i - first == GROUP_ROWS):
+            yield first, texts(column.slice(first, i - first))
+            first, held = i, 0
+        held += n
+    if first < len(column):
+        yield first, texts(column.slice(first))
+
+
 class Packer:
     """One partition's open windows. ``emit`` gets (window number, pieces) of each sequence that is done."""
 
@@ -181,9 +236,8 @@ def _runner(size: int, windows: int, min_cut: int, round_no: int, last: bool, ke
 
         for b in batches:
             if encode:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
-                    for doc, ids in zip(part.column(0).to_pylist(), encode(texts(part.column(1))), strict=True):
+                for at, group in groups(b.column(1)):
+                    for doc, ids in zip(b.column(0).slice(at, len(group)).to_pylist(), encode(group), strict=True):
                         packer.add(doc, 0, np.append(ids, np.uint32(end_id)), len(ids) + 1)
                     if done:
                         yield flush()

@@ -1,8 +1,12 @@
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,3 +73,33 @@ def test_empty_and_repeated(spark):
     assert packing.pack(none, PATH).count() == 0
     twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None)], "doc_id long, text string")
     assert sorted(r.length for r in packing.pack(twice, PATH).collect()) == [1, 3, 3]
+
+
+def test_a_worker_stays_small_on_new_words():
+    code = f"""
+import random, resource
+from helixframe.llm.packing import groups, word_encoder
+import pyarrow as pa
+rng = random.Random(1)
+column = pa.array([" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(3000)) for _ in range(256)])
+encode = word_encoder({PATH!r})
+for _, group in groups(column):
+    encode(group)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], timeout=300)
+    assert int(done.stdout) < 275
+
+
+def test_long_texts_and_full_tables_give_the_same_ids(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 2000)
+    monkeypatch.setattr(packing, "LEARN_BYTES", 50)
+    monkeypatch.setattr(packing, "GROUP_WORDS", 7)
+    encode = packing.word_encoder(PATH)
+    for _ in range(2):
+        for (_, t), ids in zip(CASES, encode([t or "" for _, t in CASES]), strict=True):
+            assert ids.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+    column = pa.array(["ab", None, "c" * 900, "", "d"] * 3)
+    monkeypatch.setattr(packing, "GROUP_BYTES", 8)
+    assert [t for _, g in packing.groups(column) for t in g] == [x or "" for x in column.to_pylist()]
+    assert all(len(g) == 1 or sum(map(len, g)) <= 8 for _, g in packing.groups(column))

@@ -10,11 +10,13 @@ suffices, a shape alone does not without a word of its context. Such a span is
 left out where it overlaps one of a base kind.
 
 A null text is the empty text. Ids are only carried: null and repeated ids and
-repeated rows give a result for each row.
+repeated rows give a result for each row. Texts of any length are read whole;
+no step takes the square of a text's matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import table, without
 
-#: Code points before a match in which its context words count.
-CONTEXT = 48
+#: Code points before a match and behind it in which its context words count, and earlier matches that are looked through.
+CONTEXT, AFTER, LOOK_BACK = 48, 24, 8
 #: The least score of a span whose kind isn't a base kind.
 MIN_SCORE = 0.7
 
@@ -97,28 +99,81 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: Kind, before: Column) -> Column:
+def _score(kind: Kind, near: Column) -> Column:
     fixed = kind.shape + (CHECKED if kind.name in ("card", "iban") else 0.0)
-    near = F.lower(F.right(before, F.lit(CONTEXT))).rlike(kind.words)
-    return F.least(F.lit(1.0), F.lit(fixed) + F.when(near, NEARBY).otherwise(0.0))
+    return F.least(F.lit(1.0), F.lit(fixed) + F.when(F.lower(near).rlike(kind.words), NEARBY).otherwise(0.0))
 
 
-def _found(kind: Kind, pieces: Column, hits: Column) -> Column:
+#: Elements of a block of a running fold.
+RUN = 64
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` folded over whole numbers, before each of them, from 0 on; ``values`` is a column that is there, as it is read for each block.
+
+    A fold that appends copies what it has at each step. Here one runs within
+    blocks of ``RUN`` values and one over the blocks, so the work of n values is
+    in proportion to n, plus the square of n / RUN for the copies of the latter.
+    """
+    none = F.array().cast("array<int>")
+
+    def walk(xs: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda b: F.slice(values, b * RUN + 1, RUN))
+    firsts = walk(F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), step)), F.lit(0))
+    many = F.flatten(F.zip_with(blocks, firsts, walk))
+    return F.when(F.size(values) <= RUN, walk(values, F.lit(0))).otherwise(many)
+
+
+def _near(pieces: Column, hits: Column, i: Column) -> Column:
+    """The ``CONTEXT`` code points before match ``i``, through the matches before it, and the ``AFTER`` ones behind."""
+    first = F.greatest(F.lit(0), i - LOOK_BACK)
+    before = F.array_join(F.transform(F.sequence(first, i), lambda j: F.concat(F.when(j > first, hits[j - 1]).otherwise(""), F.right(pieces[j], F.lit(CONTEXT)))), "")
+    return F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" | "), F.left(pieces[i + 1], F.lit(AFTER)))
+
+
+def _lengths(pieces: Column, hits: Column) -> Column:
+    every = F.sequence(F.lit(0), F.size(hits) - 1)
+    return F.when(F.size(hits) > 0, F.transform(every, lambda i: F.char_length(pieces[i]) + F.char_length(hits[i]))).otherwise(F.array().cast("array<int>"))
+
+
+def _found(kind: Kind, pieces: Column, hits: Column, lengths: Column) -> Column:
     """Confirmed spans of one kind, in the order of their starts."""
-    empty = F.array().cast(SPANS)
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        m, before = hits[i], pieces[i]
-        start = acc["at"] + F.char_length(before)
-        end = start + F.char_length(m)
-        score = _score(kind, before)
-        ok = _valid(kind.name, m) if kind.base else _valid(kind.name, m) & (score >= MIN_SCORE)
-        one = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"), m.alias("text"))
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], F.array(one).cast(SPANS))).otherwise(acc["out"]).alias("out"))
+    def span(begin: Column, i: Column) -> Column:
+        start = begin + F.char_length(pieces[i])
+        parts = (F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.char_length(hits[i])).alias("end"), _score(kind, _near(pieces, hits, i)).alias("score"), hits[i].alias("text"))
+        return F.when(_valid(kind.name, hits[i]), F.struct(*parts))
+
+    every = F.sequence(F.lit(0), F.size(hits) - 1)
+    good = F.filter(F.zip_with(_running(lengths, lambda at, n: at + n), every, span), lambda s: s.isNotNull() if kind.base else s.isNotNull() & (s["score"] >= MIN_SCORE))
+    return F.when(F.size(hits) > 0, good.cast(SPANS)).otherwise(F.array().cast(SPANS))
+
+
+#: More than any place in a text.
+FAR = 2**31 - 1
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, walked).otherwise(empty)
+
+def _apart(df: DataFrame, keep: list[Column]) -> DataFrame:
+    """Base spans, and others that overlap none of them: in the order of all starts no base span before one reaches into it, and none behind begins in it."""
+    some = F.size("__more") > 0
+    every = F.concat(F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("i"))), F.transform("__more", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"))))
+    ordered = df.select("*", F.when(some, F.array_sort(every)).alias("__all"))
+    ends = F.transform("__all", lambda s: F.when(s["i"] < 0, s["end"]).otherwise(0))
+    begins = F.transform(F.reverse("__all"), lambda s: F.when(s["i"] < 0, F.lit(FAR) - s["start"]).otherwise(0))
+    folded = ordered.select("*", ends.alias("__ends"), begins.alias("__begins"))
+    last = _running(F.col("__ends"), _most)
+    following = F.reverse(_running(F.col("__begins"), _most))
+    walled = folded.select("*", F.when(some, F.arrays_zip(F.col("__all").alias("s"), last.alias("last"), following.alias("next"))).alias("__walled"))
+    free = F.filter("__walled", lambda x: (x["s"]["i"] >= 0) & (x["last"] <= x["s"]["start"]) & (F.lit(FAR) - x["next"] >= x["s"]["end"]))
+    kept = F.transform(F.array_sort(F.transform(free, lambda x: x["s"]["i"])), lambda i: F.col("__more")[i])
+    return walled.select(*keep, F.when(some, F.concat("__base", kept)).otherwise(F.col("__base")).alias("pii"))
 
 
 def find_pii(df: DataFrame, *, text: str = "text") -> DataFrame:
@@ -137,27 +192,40 @@ def find_pii(df: DataFrame, *, text: str = "text") -> DataFrame:
         *[F.regexp_extract_all(names[k.needs], F.lit(k.pattern), 0).alias(f"__h_{k.name}") for k in KINDS],
         *[F.split(names[k.needs], k.pattern, -1).alias(f"__p_{k.name}") for k in KINDS],
     )
-    step3 = step2.select(*keep, *[_found(k, F.col(f"__p_{k.name}"), F.col(f"__h_{k.name}")).alias(f"__s_{k.name}") for k in KINDS])
+    step3 = step2.select("*", *[_lengths(F.col(f"__p_{k.name}"), F.col(f"__h_{k.name}")).alias(f"__n_{k.name}") for k in KINDS])
+    step4 = step3.select(*keep, *[_found(k, *[F.col(f"__{x}_{k.name}") for x in "phn"]).alias(f"__s_{k.name}") for k in KINDS])
     base = F.concat(*[F.col(f"__s_{k.name}") for k in KINDS if k.base])
     more = F.concat(*[F.col(f"__s_{k.name}") for k in KINDS if not k.base])
-    step4 = step3.select(*keep, base.alias("__base"), more.alias("__more"))
-    apart = F.filter("__more", lambda x: ~F.exists("__base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return step4.select(*keep, F.concat("__base", apart).alias("pii"))
+    return _apart(step4.select(*keep, base.alias("__base"), more.alias("__more")), keep)
+
+
+#: Code points of a block of a text that is cut.
+BLOCK = 4096
 
 
 def redact(df: DataFrame, *, text: str = "text") -> DataFrame:
-    """``df`` with each span of ``pii`` in its text replaced by its kind in angle brackets; overlapping spans give one gap."""
+    """``df`` with each span of ``pii`` in its text replaced by its kind in angle brackets; overlapping spans give one gap.
+
+    Reaching into a text takes time by the distance, so what stays between two
+    spans is cut from the blocks that it lies in.
+    """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))))
+    names = ("__spans", "__blocks", "__length", "__ends")
+    ready = df.select("*", ordered.alias(names[0]), F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), 0).alias(names[1]), F.char_length(whole).alias(names[2]))
+    ready = ready.select("*", F.transform(names[0], lambda s: s["end"]).alias(names[3]))
+    spans, blocks, length, ends = map(F.col, names)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substr(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(gap).alias("out"))
+    def stretch(a: Column, z: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        held = F.array_join(F.slice(blocks, first + 1, F.floor((z - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(z > a, F.substr(held, a - first * BLOCK + 1, z - a)).otherwise("")
 
-    done = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substr(whole, acc["at"] + 1)))
-    return df.withColumn(text, F.when(F.size("pii") > 0, done).otherwise(F.col(f"`{text}`")))
+    reached = _running(ends, _most)
+    cut = F.zip_with(reached, spans, lambda at, s: F.when(s["start"] < at, "").otherwise(F.concat(stretch(at, s["start"]), F.lit("<"), s["kind"], F.lit(">"))))
+    end = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    done = F.concat(F.array_join(cut, ""), stretch(end, length))
+    return ready.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(f"`{text}`"))).drop(*names)
 
 
 def _joined(spans: Column) -> Column:
@@ -169,7 +237,7 @@ def _count(kind: str) -> Column:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of personal data in every document; the hash is over the base kinds."""
+    """Spans of personal data in every document, and their scores in the same order; the hash is over the base kinds."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [k.name for k in KINDS if k.base]
     return found.select(
@@ -177,4 +245,5 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_count(n).alias(f"n_{n}") for n in base],
         F.sha2(_joined(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         _joined(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )

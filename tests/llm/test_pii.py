@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -78,3 +79,62 @@ def test_query(spark, sf):
 
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def iban(country, account):
+    moved = "".join(str(int(c, 36)) for c in account + country + "00")
+    return f"{country}{98 - int(moved) % 97:02d}{account}"
+
+
+def test_planted_kinds_in_documents(spark):
+    """Valid accounts are found wherever they stand, numbers beside a context word on either side; broken ones and bare shapes stay out."""
+    rng = random.Random(3)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and len(r.text) < 5000]
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    rows, want = [], {}
+    for i in range(240):
+        good = iban(rng.choice(["DE", "FR", "ES"]), digits(18))
+        ssn, tel = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", f"{digits(3)}-{digits(3)}-{digits(4)}"
+        lead, item, tail, kind = rng.choice([
+            ("", good, "", "iban"), ("IBAN ", " ".join(good[k : k + 4] for k in range(0, len(good), 4)), "", "iban"), ("", good[:-1] + str((int(good[-1]) + 1) % 10), "", None), ("SSN: ", ssn, "", "ssn"), ("", ssn, " (social security)", "ssn"), ("", ssn, "", None),
+            ("call ", tel, "", "tel"), ("phone 1 234-567-8901 or ", tel, "", "tel"), ("part ", tel, "", None),
+        ])
+        text = rng.choice(docs)
+        at = text.find(" ", rng.randint(0, len(text)))
+        at = len(text) if at < 0 else at
+        start = at + 1 + len(lead)
+        rows.append((i, f"{text[:at]} {lead}{item}{tail} {text[at + 1 :]}"))
+        want[i] = kind and (kind, start, start + len(item))
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.pii if s.kind not in BASE} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(w in got[i] for i, w in want.items() if w)
+    assert caught >= 0.97 * sum(w is not None for w in want.values())
+    assert sum(bool(got[i]) for i, w in want.items() if w is None) <= 2
+
+
+def test_context_reaches_through_matches_of_the_kind(spark):
+    rows = [(1, "cards: 4111 1111 1111 1111, 4316522678525456"), (2, "4111 1111 1111 1111" + " x" * 40 + " 4316522678525456")]
+    got = {r.doc_id: [round(s.score, 2) for s in r.pii] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [1.0, 1.0], 2: [0.9, 0.9]}
+
+
+def test_texts_with_very_many_matches(spark):
+    """More matches than a block of the running fold holds, and a long text."""
+    text = "".join(f"u{i}@a.b é " + "z" * (i % 50) for i in range(30_000))
+    df = pii.find_pii(spark.createDataFrame([(1, text), (2, "a@b.c " * 65)], "doc_id long, text string"))
+    by = {r.doc_id: [f"{s.kind}:{s.start}:{s.end}" for s in r.pii] for r in df.collect()}
+    assert by[1] == brute(text) and by[2] == brute("a@b.c " * 65)
+    done = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert done[1] == BASE["email"].sub("<email>", text) and done[2] == "<email> " * 65
+
+
+def test_redact_overlaps(spark):
+    spans = [("a", 3, 9), ("b", 5, 7), ("c", 8, 12), ("d", 12, 13), ("e", 4990, 5003)]
+    text = "é" * 6000
+    df = spark.createDataFrame([(1, text, [(k, s, e, 1.0, "") for k, s, e in spans])], f"doc_id long, text string, pii {pii.SPANS}")
+    assert pii.redact(df).first().text == "ééé<a><d>" + "é" * 4977 + "<e>" + "é" * 997
+
+
+def test_added_spans_keep_off_base_ones(spark):
+    text = "call +1 (743) 555-3824 or 555-123-4567, phone 555-123-4567@mail.example or 555-123-9999"
+    kinds = [(s.kind, s.text) for s in pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().pii]
+    assert kinds == [("email", "555-123-4567@mail.example"), ("phone", "+1 (743) 555-3824"), ("tel", "555-123-4567"), ("tel", "555-123-9999")]

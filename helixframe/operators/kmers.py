@@ -9,20 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.dna import canonical, homopolymer, kmers, rc_strict
+from helixframe.functions.dna import homopolymer, rc_strict
+
+#: Windows of a block; a window is cut from its block, as reaching into a text takes time by the distance.
+BLOCK = 512
+
+
+def windows(nodes: DataFrame, k: int, *keep: str, last: bool = False) -> DataFrame:
+    """(keep, n, i, fk, rk): each window's place, its text and that of the other strand, which is turned over once a block."""
+    n = F.length("seq")
+    some = nodes.filter(n >= k + (0 if last else 1)).select(*keep, n.alias("n"), "seq")
+    top = F.col("n") - k - (0 if last else 1)
+    blocks = some.select(*keep, "n", "seq", F.explode(F.sequence(F.lit(0), top, F.lit(BLOCK))).alias("b"))
+    t = F.substr("seq", F.col("b") + 1, F.lit(BLOCK + k - 1))
+    blocks = blocks.select(*keep, "n", "b", t.alias("t"), rc_strict(t).alias("u"), F.least(F.lit(BLOCK - 1), top - F.col("b")).alias("z"))
+    at = blocks.select(*keep, "n", "b", "t", "u", F.explode(F.sequence(F.lit(0), F.col("z"))).alias("j"))
+    other = F.length("u") - k - F.col("j") + 1
+    return at.select(*keep, "n", (F.col("b") + F.col("j")).alias("i"), F.substr("t", F.col("j") + 1, F.lit(k)).alias("fk"), F.substr("u", other, F.lit(k)).alias("rk"))
+
+
+def _covered(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("cov", F.floor("cov").cast("long"))
 
 
 def _both_strands(nodes: DataFrame, k: int, last: bool) -> DataFrame:
-    w = nodes.select("node_id", F.floor("cov").cast("long").alias("cov"), F.explode(kmers("seq", k, last=last)).alias("w"))
-    return w.select("node_id", "cov", F.explode(F.array("w.kmer", rc_strict("w.kmer"))).alias("kmer"))
+    return windows(_covered(nodes), k, "node_id", "cov", last=last).select("node_id", "cov", F.explode(F.array("fk", "rk")).alias("kmer"))
 
 
 def kmer_count(nodes: DataFrame, k: int, *, last: bool = False) -> DataFrame:
-    """(kmer, cnt): coverage of each k-mer over both strands. Windows are counted once and turned over after the count."""
-    w = nodes.select(F.floor("cov").cast("long").alias("cov"), F.explode(kmers("seq", k, last=last)).alias("w"))
-    half = w.groupBy(F.col("w.kmer").alias("kmer")).agg(F.sum("cov").alias("c"))
-    both = half.select(F.explode(F.array("kmer", rc_strict("kmer"))).alias("kmer"), "c")
-    return both.groupBy("kmer").agg(F.sum("c").alias("cnt"))
+    """(kmer, cnt): coverage of each k-mer over both strands. One strand is counted, under the lesser text of the two; the other one follows."""
+    half = windows(_covered(nodes), k, "cov", last=last).groupBy(F.least("fk", "rk").alias("c")).agg(F.sum("cov").alias("s"))
+    half = half.select("c", rc_strict("c").alias("r"), "s")
+    # A k-mer that is its own reverse complement, of an even k, was counted once for two strands.
+    both = F.when(F.col("c") == F.col("r"), F.array(F.struct("c", (2 * F.col("s")).alias("s")))).otherwise(F.array(F.struct("c", "s"), F.struct(F.col("r").alias("c"), "s")))
+    return half.select(F.explode(both).alias("x")).select(F.col("x.c").alias("kmer"), F.col("x.s").alias("cnt"))
 
 
 def kmer_histogram(counts: DataFrame) -> DataFrame:
@@ -30,18 +50,41 @@ def kmer_histogram(counts: DataFrame) -> DataFrame:
     return counts.groupBy("cnt").agg(F.count("*").alias("n_kmers"))
 
 
-def high_kmers(nodes: DataFrame, k: int, up_kmer: int, *, last: bool = False) -> DataFrame:
-    """(kmer): canonical k-mers whose coverage exceeds ``up_kmer``."""
-    w = nodes.select(F.floor("cov").cast("long").alias("cov"), F.explode(kmers("seq", k, last=last)).alias("w"))
-    return w.groupBy(canonical("w.kmer").alias("kmer")).agg(F.sum("cov").alias("c")).filter(F.col("c") > up_kmer).select("kmer")
+def distinct_kmers(counts: DataFrame) -> DataFrame:
+    """(n_kmers): how many k-mers there are."""
+    return counts.agg(F.count("*").alias("n_kmers"))
+
+
+def heavy(nodes: DataFrame, k: int, limit: int) -> DataFrame:
+    """(key, n, covered): hashes of canonical k-mers with more windows, or more coverage without reads' last windows, than the limit.
+
+    Every k-mer beyond the limit is under one of them, so what follows is
+    worked out for these only; on most inputs there are none.
+    """
+    w = windows(_covered(nodes), k, "cov", last=True)
+    inner = F.when(F.col("i") < F.col("n") - k, F.col("cov")).otherwise(0)
+    return w.groupBy(F.xxhash64(F.least("fk", "rk")).alias("key")).agg(F.count("*").alias("n"), F.sum(inner).alias("covered")).filter((F.col("n") > limit) | (F.col("covered") > limit))
+
+
+def high_kmers(nodes: DataFrame, k: int, up_kmer: int, *, last: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """(kmer): canonical k-mers whose coverage exceeds ``up_kmer``; ``among``: hashes (key) that hold all of these."""
+    w = windows(_covered(nodes), k, "cov", last=last).withColumn("c", F.least("fk", "rk"))
+    if among is not None:
+        w = w.join(among.select("key"), F.xxhash64("c") == F.col("key"), "left_semi")
+    return w.groupBy(F.col("c").alias("kmer")).agg(F.sum("cov").alias("s")).filter(F.col("s") > up_kmer).select("kmer")
 
 
 def read_kmer_freq(nodes: DataFrame, k: int = 24, *, last: bool = False) -> DataFrame:
-    """(read_id, freq): for each distinct k-mer of each read, either strand, the k-mer's coverage over all reads."""
-    both = _both_strands(nodes, k, last)
-    total = both.groupBy("kmer").agg(F.sum("cov").alias("freq"))
-    own = both.select("kmer", "node_id").distinct()
-    return own.join(total, "kmer").select(F.col("node_id").alias("read_id"), "freq")
+    """(read_id, freq): for each distinct k-mer of each read, either strand, the k-mer's coverage over all reads.
+
+    A read holds a k-mer and its other strand alike, so one strand is counted
+    and joined, and each k-mer stands for both.
+    """
+    w = windows(_covered(nodes), k, "node_id", "cov", last=last).select("node_id", "cov", F.least("fk", "rk").alias("kmer"), F.when(F.col("fk") == F.col("rk"), 1).otherwise(2).alias("strands"))
+    own = w.groupBy("kmer", "strands", "node_id").agg(F.sum("cov").alias("s"))
+    total = own.groupBy("kmer").agg(F.sum(F.col("s") * (3 - F.col("strands"))).alias("freq"))
+    found = own.select("kmer", "strands", "node_id").join(total, "kmer")
+    return found.select(F.col("node_id").alias("read_id"), "freq", F.explode(F.sequence(F.lit(1), "strands")).alias("x")).drop("x")
 
 
 def trusted_reads(freq: DataFrame, threshold: int) -> DataFrame:

@@ -3,6 +3,12 @@
 Node A has an edge (a, B, b, L) if the last L bases of A in direction a are
 the first L bases of B in direction b. Both copies of an edge are kept: the
 other one is (B, flip b, A, flip a, L).
+
+Windows of one strand meet the beginnings of both under a hash of the lesser
+text of their k-mer and its other strand: a window that reads as the beginning
+does is one of A forward, else one of A reversed. So a node sends one row for
+each window, not two, under a key of eight bytes, with the text around it; one
+join proposes the overlaps and compares up to ``CARRIED`` bases of each.
 """
 
 from __future__ import annotations
@@ -10,10 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.dna import canonical, flip_dir, homopolymer, kmers, oriented, rc_strict
+from helixframe.functions.dna import flip_dir, oriented, rc_strict
+from helixframe.operators import kmers
 from helixframe.plans.scratch import cut
 
 EDGE = ["src", "src_dir", "dst", "dst_dir", "ovl"]
+#: Bases of an overlap that the k-mer join compares; longer ones are compared to their ends afterwards.
+CARRIED = 256
+#: Parts in which the windows of a crowded k-mer are ranked first.
+SALTS = 64
 
 
 def orient(nodes: DataFrame) -> DataFrame:
@@ -22,54 +33,88 @@ def orient(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("id"), both.alias("o")).select("id", "o.dir", F.col("o.s").alias("seq"))
 
 
-def _windows(o: DataFrame, k: int, stop: DataFrame | None, low_kmer: int, up_kmer: int, carry: bool) -> DataFrame:
-    """(kmer, src, src_dir, ovl) of the windows that may propose, with the text from there on (rest) if carried.
-
-    The stop list and the crowded k-mers are written first: where they are
-    empty, as on most inputs, no window is joined with them.
+def _windows(nodes: DataFrame, k: int) -> DataFrame:
+    """(c, key, fk, n, i, src, text, o): every window, the lesser text of its two strands and its hash, and the text around it, in which it begins at ``o``."""
+    some = nodes.filter(F.length("seq") >= k).select(F.col("node_id").alias("src"), F.length("seq").alias("n"), "seq")
+    at = some.select("src", "n", "seq", F.explode(F.sequence(F.lit(0), F.col("n") - k, F.lit(kmers.BLOCK))).alias("b"))
+    low = F.greatest(F.lit(0), F.col("b") - CARRIED)
+    t = F.substr("seq", low + 1, F.col("b") - low + (kmers.BLOCK + k - 1 + CARRIED))
+    at = at.select("src", "n", "b", low.alias("low"), t.alias("t"), rc_strict(t).alias("u"))
+    last = F.least(F.lit(kmers.BLOCK - 1), F.col("n") - k - F.col("b"))
+    at = at.select("src", "n", "low", "t", "u", F.explode(F.sequence(F.col("b"), F.col("b") + last)).alias("i"))
+    o = F.col("i") - F.col("low")
+    fk, rk = F.substr("t", o + 1, F.lit(k)), F.substr("u", F.length("u") - k - o + 1, F.lit(k))
+    first = F.greatest(F.lit(0), o + k - CARRIED)
+    text = F.substr("t", first + 1, o - first + CARRIED)
+    w = at.select("src", "n", "i", F.least(fk, rk).alias("c"), fk.alias("fk"), text.alias("text"), (o - first).alias("o"))
+    return w.withColumn("key", F.xxhash64("c"))
+
+
+def _proposing(nodes: DataFrame, k: int, stop: DataFrame | None, heavy: DataFrame | None, low_kmer: int, up_kmer: int) -> DataFrame:
+    """Windows that may propose, and in which directions of their node (strands: f, r, or fr).
+
+    The lists are written first: where they are empty, as on most inputs, no
+    window is joined with them.
     """
-    at = F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("i")
-    w = o.filter(F.length("seq") >= k).select(F.col("id").alias("src"), F.col("dir").alias("src_dir"), F.length("seq").alias("n"), at, "seq")
-    rest = [F.substr("seq", F.col("i") + 1).alias("rest")] if carry else []
-    w = w.select("src", "src_dir", "n", "i", F.substr("seq", F.col("i") + 1, F.lit(k)).alias("kmer"), *rest)
+    w = _windows(nodes, k)
     inner = (F.col("i") >= 1) & (F.col("i") < F.col("n") - k)
-    w = w.filter(~(inner & homopolymer("kmer")))
+    w = w.filter(~(inner & F.col("fk").isin("A" * k, "T" * k))).withColumn("strands", F.lit("fr"))
     if stop is not None and not (stop := cut(stop, "stop")).isEmpty():
-        ends = w.filter(~inner)
-        mid = w.filter(inner).withColumn("c", canonical("kmer")).join(stop.withColumnRenamed("kmer", "c"), "c", "left_anti").drop("c")
-        w = ends.unionByName(mid)
-    w = w.select("kmer", "src", "src_dir", (F.col("n") - F.col("i")).alias("ovl"), *(["rest"] if carry else []))
+        listed = stop.select(F.col("kmer").alias("c"), F.lit(True).alias("listed"))
+        w = w.join(listed, "c", "left").filter(~inner | F.col("listed").isNull()).drop("listed")
     # One strand's windows, before any filter, bound the number of each k-mer on both.
-    own = o.filter("dir = 'f'").select(F.explode(kmers("seq", k, last=True)).alias("w")).groupBy(canonical("w.kmer").alias("c")).agg(F.count("*").alias("n"))
-    full = cut(own.filter(F.col("n") > up_kmer).select(F.explode(F.array("c", rc_strict("c"))).alias("kmer")), "crowded")
-    if not full.isEmpty():
-        order = Window.partitionBy("kmer").orderBy(F.desc("ovl"), "src", "src_dir")
-        crowded = w.join(full, "kmer", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= up_kmer).drop("rank")
-        w = w.join(full, "kmer", "left_anti").unionByName(crowded)
+    heavy = cut(kmers.heavy(nodes, k, up_kmer) if heavy is None else heavy, "heavy")
+    crowds = heavy.filter(F.col("n") > up_kmer).select("key")
+    if not crowds.isEmpty():
+        w = w.join(crowds, "key", "left_anti").unionByName(_longest(w.join(crowds, "key", "left_semi"), k, up_kmer))
     if low_kmer > 1:
-        w = w.join(w.groupBy("kmer").agg(F.count("*").alias("c")).filter(F.col("c") > low_kmer).select("kmer"), "kmer", "left_semi")
+        # A k-mer and its other strand have as many entries.
+        w = w.join(w.groupBy("c").agg(F.sum(F.length("strands")).alias("m")).filter(F.col("m") > 2 * low_kmer).select("c"), "c", "left_semi")
     return w
 
 
-def _proposed(nodes: DataFrame, k: int, stop: DataFrame | None, low_kmer: int, up_kmer: int, carry: bool) -> DataFrame:
-    if k % 2 == 0:
-        raise ValueError("k must be odd: a k-mer could else be its own reverse complement")
-    o = orient(nodes)
-    begun = [F.col("seq").alias("dst_seq")] if carry else []
-    starts = o.select(F.col("id").alias("dst"), F.col("dir").alias("dst_dir"), F.substr("seq", F.lit(1), F.lit(k)).alias("kmer"), F.length("seq").alias("dst_len"), *begun)
-    found = _windows(o, k, stop, low_kmer, up_kmer, carry).join(starts, "kmer")
-    return found.filter((F.col("src") != F.col("dst")) & (F.col("ovl") <= F.col("dst_len")))
+def _longest(w: DataFrame, k: int, up_kmer: int) -> DataFrame:
+    """Of each k-mer the windows of the ``up_kmer`` longest overlaps (ties by id and direction): first of each of ``SALTS`` parts, then of these."""
+    ahead = F.struct(F.lit("f").alias("strands"), F.lit(True).alias("fwd"), (F.col("n") - F.col("i")).alias("ovl"))
+    behind = F.struct(F.lit("r").alias("strands"), F.lit(False).alias("fwd"), (F.col("i") + k).alias("ovl"))
+    x = w.drop("strands").select("*", F.explode(F.array(ahead, behind)).alias("x"))
+    x = x.select(*[c for c in w.columns if c != "strands"], "x.strands", "x.ovl", (F.col("x.fwd") == (F.col("fk") == F.col("c"))).alias("lesser"), F.pmod(F.xxhash64("src"), F.lit(SALTS)).alias("salt"))
+    order = (F.desc("ovl"), "src", "strands")
+    for by in (["c", "lesser", "salt"], ["c", "lesser"]):
+        x = x.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= up_kmer)
+    return x.select(*w.columns)
 
 
-def overlap_candidates(nodes: DataFrame, k: int, *, stop: DataFrame | None = None, low_kmer: int = 1, up_kmer: int = 2000) -> DataFrame:
+def _proposed(nodes: DataFrame, k: int, stop: DataFrame | None, heavy: DataFrame | None, low_kmer: int, up_kmer: int, compare: bool) -> DataFrame:
+    """Overlaps (EDGE) that a window and a beginning propose, compared as far as they are carried, if asked for."""
+    if k % 2 == 0:
+        raise ValueError("k must be odd: a k-mer could else be its own reverse complement")
+    w = _proposing(nodes, k, stop, heavy, low_kmer, up_kmer)
+    w = w.select("key", "src", "n", "i", (F.col("fk") == F.col("c")).alias("w_lesser"), "strands", *(["text", "o"] if compare else []))
+    o = orient(nodes.filter(F.length("seq") >= k)).select(F.col("id").alias("dst"), F.col("dir").alias("dst_dir"), F.length("seq").alias("dst_len"), F.left("seq", F.lit(CARRIED)).alias("head"))
+    o = o.withColumn("tail", rc_strict("head"))
+    begin, other = F.left("head", F.lit(k)), F.right("tail", F.lit(k))
+    starts = o.select("dst", "dst_dir", "dst_len", F.xxhash64(F.least(begin, other)).alias("key"), (begin <= other).alias("s_lesser"), *(["head", "tail"] if compare else []))
+    ahead = F.col("w_lesser") == F.col("s_lesser")
+    src_dir = F.when(ahead, "f").otherwise("r")
+    ovl = F.when(ahead, F.col("n") - F.col("i")).otherwise(F.col("i") + k)
+    found = w.join(starts, "key").filter((F.col("src") != F.col("dst")) & (ovl <= F.col("dst_len")) & F.contains("strands", src_dir))
+    if compare:
+        same = F.when(ahead, F.startswith("head", F.substr("text", F.col("o") + 1, F.lit(CARRIED)))).otherwise(F.endswith("tail", F.left("text", F.col("o") + k)))
+        found = found.filter(same)
+    return found.select("src", src_dir.alias("src_dir"), "dst", "dst_dir", ovl.alias("ovl"))
+
+
+def overlap_candidates(nodes: DataFrame, k: int, *, stop: DataFrame | None = None, heavy: DataFrame | None = None, low_kmer: int = 1, up_kmer: int = 2000) -> DataFrame:
     """Pairs whose windows say they may overlap: a window of A at i is the k-mer that B begins with, so L = len - i.
 
     Inner windows of one letter or on the stop list propose nothing. A k-mer
     with more than ``up_kmer`` windows keeps those of the longest overlaps (ties
     by id and direction), and one needs more than ``low_kmer`` entries, the
-    beginning of B itself among them.
+    beginning of B itself among them. ``heavy``: what ``kmers.heavy`` gives for
+    ``up_kmer``, where that is at hand.
     """
-    return _proposed(nodes, k, stop, low_kmer, up_kmer, False).select(*EDGE)
+    return _proposed(nodes, k, stop, heavy, low_kmer, up_kmer, False)
 
 
 def overlap_verify(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -92,19 +137,27 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return edges.select(*EDGE).union(flipped(edges)).distinct()
 
 
-#: Nodes up to this length carry their text through the k-mer join, which then verifies by itself.
-CARRIED = 256
-
-
-def overlaps(nodes: DataFrame, k: int, *, stop: DataFrame | None = None, low_kmer: int = 1, up_kmer: int = 2000) -> DataFrame:
+def overlaps(nodes: DataFrame, k: int, *, stop: DataFrame | None = None, heavy: DataFrame | None = None, low_kmer: int = 1, up_kmer: int = 2000) -> DataFrame:
     """Candidates, verified, with both copies.
 
-    Short reads take their texts along, so that one join proposes and verifies;
-    where a node is longer than ``CARRIED`` the texts are joined to the
-    candidates instead. Both give the same edges.
+    The join that proposes an overlap compares it too, up to ``CARRIED`` bases;
+    what is longer and agrees so far is compared to its end with the nodes'
+    texts. Where no node is longer there is nothing of that kind.
     """
-    longest = nodes.agg(F.max(F.length("seq"))).first()[0] or 0
-    if longest > CARRIED:
-        return symmetrize(overlap_verify(overlap_candidates(nodes, k, stop=stop, low_kmer=low_kmer, up_kmer=up_kmer), nodes))
-    same = _proposed(nodes, k, stop, low_kmer, up_kmer, True).filter(F.startswith("dst_seq", F.col("rest")))
-    return symmetrize(same.groupBy("src", "src_dir", "dst", "dst_dir").agg(F.max("ovl").alias("ovl")).select(*EDGE))
+    found = _proposed(nodes, k, stop, heavy, low_kmer, up_kmer, True)
+    if (nodes.agg(F.max(F.length("seq"))).first()[0] or 0) > CARRIED:
+        found = cut(found, "proposed")
+        found = found.filter(F.col("ovl") <= CARRIED).unionByName(overlap_verify(found.filter(F.col("ovl") > CARRIED), nodes))
+    return _in_pairs(found)
+
+
+def _in_pairs(found: DataFrame) -> DataFrame:
+    """Both copies of the longest overlap of each pair and directions: ``symmetrize`` of these, in one exchange, as both copies meet under the one that begins at the lesser id."""
+    mine = F.col("src") < F.col("dst")
+    pair = [F.least("src", "dst").alias("a"), F.when(mine, F.col("src_dir")).otherwise(flip_dir("dst_dir")).alias("ad"), F.greatest("src", "dst").alias("b"), F.when(mine, F.col("dst_dir")).otherwise(flip_dir("src_dir")).alias("bd")]
+    best = found.select(*pair, "ovl", mine.alias("mine")).groupBy("a", "ad", "b", "bd").agg(F.max(F.when(F.col("mine"), F.col("ovl"))).alias("x"), F.max(F.when(~F.col("mine"), F.col("ovl"))).alias("y"))
+    each = F.when(F.col("x").isNull() | F.col("y").isNull() | (F.col("x") == F.col("y")), F.array(F.coalesce("x", "y"))).otherwise(F.array("x", "y"))
+    best = best.select("a", "ad", "b", "bd", F.explode(each).alias("ovl"))
+    one = F.struct(F.col("a").alias("src"), F.col("ad").alias("src_dir"), F.col("b").alias("dst"), F.col("bd").alias("dst_dir"))
+    two = F.struct(F.col("b").alias("src"), flip_dir("bd").alias("src_dir"), F.col("a").alias("dst"), flip_dir("ad").alias("dst_dir"))
+    return best.select(F.explode(F.array(one, two)).alias("e"), "ovl").select("e.src", "e.src_dir", "e.dst", "e.dst_dir", "ovl")

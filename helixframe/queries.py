@@ -22,6 +22,8 @@ CFG = Config(k=K, read_len=READ_LEN)
 UP = CFG.up_kmer
 TRUST = 3
 GENOME = 1_000_000
+#: The limit of windows for a k-mer in the query that shows the crowded ones.
+CROWDED = 40
 #: Mate counts in these reads are small, so the statistic that calls a node unique is given these totals.
 MATES = {"reads": 50_000, "ctg_sum": 100_000}
 
@@ -39,7 +41,8 @@ def nodes_of(spark: SparkSession, d: str) -> DataFrame:
 def base_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and verified overlaps, written once: every later step reads both more than once."""
     n = cut(nodes_of(spark, d), "nodes")
-    return n, cut(overlap.overlaps(n, K, stop=kmers.high_kmers(n, K, UP), up_kmer=UP), "edges")
+    heavy = cut(kmers.heavy(n, K, UP), "heavy")
+    return n, cut(overlap.overlaps(n, K, stop=kmers.high_kmers(n, K, UP, among=heavy), heavy=heavy, up_kmer=UP), "edges")
 
 
 def reduced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -112,14 +115,23 @@ def q_tag_trusted(s: SparkSession, d: str) -> DataFrame:
     return kmers.tag_trusted(n, kmers.trusted_reads(kmers.read_kmer_freq(n, CFG.trust_k), TRUST)).select("node_id", "seq", "cov", "is_trusted")
 
 
+def candidates(n: DataFrame, up: int = UP) -> DataFrame:
+    heavy = cut(kmers.heavy(n, K, up), "heavy")
+    return overlap.overlap_candidates(n, K, stop=kmers.high_kmers(n, K, up, among=heavy), heavy=heavy, up_kmer=up)
+
+
 def q_candidates(s: SparkSession, d: str) -> DataFrame:
-    n = cut(nodes_of(s, d), "nodes")
-    return overlap.overlap_candidates(n, K, stop=kmers.high_kmers(n, K, UP), up_kmer=UP)
+    return candidates(cut(nodes_of(s, d), "nodes"))
+
+
+def q_crowded(s: SparkSession, d: str) -> DataFrame:
+    """With a limit that many k-mers of these reads exceed, so windows are ranked and the stop list isn't empty."""
+    return candidates(cut(nodes_of(s, d), "nodes"), CROWDED)
 
 
 def q_verify(s: SparkSession, d: str) -> DataFrame:
     n = cut(nodes_of(s, d), "nodes")
-    return overlap.overlap_verify(overlap.overlap_candidates(n, K, stop=kmers.high_kmers(n, K, UP), up_kmer=UP), n)
+    return overlap.overlap_verify(candidates(n), n)
 
 
 def q_edge_removal(s: SparkSession, d: str) -> DataFrame:
@@ -205,6 +217,7 @@ QUERIES: dict[str, Query] = {
     "precorrect": lambda s, d: kmers.precorrect(cut(nodes_of(s, d), "nodes")),
     "count_reads": lambda s, d: reads.count_reads(nodes_of(s, d)),
     "overlap_candidates": q_candidates,
+    "overlap_crowded": q_crowded,
     "overlap_verify": q_verify,
     "symmetrize": lambda s, d: base_graph(s, d)[1],
     "edge_removal": q_edge_removal,
@@ -359,8 +372,8 @@ n50 AS (SELECT h.cutoff, coalesce(arg_min(l.len, l.i), 0)::BIGINT AS n50, coales
 }
 
 
-def _sql(need: str, final: str) -> str:
-    """The steps up to ``need``, then the final SELECT."""
+def _sql(need: str, final: str, limits: dict[str, str] | None = None) -> str:
+    """The steps up to ``need``, then the final SELECT; ``limits`` replaces limits of the windows."""
     steps, at = [], need
     names = set()
     for one in need.split("+"):
@@ -371,7 +384,10 @@ def _sql(need: str, final: str) -> str:
         for name in reversed(line):
             if name not in names:
                 names.add(name)
-                steps.append(STEPS[name][1])
+                step = STEPS[name][1]
+                for old, new in (limits or {}).items() if name == "w" else ():
+                    step = step.replace(old, new)
+                steps.append(step)
     return "WITH RECURSIVE " + ",\n".join(steps) + ("" if final.startswith(",") else "\n") + final
 
 
@@ -412,6 +428,7 @@ best AS (SELECT seed, any_value(m) AS top, max(base) FILTER (s = m) AS won FROM
 SELECT e.node_id AS read_id, e.pos::INT AS pos, CASE WHEN strand = 'f' THEN won ELSE translate(won, 'ACGT', 'TGCA') END AS base FROM seen e JOIN best b USING (seed) JOIN votes v ON v.seed = e.seed AND v.base = e.base WHERE e.base <> b.won AND v.s / b.top <= 0.25"""),
     "count_reads": _sql("nodes", "SELECT sum(cov)::BIGINT AS reads, sum(length(seq))::BIGINT AS ctg_sum FROM nodes"),
     "overlap_candidates": _sql("cand", "SELECT * FROM cand"),
+    "overlap_crowded": _sql("cand", "SELECT * FROM cand", {f"> {UP}": f"> {CROWDED}", f"<= {UP}": f"<= {CROWDED}"}),
     "overlap_verify": _sql("ver", "SELECT * FROM ver"),
     "symmetrize": _sql("edges", "SELECT * FROM edges"),
     "edge_removal": _sql("edges", f"SELECT * FROM edges WHERE ovl <> {K}"),

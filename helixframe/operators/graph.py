@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.dna import flip_dir, oriented, packed_length
 from helixframe.operators.overlap import EDGE, flipped
+from helixframe.plans.scratch import cut
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -48,19 +49,27 @@ def transitive_marks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     The other one comes earlier: a longer overlap, or an equal one of a shorter
     packed neighbour, then by id (upwards on the f side, downwards on the r
     side); equal overlap and length imply nothing. Each extension meets the
-    table of extensions through its prefixes, an equi-join of as many rows as
-    extensions have letters, so a side with very many edges costs no square.
+    table of extensions through its prefixes of the lengths that occur on its
+    side, by 128-bit hashes: an equi-join of as many rows for an edge as its
+    side has lengths, so neither a side with very many edges nor a very long
+    extension costs a square.
     """
-    x = extensions(edges, nodes)
     side = ["src", "src_dir"]
-    y = x.groupBy(*side, F.col("ext").alias("p"), F.col("ovl").alias("y_ovl")).agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"))
-    n = F.length("ext")
-    px = x.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.left(F.col("ext"), i))))
-    shorter = packed_length(F.col("y_ovl") + F.length("p")) < packed_length(F.col("ovl") + n)
-    level = packed_length(F.col("y_ovl") + F.length("p")) == packed_length(F.col("ovl") + n)
+    x = cut(extensions(edges, nodes).select(*EDGE, "ext", F.length("ext").alias("len")), "extensions")
+    y = x.groupBy(*side, "len", *_print("ext"), F.col("ovl").alias("y_ovl")).agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"))
+    y = y.withColumnRenamed("len", "p_len")
+    lengths = x.groupBy(*side).agg(F.collect_set("len").alias("lens"))
+    px = x.join(lengths, side).select(*EDGE, "len", "ext", F.explode(F.filter("lens", lambda n: n <= F.col("len"))).alias("p_len"))
+    px = px.select(*EDGE, "len", "p_len", *_print(F.left("ext", F.col("p_len"))))
+    short, own = packed_length(F.col("y_ovl") + F.col("p_len")), packed_length(F.col("ovl") + F.col("len"))
     by_id = F.when(F.col("src_dir") == "f", F.col("lo") < F.col("dst")).otherwise(F.col("hi") > F.col("dst"))
-    tie = (F.col("y_ovl") == F.col("ovl")) & (F.length("p") < n) & (shorter | (level & by_id))
-    return px.join(y, [*side, "p"]).filter((F.col("y_ovl") > F.col("ovl")) | tie).select(*EDGE).distinct()
+    tie = (F.col("y_ovl") == F.col("ovl")) & (F.col("p_len") < F.col("len")) & ((short < own) | ((short == own) & by_id))
+    return px.join(y, [*side, "p_len", "h1", "h2"]).filter((F.col("y_ovl") > F.col("ovl")) | tie).select(*EDGE).distinct()
+
+
+def _print(text: Column | str) -> list[Column]:
+    t = F.col(text) if isinstance(text, str) else text
+    return [F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("_"), t).alias("h2")]
 
 
 def transitive_reduction(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -49,9 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` into the shared folder and return a scan of the files."""
+#: Rows of a file of a table whose size is known beforehand.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, name: str = "cut", *, rows: int | None = None) -> DataFrame:
+    """Write ``df`` into the shared folder and return a scan of the files.
+
+    ``rows``: a bound of its rows, where one is known and making them is little
+    work: it is then written by as many tasks as such rows need, not by one for
+    each partition of the last exchange.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = reserve(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

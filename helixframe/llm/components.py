@@ -20,14 +20,15 @@ def connected_components(links: DataFrame, a: str, b: str, *, max_rounds: int =
     a, b = F.col(f"`{a}`"), F.col(f"`{b}`")
     now = cut(links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     mark = _mark(now)
+    size = 2 * mark[0]
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "large")
+        large = cut(large, "large", rows=size)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small", rows=size)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -216,7 +216,7 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     """(id, fp, component_id): a row for each row; a component has its least id. ``tables``: those of ``pigeonhole`` unless given."""
     tables = tables or pigeonhole(64 * words, radius, radius + 2)
     own = cut(fingerprints(df, text=text, id_col=id_col, shingle=shingle, words=words), "prints")
-    reps = cut(own.groupBy("fp").agg(F.min(id_col).alias("first")), "reps")
+    reps = cut(own.groupBy("fp").agg(F.min(id_col).alias("first")), "reps", rows=own.count())
     found = connected_components(links(reps, tables, radius, words=words, tile=tile), "a", "b")
     known = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -61,10 +61,10 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
     named = leaf.select("k", F.concat("sha", F.lit(":"), F.col("n").cast("string")).alias("h"))
     levels = [cut(_nodes(named, 0), "leaves")]
     while True:
-        low, high = levels[-1].agg(F.min("k"), F.max("k")).first()
+        low, high, size = levels[-1].agg(F.min("k"), F.max("k"), F.count("*")).first()
         if low is None or low == high and low in (0, -1):
             return levels
-        levels.append(cut(_nodes(levels[-1], FANOUT_BITS), "nodes"))
+        levels.append(cut(_nodes(levels[-1], FANOUT_BITS), "nodes", rows=size))
         if low < 0 <= high and high >> FANOUT_BITS == 0 and low >> FANOUT_BITS == -1:
             return levels
 
@@ -79,7 +79,7 @@ def differing_keys(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     top = min(len(a), len(b)) - 1
     bad = _differing(a[top], b[top])
     for x, y in zip(a[:top][::-1], b[:top][::-1], strict=True):
-        parents = cut(bad, "damaged").withColumnRenamed("k", "p")
+        parents = cut(bad, "damaged", rows=x.count() + y.count()).withColumnRenamed("k", "p")
         below = [t.withColumn("p", F.shiftright("k", FANOUT_BITS)).join(parents, "p", "left_semi").select("k", "h") for t in (x, y)]
         bad = _differing(*below)
     return bad

@@ -42,10 +42,10 @@ GRAM = 32
 BLOCK = 1 << 20
 #: Bytes of a shard from which a new one is begun, if the anchor changes.
 SHARD = 6 << 20
-#: Segments of one anchor beyond which its windows are compared by hash, in all tasks.
+#: Segments of one anchor beyond which it is split by the bytes around it.
 CROWD = 40_000
-#: Entries of a shard's queues that are held in memory.
-HELD = 32 << 20
+#: Entries of a shard's queue that are held in memory, a fraction of a shard's.
+HELD = 1 << 18
 
 
 def _mix() -> np.ndarray:
@@ -96,12 +96,26 @@ def _documents(df: DataFrame, text: str, id_col: str) -> DataFrame:
 PLACE = "id long, th long, p long"
 
 
+ROWS = "h long, c long, id long, th long, p long"
+
+
+def _in_order(h: list[int], c: list[int], ids: np.ndarray, ths: np.ndarray, p: list[int]) -> pa.RecordBatch:
+    """Rows of a batch in order. Segments equal to an earlier one of the batch are repeats for sure: their p is negated, and they go by a hash of their place."""
+    x = np.stack([np.array(h, np.int64), np.array(c, np.uint64).view(np.int64), ids, ths, np.array(p, np.int64)])
+    x = x[:, np.lexsort(x[::-1])]
+    new = np.concatenate(([True], (x[:2, 1:] != x[:2, :-1]).any(0)))[: x.shape[1]]
+    lead = np.maximum.accumulate(np.where(new, np.arange(x.shape[1]), 0))
+    sure = ~new & (x[2:] != x[2:, lead]).any(0)
+    x[0, sure] = (x[2, sure] * 31 + x[4, sure]) * 0x2545F4914F6CDD1D
+    x[4, sure] = ~x[4, sure]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["h", "c", "id", "th", "p"])
+
+
 def segment_rows(docs: DataFrame, length: int) -> DataFrame:
     """(h, c, id, th, p): anchor's hash, hash of the segment's bytes, document, start and windows packed as start * 256 + windows.
 
-    Segments equal to an earlier one of the same batch are repeats for sure:
-    their p is negated, and they go by a hash of their place, so a passage of a
-    third of all documents sends one row for each batch to its anchor's task.
+    A passage of a third of all documents sends one row for each batch to its
+    anchor's task; the batch's other copies are known to be repeats already.
     """
 
     def emit(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -114,17 +128,41 @@ def segment_rows(docs: DataFrame, length: int) -> DataFrame:
                 c.append(hash_(t[s : s + w + length - 1]))
                 p.append(s << 8 | w)
             counts.append(len(h) - n)
-        ids, ths = (np.repeat(b.column(i).to_numpy(), counts) for i in (0, 1))
-        x = np.stack([np.array(h, np.int64), np.array(c, np.uint64).view(np.int64), ids, ths, np.array(p, np.int64)])
-        x = x[:, np.lexsort(x[::-1])]
-        new = np.concatenate(([True], (x[:2, 1:] != x[:2, :-1]).any(0)))[: x.shape[1]]
-        lead = np.maximum.accumulate(np.where(new, np.arange(x.shape[1]), 0))
-        sure = ~new & (x[2:] != x[2:, lead]).any(0)
-        x[0, sure] = (x[2, sure] * 31 + x[4, sure]) * 0x2545F4914F6CDD1D
-        x[4, sure] = ~x[4, sure]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["h", "c", "id", "th", "p"])
+        return _in_order(h, c, *(np.repeat(b.column(i).to_numpy(), counts) for i in (0, 1)), p)
+
+    return by_batch(docs, emit, ROWS, rows=256)
+
+
+def finer_rows(parts: DataFrame, length: int, span: int) -> DataFrame:
+    """The rows of segments cut up by where the anchor lies in a window, in ranges of ``span`` places.
+
+    All windows of a range share the bytes around the anchor but for ``span``
+    less one, and equal windows lie in one range: the hash of these bytes is
+    the new h. With a span of 1 they are the whole window.
+    """
+
+    def emit(b: pa.RecordBatch) -> pa.RecordBatch:
+        mixed, hash_ = _mix(), xxhash.xxh3_64_intdigest
+        h, c, p, counts = [], [], [], []
+        for own, start, part in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            n, w = len(h), len(part) - length + 1
+            if span > 1:
+                q = int(np.flatnonzero(gram_hashes(np.frombuffer(part, np.uint8), mixed).view(np.int64) == own)[0])
+                for low in range((q - w + 1) // span * span, q + 1, span):
+                    first, last = max(0, q - low - span + 1), min(w - 1, q - low)  # windows whose anchor lies at low to low + span - 1
+                    h.append(hash_(part[max(0, q - low) : q - low - span + 1 + length], low) - (1 << 63))
+                    c.append(hash_(part[first : last + length]))
+                    p.append((start + first) << 8 | last - first + 1)
+            else:
+                for k in range(w):
+                    window = part[k : k + length]
+                    h.append(hash_(window, 1) - (1 << 63))
+                    c.append(hash_(window))
+                    p.append((start + k) << 8 | 1)
+            counts.append(len(h) - n)
+        return _in_order(h, c, *(np.repeat(b.column(i).to_numpy(), counts) for i in (1, 2)), p)
 
-    return by_batch(docs, emit, "h long, c long, id long, th long, p long", rows=256)
+    return by_batch(parts, emit, ROWS, rows=4096)
 
 
 def resolve(rows: DataFrame) -> DataFrame:
@@ -177,20 +215,25 @@ def resolve(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "repeat boolean, h long, id long, th long, p long")
 
 
-class Queues:
-    """A queue of positions for each bucket. Beyond ``held`` entries what is queued goes to a file, in order."""
+class Queue:
+    """A priority queue of suffixes by their first symbol, then by the order in which they come, each with its common prefix with the one before it.
+
+    Induction puts the suffixes of a symbol in their order, so a symbol's
+    entries are a run that is appended to and taken from the front: no heap is
+    needed. Beyond ``held`` entries the runs go to a file.
+    """
 
-    def __init__(self, buckets: int, held: int, folder: str):
-        self.parts: list[list] = [[] for _ in range(buckets)]
+    def __init__(self, symbols: int, held: int, folder: str | None):
+        self.parts: list[list] = [[] for _ in range(symbols)]
         self.size, self.held, self.folder, self.file = 0, held, folder, None
+        self.spilled = 0
 
-    def put(self, at: np.ndarray, bucket: np.ndarray) -> None:
-        """Appends each position to its bucket, keeping their order."""
-        order = np.argsort(bucket, kind="stable")
-        at, counts = at[order], np.bincount(bucket, minlength=len(self.parts))
+    def put(self, at: np.ndarray, symbol: np.ndarray, common: np.ndarray) -> None:
+        """Appends each suffix to its symbol's run. All are in the order of their symbols."""
+        counts = np.bincount(symbol, minlength=len(self.parts))
         ends = np.cumsum(counts)
         for c in np.flatnonzero(counts).tolist():
-            self.parts[c].append(at[ends[c] - counts[c] : ends[c]])
+            self.parts[c].append((at[ends[c] - counts[c] : ends[c]], common[ends[c] - counts[c] : ends[c]]))
         self.size += len(at)
         if self.size > self.held:
             self._spill()
@@ -200,77 +243,147 @@ class Queues:
         self.file.seek(0, os.SEEK_END)
         for parts in self.parts:
             for i, x in enumerate(parts):
-                if isinstance(x, np.ndarray):
-                    parts[i] = (self.file.tell(), len(x))
-                    self.file.write(np.ascontiguousarray(x, np.int64).tobytes())
+                if isinstance(x[0], np.ndarray):
+                    parts[i] = (self.file.tell(), len(x[0]))
+                    self.file.write(np.ascontiguousarray(x[0], np.int64).tobytes())
+                    self.file.write(np.ascontiguousarray(x[1], np.uint8).tobytes())
+                    self.spilled += len(x[0])
         self.size = 0
 
-    def take(self, c: int) -> np.ndarray:
-        """All that is queued in a bucket, which is empty then."""
+    def take(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """All that is queued under a symbol, whose run is empty then."""
         parts, self.parts[c] = self.parts[c], []
-        out = []
+        at, common = [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
         for x in parts:
-            if isinstance(x, np.ndarray):
-                self.size -= len(x)
-                out.append(x)
+            if isinstance(x[0], np.ndarray):
+                self.size -= len(x[0])
+                at.append(x[0])
+                common.append(x[1])
             else:
                 self.file.seek(x[0])
-                out.append(np.frombuffer(self.file.read(8 * x[1]), np.int64))
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+                at.append(np.frombuffer(self.file.read(8 * x[1]), np.int64))
+                common.append(np.frombuffer(self.file.read(x[1]), np.uint8))
+        return np.concatenate(at), np.concatenate(common)
+
+
+class _Least:
+    """For each symbol the least common prefix among the suffixes that were passed since one of them induced a suffix of that symbol."""
+
+    def __init__(self, symbols: int):
+        self.low = np.zeros(symbols, np.uint8)  # nothing was induced yet: the first of a symbol shares nothing with what precedes it
+
+    def through(self, common: np.ndarray, sources: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passes suffixes with these common prefixes, of which those at ``sources`` induce suffixes of ``symbol``: their order by symbol, and for each the least prefix since the last source of its symbol."""
+        order = np.argsort(symbol, kind="stable")
+        s, c = sources[order], symbol[order]
+        new = np.concatenate(([True], c[1:] != c[:-1]))[: len(c)]
+        since = np.where(new, 0, np.concatenate(([0], s[:-1] + 1))[: len(s)])
+        least = _minima(common, since, s)
+        least[new] = np.minimum(least[new], self.low[c[new]])
+        if len(common):
+            tail = np.minimum.accumulate(common[::-1])[::-1]
+            kept = np.minimum(self.low, tail[0])
+            last = np.concatenate((new[1:], [True]))[: len(c)]
+            at = s[last] + 1
+            kept[c[last]] = np.where(at < len(common), tail[np.minimum(at, len(common) - 1)], 255)
+            self.low = kept
+        return order, least
+
+
+def _minima(x: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The least of x[a] to x[z], for each pair, by a table of minima over powers of two."""
+    out = np.full(len(a), 255, np.uint8)
+    size = z - a + 1
+    level, width, table = 0, 1, x
+    while len(a) and width <= int(size.max()):
+        here = (size >= width) & (size < 2 * width)
+        out[here] = np.minimum(table[a[here]], table[z[here] - width + 1])
+        if 2 * width <= len(x):
+            table = np.minimum(table[:-width], table[width:])
+        level, width = level + 1, 2 * width
+    return out
+
+
+def _runs(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(True where a suffix is less than the one after it (S), how often its first symbol stands there): by the next place where the symbols differ."""
+    step = np.sign(np.diff(symbol)).astype(np.int8)
+    at = np.where(step != 0, np.arange(len(step)), len(step))
+    at = np.append(np.minimum.accumulate(at[::-1])[::-1], len(step))
+    return np.append(np.append(step, 0)[at[:-1]] > 0, True), np.minimum(at - np.arange(len(symbol)) + 1, 255).astype(np.uint8)
 
 
-def _types(t: np.ndarray) -> np.ndarray:
-    """True where a suffix is less than the one after it (S), by the next place where the symbols differ."""
-    step = np.sign(np.diff(t)).astype(np.int8)
-    at = np.where(step != 0, np.arange(len(step)), len(step))
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(step, 0)[at] > 0, True)
+TOP = 257
 
 
-def induce(bucket: np.ndarray, s_type: np.ndarray, valleys: np.ndarray, held: int, folder: str) -> list[np.ndarray]:
-    """The order of all suffixes from that of the valleys (S after L): L suffixes upwards, then S suffixes downwards.
+def induce(bucket: np.ndarray, s_type: np.ndarray, run: np.ndarray, valleys: np.ndarray, common: np.ndarray, cap: int, held: int, folder: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes in falling order of their first symbols, each symbol's in order: (places, common prefix with the one before, up to ``cap``).
 
     ``bucket``: symbols with all separators as 0, whose own order is that of
-    ``valleys``. A bucket's suffixes are taken from its queue in rounds; those
-    that they induce in the same bucket are the next round.
+    ``valleys``; ``common``: the prefixes that the valleys share with the valley
+    before. L suffixes are induced upwards, then S suffixes downwards. A
+    symbol's suffixes are taken from its queue in rounds; those that they induce
+    under the same symbol are the next round. Two suffixes that follow each
+    other under a symbol share one symbol more than their sources do, which is
+    the least of what all suffixes between these share.
     """
-    top = 257
-    up, down = Queues(top, held, folder), Queues(top, held, folder)
-    leads = Queues(top, held, folder)
-    leads.put(valleys, bucket[valleys])
-    l_part = []
-    for c in range(top):
-        rounds, front = [], up.take(c)
-        while len(front):
-            rounds.append(front)
-            before = front[front > 0] - 1
-            before = before[~s_type[before]]
-            own = bucket[before]
-            up.put(before[own != c], own[own != c])
-            front = before[own == c]
-        l_part.append(np.concatenate(rounds) if rounds else np.empty(0, np.int64))
-        lead = leads.take(c)
-        before = lead[lead > 0] - 1
-        before = before[~s_type[before]]
-        up.put(before, bucket[before])
-    order = []
-    for c in range(top - 1, -1, -1):
-        rounds, front = [], down.take(c)
-        while len(front):
-            rounds.append(front)
-            before = front[front > 0] - 1
-            before = before[s_type[before]]
-            own = bucket[before]
-            down.put(before[own != c], own[own != c])
-            front = before[own == c]
-        s_part = np.concatenate(rounds) if rounds else np.empty(0, np.int64)
-        back = l_part[c][::-1]
-        before = back[back > 0] - 1
-        before = before[s_type[before]]
-        down.put(before, bucket[before])
-        l_part[c], done = np.empty(0, np.int64), l_part[c]
-        order.append(np.concatenate((done, s_part[::-1])))
-    return order[::-1]
+    leads, up, down, done = (Queue(TOP, held, folder) for _ in range(4))
+    order = np.argsort(bucket[valleys], kind="stable")
+    leads.put(valleys[order], bucket[valleys][order], common[order])
+
+    def more(least: np.ndarray) -> np.ndarray:
+        return np.minimum(least, cap - 1) + np.uint8(1)
+
+    def expand(queue: Queue, least: _Least, c: int, at: np.ndarray, shared: np.ndarray, want: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Passes suffixes and puts those that they induce; the ones under the same symbol come back."""
+        sources = np.flatnonzero(at > 0)
+        sources = sources[s_type[at[sources] - 1] == want]
+        before = at[sources] - 1
+        symbol = bucket[before]
+        by, low = least.through(shared, sources, symbol)
+        before, symbol, low = before[by], symbol[by], more(low)
+        own = symbol == c
+        if own.all():
+            return before, low
+        queue.put(before[~own], symbol[~own], low[~own])
+        return before[own], low[own]
+
+    def rounds(queue: Queue, least: _Least, c: int, want: bool) -> tuple[np.ndarray, np.ndarray]:
+        at, shared = queue.take(c)
+        if len(shared):
+            shared = shared.copy()
+            shared[0] = 0
+        all_at, all_shared = [at], [shared]
+        while len(at):
+            at, shared = expand(queue, least, c, at, shared, want)
+            all_at.append(at)
+            all_shared.append(shared)
+        return np.concatenate(all_at), np.concatenate(all_shared)
+
+    least = _Least(TOP)
+    for c in range(TOP):
+        at, shared = rounds(up, least, c, False)
+        if len(at):
+            done.put(at, np.full(len(at), c), shared)
+        lead, between = leads.take(c)
+        if len(lead):
+            between = between.copy()
+            between[0] = min(int(run[at[-1]]), int(run[lead[0]]), cap) if len(at) else 0
+            expand(up, least, c, lead, between, False)
+    least = _Least(TOP)
+    for c in range(TOP - 1, -1, -1):
+        at, shared = rounds(down, least, c, True)  # downwards: each with the one above it
+        lower, between = done.take(c)
+        edge = min(int(run[at[-1]]), int(run[lower[-1]]), cap) if len(at) and len(lower) else 0
+        if len(lower):
+            # From the last one down, each shares with the one above it what that one shares with it.
+            expand(down, least, c, lower[::-1], np.append(between[1:], np.uint8(edge))[::-1], True)
+        if len(at):
+            shared = np.append(shared[1:], np.uint8(edge))[::-1]
+        yield np.concatenate((lower, at[::-1])), np.concatenate((between, shared))
+    if any(q.file for q in (leads, up, down, done)):
+        for q in (leads, up, down, done):
+            if q.file:
+                q.file.close()
 
 
 def _by_doubling(names: np.ndarray) -> np.ndarray:
@@ -289,25 +402,37 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
             return sa
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray, held: int = HELD, folder: str | None = None) -> np.ndarray:
-    """All suffixes of a text of bytes in order. ``ends`` are separators' places: each is a symbol of its own, less than any byte."""
+def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many bytes from a and from b on are equal, up to a limit: eight at a time."""
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    out, left, d = np.zeros(len(a), np.int64), np.flatnonzero(limit > 0), 0
+    while len(left):
+        x = words[a[left] + d].view("<u8")[:, 0] ^ words[b[left] + d].view("<u8")[:, 0]
+        same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) // 8)
+        out[left] = d + same
+        d += 8
+        left = left[(same == 8) & (limit[left] > d)]
+    return np.minimum(out, limit)
+
+
+def suffixes(text: np.ndarray, ends: np.ndarray, cap: int, held: int = HELD, folder: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``induce`` of a text of bytes. ``ends`` are separators' places, the last one the text's end: each is a symbol of its own, less than any byte."""
     n = len(text)
     bucket = text.astype(np.int16) + 1
     bucket[ends] = 0
     symbol = bucket.astype(np.int64) + len(ends)
     symbol[ends] = np.arange(len(ends))
-    s_type = _types(symbol)
+    s_type, run = _runs(symbol)
     valleys = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    if not len(valleys):
-        return np.argsort(symbol, kind="stable")
+    none = np.zeros(len(valleys), np.uint8)
     # First by their beginnings only: inducing from that puts their substrings in order.
     start = valleys[np.argsort(symbol[valleys], kind="stable")]
-    got = np.concatenate(induce(bucket, s_type, start, held, folder))
     is_valley = np.zeros(n, bool)
     is_valley[valleys] = True
-    got = got[is_valley[got]]
+    got = [at[is_valley[at]] for at, _ in induce(bucket, s_type, run, start, none, cap, held, folder)]
     # Separators are one bucket there; their order is that of their places.
-    got = np.concatenate((ends[is_valley[ends]], got[bucket[got] > 0]))
+    got = np.concatenate([ends[is_valley[ends]], *got[-2::-1]])
     size = np.full(n, 1, np.int64)
     size[valleys[:-1]] = np.diff(valleys) + 1
     same = size[got[1:]] == size[got[:-1]]
@@ -319,40 +444,47 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, held: int = HELD, folder: s
         d += 1
         left = left[equal & (size[got[left]] > d)]
     name = np.empty(n, np.int64)
-    name[got] = np.cumsum(np.concatenate(([0], ~same)))
+    name[got] = np.cumsum(np.concatenate(([0], ~same)))[: len(got)]
     names = name[valleys]
+    del name, size, symbol
     if len(np.unique(names)) < len(valleys):
         got = valleys[_by_doubling(names)]
-    return np.concatenate(induce(bucket, s_type, got, held, folder))
+    after = np.diff(np.concatenate(([-1], ends)))
+    left = (np.repeat(ends, after) - np.arange(n))[got]  # bytes before the next separator
+    common = np.zeros(len(got), np.int64)
+    common[1:] = _shared(text, got[1:], got[:-1], np.minimum(np.minimum(left[1:], left[:-1]), cap))
+    yield from induce(bucket, s_type, run, got, common.astype(np.uint8), cap, held, folder)
 
 
 def repeated_windows(parts: list[bytes], rank: np.ndarray, start: np.ndarray, length: int, held: int = HELD, folder: str | None = None) -> Iterator[tuple[int, int, int]]:
-    """(segment, first window, windows) of runs of windows that an earlier segment has: earlier by (rank, start)."""
+    """(segment, first window, windows) of runs of windows that an earlier segment has: earlier by (rank, start).
+
+    Suffixes that share ``length`` bytes with the one before them begin with the
+    same window; the common prefixes come with the order.
+    """
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-    of = np.repeat(np.arange(len(parts)), sizes + 1)
-    order = suffix_order(text, ends, held, folder)
-    order = order[ends[of[order]] - order >= length]
-    if len(order) < 2:
-        return
-    views = np.lib.stride_tricks.sliding_window_view(text, length)
-    same = np.empty(len(order) - 1, bool)
-    for i in range(0, len(same), 1 << 16):
-        rows = views[order[i : i + (1 << 16) + 1]]
-        same[i : i + (1 << 16)] = (rows[1:] == rows[:-1]).all(1)
-    firsts = np.flatnonzero(np.concatenate(([True], ~same)))
-    seg = of[order]
-    offset = order - (ends[seg] - sizes[seg])
-    place = rank[seg] * (1 << 40) + start[seg] + offset
-    low = np.minimum.reduceat(place, firsts)
-    late = place > np.repeat(low, np.diff(np.append(firsts, len(order))))
-    seg, offset = seg[late], offset[late]
-    by = np.lexsort((offset, seg))
-    seg, offset = seg[by], offset[by]
-    new = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (offset[1:] != offset[:-1] + 1)))) if len(seg) else np.empty(0, np.int64)
-    for a, b in zip(new.tolist(), np.append(new[1:], len(seg)).tolist(), strict=True):
-        yield int(seg[a]), int(offset[a]), b - a
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)
+    late: list[np.ndarray] = []
+    for order, common in suffixes(text, ends, length, held, folder):
+        new = (common < length) | (text[order] == 0) & (ends[of[order]] == order)  # a separator begins no window
+        if new.all():
+            continue
+        firsts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        at, group = order[several], group[several]
+        seg = of[at]
+        place = rank[seg] * (1 << 40) + start[seg] + at - (ends[seg] - sizes[seg])
+        low = np.full(len(firsts), np.iinfo(np.int64).max)
+        np.minimum.at(low, group, place)
+        late.append(at[place > low[group]])
+    found = np.sort(np.concatenate(late)) if late else np.empty(0, np.int64)
+    new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1] + 1))) if len(found) else np.empty(0, np.int64)
+    seg = of[found[new]] if len(found) else found
+    offset = found[new] - (ends[seg] - sizes[seg]) if len(found) else found
+    yield from zip(seg.tolist(), offset.tolist(), np.diff(np.append(new, len(found))).tolist(), strict=True)
 
 
 def _fetched(docs: DataFrame, leads: DataFrame, length: int) -> DataFrame:
@@ -373,31 +505,23 @@ def _fetched(docs: DataFrame, leads: DataFrame, length: int) -> DataFrame:
     return by_batch(joined, fetch, "h long, id long, th long, s long, part binary", rows=256)
 
 
-def crowded_repeats(parts: DataFrame, length: int) -> DataFrame:
-    """(id, th, p): windows that an earlier segment has, for anchors of more segments than a task should hold: by 128-bit hashes of the windows, whose first places combine before the shuffle."""
-
-    def windows(b: pa.RecordBatch) -> pa.RecordBatch:
-        raw, counts = [], []
-        for part in b.column(4).to_pylist():
-            raw.extend(xxhash.xxh3_128_digest(part[k : k + length]) for k in range(len(part) - length + 1))
-            counts.append(len(part) - length + 1)
-        w = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
-        at = np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids, ths, starts = (np.repeat(b.column(i).to_numpy(), counts) for i in (1, 2, 3))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (w[:, 0].copy(), w[:, 1].copy(), ids, ths, starts + at)], ["w1", "w2", "id", "th", "s"])
+#: Places of the anchor of a finer key, one level after the other.
+SPANS = (9, 1)
 
-    found = cut(by_batch(parts, windows, "w1 long, w2 long, id long, th long, s long"), "windows")
-    first = cut(found.groupBy("w1", "w2").agg(F.min(F.struct("id", "th", "s")).alias("x")), "firsts")
-    late = found.join(first, ["w1", "w2"]).filter(F.struct("id", "th", "s") != F.col("x"))
-    return late.select("id", "th", (F.col("s") * 256 + 1).alias("p"))
 
+def shard_repeats(docs: DataFrame, leads: DataFrame, length: int, *, shard: int = SHARD, held: int = HELD, crowd: int = CROWD, level: int = 0) -> DataFrame:
+    """(id, th, p): windows of the leading segments that an earlier leading segment has.
 
-def shard_repeats(docs: DataFrame, leads: DataFrame, length: int, *, shard: int = SHARD, held: int = HELD, crowd: int = CROWD) -> DataFrame:
-    """(id, th, p): windows of the leading segments that an earlier leading segment has."""
+    An anchor of more segments than a task should hold is split by the bytes
+    around it (``finer_rows``): its segments are cut up, equal ones collapse,
+    and the first ones of the finer keys are sorted like all others.
+    """
     many = cut(leads.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("h"), "crowds")
-    if not many.isEmpty():
+    if level < len(SPANS) and not many.isEmpty():
         rest = shard_repeats(docs, leads.join(many, "h", "left_anti"), length, shard=shard, held=held, crowd=2**62)
-        return rest.unionByName(crowded_repeats(_fetched(docs, leads.join(many, "h"), length), length))
+        finer = cut(resolve(finer_rows(_fetched(docs, leads.join(many, "h"), length), length, SPANS[level])), "finer")
+        own = shard_repeats(docs, finer.filter(~F.col("repeat")).select("h", "id", "th", "p"), length, shard=shard, held=held, crowd=crowd, level=len(SPANS) - 1 if level == 0 else len(SPANS))
+        return rest.unionByName(finer.filter("repeat").select("id", "th", "p")).unionByName(own)
     parts = _fetched(docs, leads, length)
     dealt = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "id", "th", "s")
 
@@ -437,8 +561,8 @@ def remove_repeats(df: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     The text that is left is bytes cut where a repeat begins or ends, which may
     be within a character: it is binary.
     """
-    if length <= GRAM or length - GRAM > 255:
-        raise ValueError(f"length must be over {GRAM} and at most {GRAM + 255}")
+    if length <= GRAM or length > 255:
+        raise ValueError(f"length must be over {GRAM} and at most 255")
     docs = _documents(df, text, id_col)
     found = cut(resolve(segment_rows(docs, length)), "segments")
     more = cut(shard_repeats(docs, found.filter(~F.col("repeat")).select("h", "id", "th", "p"), length, shard=shard, held=held, crowd=crowd), "repeats")

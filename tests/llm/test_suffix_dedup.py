@@ -31,9 +31,36 @@ def test_suffix_order(tmp_path):
         symbol = text.astype(int) + 1000
         symbol[ends] = np.arange(len(ends))
         want = [i for i in sorted(range(len(text)), key=lambda i: symbol[i:].tolist()) if i not in set(ends.tolist())]
-        for held in (1 << 20, 8):
-            got = [i for i in S.suffix_order(text, ends, held, str(tmp_path)).tolist() if i not in set(ends.tolist())]
-            assert got == want
+        common = []
+        for i, j in zip(want, want[1:]):
+            x, y = symbol[i:].tolist(), symbol[j:].tolist()
+            common.append(next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))))
+        for held, cap in ((1 << 20, 255), (8, 255), (8, 6), (64, 1)):
+            got = [(i, n) for at, shared in list(S.suffixes(text, ends, cap, held, str(tmp_path)))[-2::-1] for i, n in zip(at.tolist(), shared.tolist(), strict=True)]
+            assert [i for i, _ in got] == want
+            assert [n for _, n in got][1:] == [min(n, cap) for n in common]
+
+
+def test_queues_of_a_shard_go_to_disk_at_query_defaults(monkeypatch):
+    """A shard of ordinary size outgrows what its queues hold; the result is that of a queue in memory."""
+    spilled = []
+    spill = S.Queue._spill
+    monkeypatch.setattr(S.Queue, "_spill", lambda self: (spill(self), spilled.append(self.spilled)))
+    rng = np.random.default_rng(3)
+    base = [rng.integers(97, 101, 160, dtype=np.uint8).tobytes() for _ in range(9000)]
+    parts = [b[k % 60 :] + base[k - 1] for k, b in enumerate(base)] + [b[20:140] for b in base[:4000]]
+    rank, start = np.arange(len(parts)), np.zeros(len(parts), np.int64)
+    assert S.HELD < sum(map(len, parts)) < S.SHARD
+    got = list(S.repeated_windows(parts, rank, start, 100))
+    assert spilled
+    assert got == list(S.repeated_windows(parts, rank, start, 100, held=1 << 40))
+    seen, want = set(), []
+    for k, p in enumerate(parts):
+        for i in range(len(p) - 99):
+            if p[i : i + 100] in seen:
+                want.append((k, i))
+            seen.add(p[i : i + 100])
+    assert [(k, i + j) for k, i, n in got for j in range(n)] == want
 
 
 def test_equal_windows_have_equal_anchors():

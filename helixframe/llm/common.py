@@ -37,7 +37,11 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches of 8 MB where the session has the default of 64: a task holds a batch several times over."""
+    """Batches of 8 MB where the session has the default of 64: a task holds a batch several times over.
+
+    The setting stays for the session, as plans read it when they run; a value
+    of the user's own is left as it is.
+    """
     if spark.conf.get(BATCH_BYTES, None) in ("64MB", "64m", "67108864", "67108864b"):
         spark.conf.set(BATCH_BYTES, "8388608b")
 

@@ -5,14 +5,19 @@ boundaries depend on their neighbourhood alone. Each chunk between boundaries
 gives one of 64 letters. k is the block size's exponent: as for a signature of
 32 to 64 letters. A fingerprint is ``k:signature at k:signature at k + 1``, and
 two are compared where a block size is in both: by the edits (insertions and
-deletions) between the signatures, as a share of their letters.
+deletions) between the signatures, as a share of their letters. Where a level
+has far more boundaries than letters, as in a text that repeats one passage,
+letters stand for as many chunks each as are needed to cover the whole text.
 
 Null and empty texts have the fingerprint ``2::``; equal fingerprints are alike
 by 1, and a signature without letters like no other. Signatures that share no
-run of 5 letters are not alike at all.
+run of 5 letters (of half their letters, if the shorter one has fewer than 10)
+are not alike at all. Texts of any length have such a fingerprint.
 
 ``with_next`` gives each row the next row's text: rows are ordered by id (nulls
-first), rows of equal ids by their texts, and the first follows the last.
+first), rows of equal ids by their texts, and the first follows the last. Each
+row gives a row, repeated ones alike. Columns other than id and text are left
+out, so their names clash with none.
 """
 
 from __future__ import annotations
@@ -52,7 +57,9 @@ def rolling(data: np.ndarray, scattered: np.ndarray) -> np.ndarray:
 
 
 def signature(text: bytes, ends: np.ndarray) -> str:
-    """A letter for each chunk; the last one takes the rest."""
+    """A letter for each chunk; the last one takes the rest. Of more than twice as many chunks, neighbours are put together."""
+    if len(ends) >= 2 * LONGEST:
+        ends = ends[np.arange(1, LONGEST) * len(ends) // LONGEST]
     at = [0, *ends[: LONGEST - 1].tolist()]
     if at[-1] < len(text):
         at.append(len(text))
@@ -102,8 +109,9 @@ def common_length(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def _shares_run(a: str, b: str) -> bool:
-    runs = {a[i : i + COMMON] for i in range(len(a) - COMMON + 1)}
-    return any(b[i : i + COMMON] in runs for i in range(len(b) - COMMON + 1))
+    n = min(COMMON, max(2, min(len(a), len(b)) // 2))
+    runs = {a[i : i + n] for i in range(len(a) - n + 1)}
+    return any(b[i : i + n] in runs for i in range(len(b) - n + 1))
 
 
 def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:

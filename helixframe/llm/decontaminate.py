@@ -13,7 +13,9 @@ large it is, and the blocks' findings are put together by document.
 
 Null texts have no words, nor have null or empty items any window. Repeated
 items count by their ids. Each row of the documents gives a row; repeated rows
-give repeated results. Null item ids are left out of the list of ids.
+give repeated results. Null item ids are left out of the list of ids. A text of
+any length is one part of a shard's stream, whole. Other columns stay as they
+are, but for those that have the names of the new ones.
 """
 
 from __future__ import annotations
@@ -43,16 +45,31 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-def item_windows(items: list[list[bytes]], size: int) -> tuple[dict[bytes, int], dict[int, tuple[np.ndarray, list[list[int]]]]]:
-    """Word ids from 1, and by length the distinct windows with the items that have each. An item of fewer words is one window."""
+#: By length: the distinct windows, and the items that have each (item numbers of window q from offsets[q] to offsets[q + 1]).
+Windows = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def item_windows(items: list[list[bytes]], size: int) -> tuple[dict[bytes, int], Windows]:
+    """Word ids from 1, and the windows by length. An item of fewer words is one window. Windows are rows of numbers of four bytes each, so a block takes some times its characters."""
     ids: dict[bytes, int] = {}
-    found: dict[int, dict[tuple, set[int]]] = {}
+    rows: dict[int, list[tuple[int, np.ndarray]]] = {}
     for k, item in enumerate(items):
-        row = [ids.setdefault(w, len(ids) + 1) for w in item]
+        row = np.array([ids.setdefault(w, len(ids) + 1) for w in item], np.int32)
         n = min(size, len(row))
-        for i in range(len(row) - n + 1) if n else ():
-            found.setdefault(n, {}).setdefault(tuple(row[i : i + n]), set()).add(k)
-    return ids, {n: (np.array(list(w), np.int64), [sorted(s) for s in w.values()]) for n, w in found.items()}
+        if n:
+            rows.setdefault(n, []).append((k, np.lib.stride_tricks.sliding_window_view(row, n)))
+    found: Windows = {}
+    for n, parts in rows.items():
+        own = np.repeat(np.array([k for k, _ in parts], np.int32), [len(w) for _, w in parts])
+        table = np.concatenate([w for _, w in parts])
+        order = np.lexsort((own, *table.T[::-1]))
+        table, own = table[order], own[order]
+        new = np.concatenate(([True], (table[1:] != table[:-1]).any(1)))
+        once = new | np.concatenate(([True], own[1:] != own[:-1]))
+        which = np.cumsum(new) - 1
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(which[once]))))
+        found[n] = (table[new], offsets, own[once])
+    return ids, found
 
 
 class WaveletMatrix:
@@ -137,7 +154,7 @@ class FMIndex:
         return out
 
 
-def _hits(texts: list[bytes], ids: dict[bytes, int], windows: dict[int, tuple[np.ndarray, list[list[int]]]]) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
+def _hits(texts: list[bytes], ids: dict[bytes, int], windows: Windows) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
     """(words, merged spans of hit words, items) of each text, shard by shard."""
     least = min(windows, default=0)
     get = ids.get
@@ -152,7 +169,7 @@ def _hits(texts: list[bytes], ids: dict[bytes, int], windows: dict[int, tuple[np
             index = FMIndex(np.concatenate(parts))
             starts = np.array([s for _, runs in held for s, _, _ in runs], np.int64)
             back = [(k, first - s) for k, (_, runs) in enumerate(held) for s, first, _ in runs]
-            for n, (patterns, owners) in windows.items():
+            for n, (patterns, offsets, owners) in windows.items():
                 lo, hi = index.search(patterns)
                 before = np.concatenate(([0], np.cumsum(hi - lo)))
                 for a in range(0, int(before[-1]), LOCATED):
@@ -162,7 +179,7 @@ def _hits(texts: list[bytes], ids: dict[bytes, int], windows: dict[int, tuple[np
                     for q, x, run in zip(p.tolist(), at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True):
                         k, shift = back[run]
                         spans[k].append((x + shift, x + shift + n))
-                        items[k].update(owners[q])
+                        items[k].update(owners[offsets[q] : offsets[q + 1]].tolist())
         for (n, _), s, i in zip(held, spans, items, strict=True):
             merged: list[list[int]] = []
             for a, b in sorted(s):

@@ -6,6 +6,8 @@ the texts are put together again from the lines that stay, in their order.
 Each row counts as one document: repeated rows are documents of their own, and
 rows with a null id are documents too. A null text is one empty line, as is an
 empty text. Empty keys never count, so empty lines always stay (``min_chars``).
+Texts of any length are read whole. Other columns stay as they are, but for
+those that have the names of the new ones.
 """
 
 from __future__ import annotations
@@ -107,20 +109,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH split AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), line AS (
-  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split
+  SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split
 ), keyed AS (
-  SELECT doc_id, line, pos,
+  SELECT r, doc_id, line, pos,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM line
 ), common AS (
-  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10
 ), marked AS (
-  SELECT d.doc_id, d.line, d.pos, c.k IS NOT NULL AS gone FROM keyed d LEFT JOIN common c ON d.k = c.k
+  SELECT d.r, d.doc_id, d.line, d.pos, c.k IS NOT NULL AS gone FROM keyed d LEFT JOIN common c ON d.k = c.k
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

@@ -7,13 +7,15 @@ logistic function of a bias, linear weights, and the products of low-rank
 factors for all pairs of features, summed in linear time as half of the square
 of the sum less the sum of squares.
 
-The model is fitted on the driver on at most ``max_rows`` labelled rows, those
-of the least hashes of their ids; everything else covers all rows. Without
-labels of both kinds every score is the share of label 1 (0.5 without labels).
+The model is fitted on the driver on at most ``max_rows`` labelled documents,
+those of the least hashes of their ids (of repeated ids, each row is one);
+everything else covers all rows. Without labels of both kinds every score is the
+share of label 1 (0.5 without labels).
 
 Null and empty texts are scored by their bins alone. Labels that are null, or
 whose id is, are not used; of repeated labels each counts. Each row of the
-documents gives a row.
+documents gives a row. Texts of any length are read whole. Other columns stay
+as they are, but for one that has the name of the score.
 """
 
 from __future__ import annotations
@@ -140,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
         columns = [b.column(0), b.column(1), pa.array([x.astype("<i4").tobytes() for x, _ in found], pa.binary()), pa.array([y.astype("<f4").tobytes() for _, y in found], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["id", "y", "place", "value"])
 
-    got = by_batch(joined, emit, "id string, y int, place binary, value binary").orderBy("id", "y", "place").limit(2 * max_rows).collect()
+    got = by_batch(joined, emit, "id string, y int, place binary, value binary").orderBy(F.xxhash64("id"), "id", "y", "place").limit(max_rows).collect()
     rows = [(np.frombuffer(r.place, "<i4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(np.float64)) for r in got]
     return fit(rows, np.array([r.y for r in got], np.float64))
 

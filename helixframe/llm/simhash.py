@@ -10,7 +10,9 @@ further apart than the radius are skipped.
 
 Every row takes part. Null and empty texts have fingerprint zero, linked like
 any other. Equal fingerprints are one node, however many rows have them, so
-copies never multiply. Rows with a null id get their component's id too.
+copies never multiply. Rows with a null id get their component's id too. Texts
+of any length are read whole. Columns other than id and text are left out, so
+their names clash with none.
 """
 
 from __future__ import annotations

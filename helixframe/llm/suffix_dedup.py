@@ -43,7 +43,7 @@ BLOCK = 1 << 20
 #: Bytes of a shard from which a new one is begun, if the anchor changes.
 SHARD = 6 << 20
 #: Segments of one anchor beyond which it is split by the bytes around it.
-CROWD = 40_000
+CROWD = 2_000
 #: Entries of a shard's queue that are held in memory, a fraction of a shard's.
 HELD = 1 << 18
 

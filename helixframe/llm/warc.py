@@ -1,18 +1,22 @@
 """WARC records and a Merkle audit of their replicas.
 
 A page is a WARC record: header lines, a blank line, the body. Records lie in
-files by ranges of ``FILE`` keys, ordered by key, at the offsets that the
-lengths before them add up to. A record's hash is a leaf at its key; a node is
-the hash of the hashes of up to ``FANOUT`` neighbours, level by level up to one
-root. Two replicas are compared from the root down, and a level's nodes are
-looked at only below a node that differed, so work after hashing follows the
-damage and not the archive.
+files by ranges of 2^12 keys, ordered by key and then by hash, at the offsets
+that the lengths before them add up to; ``write_warc`` writes these files. A
+node stands for a range of a file's bytes: it is the hash of the hashes and the
+lengths of its parts in their order, from a key's records through up to 64
+neighbours, level by level up to one root. Two replicas are compared from the
+root down, and a level's nodes are looked at only below a node that differed,
+so work after hashing follows the damage and not the archive.
 
 A null url or html is the empty text. A null key is replaced by a negative one
 made from the record. Records of equal keys share a leaf: their distinct hashes
-with their counts, in order; a repeated record that one replica has less often
-is reported. Records lost and records added are reported with a null hash on
-the side that lacks them.
+with their counts, in order, put together from parts by the hashes' first
+digits, so a key of a third of all records is dealt out; a repeated
+record that one replica has less often is reported. Records lost and records
+added are reported with a null hash on the side that lacks them. Bodies of any
+length stay in the task that reads them. Other columns of the pages are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from helixframe.plans.scratch import cut
 #: Children of a node, as bits of the key; keys of a file, likewise.
 FANOUT_BITS = 6
 FILE_BITS = 12
+#: Hex digits of a record's hash by which a key's records are dealt to parts.
+PART_DIGITS = 3
 
 
 def record(key: Column, url: Column, html: Column) -> Column:
@@ -41,25 +47,41 @@ def record(key: Column, url: Column, html: Column) -> Column:
     return F.concat(head, body)
 
 
+def _key(key: str, whole: Column) -> Column:
+    return F.coalesce(F.col(key).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.lit(0), whole), 24))
+
+
 def leaves(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(k, id, size, sha, n): a row for each distinct record of each key; n counts its repeats. Bodies never leave their task."""
     whole = record(F.col(key), F.col(url), F.col(html))
-    spread = -1 - F.shiftrightunsigned(F.xxhash64(F.lit(0), whole), 24)
-    hashed = pages.select(F.coalesce(F.col(key).cast("long"), spread).alias("k"), F.col(key).cast("long").alias("id"), (F.octet_length(whole) + 4).cast("long").alias("size"), F.sha2(whole, 256).alias("sha"))
+    hashed = pages.select(_key(key, whole).alias("k"), F.col(key).cast("long").alias("id"), (F.octet_length(whole) + 4).cast("long").alias("size"), F.sha2(whole, 256).alias("sha"))
     return hashed.groupBy("k", "id", "size", "sha").agg(F.count("*").alias("n"))
 
 
+def _joined(*child: str) -> tuple[Column, Column]:
+    """(h, bytes) of a node: the hash of its children's hashes and lengths in their order, and the sum of the lengths."""
+    ordered = F.array_sort(F.collect_list(F.struct(*child, "h", "bytes")))
+    return F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x["h"], F.lit(":"), x["bytes"].cast("string"))), ""), 256).alias("h"), F.sum("bytes").alias("bytes")
+
+
+def _part() -> Column:
+    return F.left("sha", F.lit(PART_DIGITS)).alias("part")
+
+
+def _leaves(records: DataFrame) -> DataFrame:
+    """(k, h, bytes) of each key, from its parts."""
+    each = records.select("k", _part(), F.concat("sha", F.lit(":"), F.col("n").cast("string")).alias("h"), (F.col("size") * F.col("n")).alias("bytes"))
+    return each.groupBy("k", "part").agg(*_joined()).groupBy("k").agg(*_joined("part"))
+
+
 def _nodes(children: DataFrame, bits: int) -> DataFrame:
-    """(k, h) of the level above: keys without their last ``bits``. A node has at most 2^bits children, a leaf its key's distinct records."""
-    up = children.groupBy(F.shiftright("k", bits).alias("k"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("k").alias("c"), "h")))
-    return up.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("h"))
+    """(k, h, bytes) of the level above: keys without their last ``bits``. A node has at most 2^bits children."""
+    return children.withColumnRenamed("k", "c").groupBy(F.shiftright("c", bits).alias("k")).agg(*_joined("c"))
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels of (k, h) from the leaves' to the root's; each is written, as both the level above and the audit read it."""
-    named = leaf.select("k", F.concat("sha", F.lit(":"), F.col("n").cast("string")).alias("h"))
-    levels = [cut(_nodes(named, 0), "leaves")]
+    """Levels of (k, h, bytes) from the leaves' to the root's; each is written, as both the level above and the audit read it."""
+    levels = [cut(_leaves(leaf), "leaves")]
     while True:
         low, high, size = levels[-1].agg(F.min("k"), F.max("k"), F.count("*")).first()
         if low is None or low == high and low in (0, -1):
@@ -70,7 +92,7 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
 
 
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.join(b.withColumnRenamed("h", "h2"), "k", "full_outer")
+    both = a.select("k", "h").join(b.select("k", F.col("h").alias("h2")), "k", "full_outer")
     return both.filter(~F.col("h").eqNullSafe(F.col("h2"))).select("k")
 
 
@@ -98,9 +120,7 @@ def audit(primary: DataFrame, replica: DataFrame, **columns: str) -> DataFrame:
     a, b = tree(own), tree(other)
     keys = cut(differing_keys(a, b), "keys")
     files = keys.select(F.shiftright("k", FILE_BITS).alias("f")).distinct()
-    before = Window.partitionBy("f").orderBy("k", "sha").rowsBetween(Window.unboundedPreceding, -1)
-    placed = own.withColumn("f", F.shiftright("k", FILE_BITS)).join(files, "f", "left_semi").withColumn("at", F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0)))
-    left = placed.join(keys, "k", "left_semi").select("k", "id", "sha", "size", "n", "at")
+    left = own.join(keys, "k", "left_semi").join(_offsets(own, a[0], files, keys), ["k", "sha"]).select("k", "id", "sha", "size", "n", "at")
     right = other.join(keys, "k", "left_semi").select("k", F.col("id").alias("id2"), F.col("sha").alias("sha2"), F.col("n").alias("n2"))
     # Records of a key are matched by hash; what is left over on either side is paired in order.
     lost = left.join(right, (left.k == right.k) & (left.sha == right.sha2) & (left.n <= right.n2), "left_anti")
@@ -111,12 +131,27 @@ def audit(primary: DataFrame, replica: DataFrame, **columns: str) -> DataFrame:
     paired = lost.join(added, ["k", "i"], "full_outer").withColumn("f", F.shiftright("k", FILE_BITS))
     # A file's root is the node that stands FILE_BITS above its leaves.
     level = FILE_BITS // FANOUT_BITS
-    roots = [_root(t, level).withColumnRenamed("h", name) for t, name in ((a, "file_root"), (b, "replica_root"))]
+    roots = [_root(t, level).select("k", F.col("h").alias(name)) for t, name in ((a, "file_root"), (b, "replica_root"))]
     for r in roots:
         paired = paired.join(r.withColumnRenamed("k", "f"), "f", "left")
     return paired.select(F.coalesce("id", "id2").alias("id"), F.col("f").alias("file_no"), F.col("at").alias("record_offset"), F.col("size").alias("record_length"), F.col("sha").alias("sha256"), F.col("sha2").alias("replica_sha256"), "file_root", "replica_root")
 
 
+def _offsets(records: DataFrame, keyed: DataFrame, files: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, sha, at): where each record of ``keys`` begins in its file: after the file's keys before its own, its key's parts before its own, and its part's records before it."""
+    from pyspark.sql import Window
+
+    def before(name: str, *by: str) -> Column:
+        return F.coalesce(F.sum("bytes").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name)
+
+    in_file = keyed.withColumn("f", F.shiftright("k", FILE_BITS)).join(files, "f", "left_semi").select("k", before("a1", "f", "k"))
+    own = records.join(keys, "k", "left_semi").select("k", "sha", _part(), (F.col("size") * F.col("n")).alias("bytes"))
+    in_key = own.groupBy("k", "part").agg(F.sum("bytes").alias("bytes")).select("k", "part", before("a2", "k", "part"))
+    in_part = own.select("k", "part", "sha", before("a3", "k", "part", "sha"))
+    placed = in_part.join(in_key, ["k", "part"]).join(in_file, "k")
+    return placed.select("k", "sha", (F.col("a1") + F.col("a2") + F.col("a3")).alias("at"))
+
+
 def _root(levels: list[DataFrame], level: int) -> DataFrame:
     t = levels[min(level, len(levels) - 1)]
     for _ in range(level - len(levels) + 1):
@@ -125,9 +160,16 @@ def _root(levels: list[DataFrame], level: int) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """WARC files of at most 2^FILE_BITS records each, in the order of the keys within a file."""
-    made = pages.sortWithinPartitions(key).select(record(F.col(key), F.col(url), F.col(html)).alias("value"))
-    made.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1 << FILE_BITS).text(path)
+    """The files that the audit speaks of: file_no=N holds the records of 2^FILE_BITS keys, ordered by key and hash, so a record's bytes are at the offset that is reported.
+
+    A file is written by one task, record after record; beyond 2^FILE_BITS keys
+    the archive has more files, not longer ones.
+    """
+    whole = record(F.col(key), F.col(url), F.col(html))
+    made = pages.select(_key(key, whole).alias("k"), F.sha2(whole, 256).alias("sha"), whole.alias("value")).withColumn("file_no", F.shiftright("k", FILE_BITS))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = made.repartition(parts, "file_no").sortWithinPartitions("file_no", "k", "sha").select("file_no", "value")
+    dealt.write.partitionBy("file_no").option("lineSep", "\r\n\r\n").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int | None, str, str]]:
@@ -153,7 +195,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     k, u, h = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(u), pa.array(h)], ["page_id", "url", "html"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "page_id long, url string, html string")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("content").mapInArrow(parse, "page_id long, url string, html string")
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -183,11 +225,11 @@ WITH p AS (
          sum(strlen(rec) + 4) OVER (PARTITION BY side, page_id >> 12 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
   FROM w
 ), leaf AS (
-  SELECT side, k, sha256(sha || ':1') AS h FROM h
+  SELECT side, k, size, sha256(sha256(sha || ':1:' || size) || ':' || size) AS h FROM h
 ), n1 AS (
-  SELECT side, k >> 6 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM leaf GROUP BY side, k >> 6
+  SELECT side, k >> 6 AS k, sum(size)::BIGINT AS size, sha256(string_agg(h || ':' || size, '' ORDER BY k)) AS h FROM leaf GROUP BY side, k >> 6
 ), n2 AS (
-  SELECT side, k >> 6 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM n1 GROUP BY side, k >> 6
+  SELECT side, k >> 6 AS k, sha256(string_agg(h || ':' || size, '' ORDER BY k)) AS h FROM n1 GROUP BY side, k >> 6
 )
 SELECT a.k AS page_id, a.k >> 12 AS file_no, coalesce(a.before, 0)::BIGINT AS record_offset, a.size AS record_length, a.sha AS sha256, b.sha AS replica_sha256,
        x.h AS file_root, y.h AS replica_root

@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import xxhash
 import pytest
 
 from helixframe.llm import simhash
@@ -108,9 +110,22 @@ def test_stars(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def plain_print(text):
+    """Bit by bit, of the contract's words: white space of ASCII only, A-Z in small letters."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)).to_bytes(8, "big")
+
+
+def test_fingerprints_by_the_definition():
+    texts = [None, "", " \t\n", "A", "a b", "a b c", "A\xa0B c\u2003d e", "\x1ca b\x85c d e f", "é É ß Σ x y z", "to be or not to be " * 300, "\x0b\x0cx y\rz"]
+    assert [simhash.majority(simhash.shingle_hashes((t or "").encode(), 3), 1) for t in texts] == list(map(plain_print, texts))
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
-    prints = [simhash.majority(simhash.shingle_hashes(t.encode(), 3), 1) for _, t in docs]
+    prints = [plain_print(t) for _, t in docs]
     want = {i: (p.hex(), docs[k][0]) for (i, _), p, k in zip(docs, prints, brute(prints, 3))}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op8_simhash(spark, d).collect()} == want

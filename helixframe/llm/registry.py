@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_suffix_dedup": suffix_dedup.OP3_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_fixity": warc.OP10_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,

@@ -601,3 +601,23 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that start earlier, out of every document."""
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS MATERIALIZED (
+  SELECT r, i, substr(h, 2 * i + 1, 200) AS s FROM d, range(0, n - 99) t(i)
+), m AS (
+  SELECT s, min(r * 1099511627776 + i) AS first FROM w GROUP BY s HAVING count(*) > 1
+), late AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS last FROM w JOIN m USING (s) WHERE r * 1099511627776 + i > first
+), run AS (
+  SELECT r, min(i) AS a, max(i) + 100 AS z FROM (SELECT r, i, sum(CASE WHEN i > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM late) GROUP BY r, g
+), piece AS (
+  SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM run
+), kept AS (
+  SELECT r, sum(z - a)::BIGINT AS gone, count(*) AS spans, string_agg(substr(h, (2 * p + 1)::BIGINT, (2 * (a - p))::BIGINT), '' ORDER BY a) || any_value(h)[(2 * max(z) + 1)::BIGINT:] AS x FROM piece JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(x, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -123,3 +124,12 @@ def test_query(spark):
     want = {i: (*v[:3], hashlib.sha256(v[3]).hexdigest()) for (i, _), v in brute(docs, 100).items()}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.op3_suffix_dedup(spark, d).collect()}
     assert got == want
+
+
+def test_sql(spark):
+    d = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet' UNION ALL SELECT 10000000, NULL, 'en', 'x', 0 UNION ALL SELECT 10000001, repeat('é', 150), 'en', 'x', 150")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10000000, None), (10000001, "é" * 150)], "doc_id long, text string"))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.text).hexdigest()) for r in S.remove_repeats(docs).collect())
+    assert got == sorted(db.execute(S.OP3_SQL).fetchall())

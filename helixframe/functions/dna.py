@@ -87,6 +87,12 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p != q, 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
 
 
+def hamming_ratio(a: Column | str, b: Column | str) -> Column:
+    """The share of places that differ in the common prefix; null where that is empty."""
+    n = F.least(F.length(_c(a)), F.length(_c(b)))
+    return F.when(n > 0, hamming(F.left(_c(a), n), F.left(_c(b), n)) / n)
+
+
 def similar(a: Column | str, b: Column | str, rate: float = 0.1) -> Column:
     """Edit distance below a share of the shorter length, both cut to it; over 1000 bases 90 equal blocks of 100 instead."""
     n = F.least(F.length(_c(a)), F.length(_c(b)))

@@ -15,13 +15,16 @@ def read_filter(reads: DataFrame, k: int) -> DataFrame:
 
 
 def read_metrics(reads: DataFrame, k: int) -> DataFrame:
-    """One row of counts: lines, skipped, short, good, good bases."""
+    """One row of counts: lines, skipped, short, good, good bases; before them the lines that are no reads, where ``reads`` says which are (valid)."""
     s = F.upper("seq")
     ok, long = is_dna(s), F.length(s) > k
-    return reads.agg(
-        F.count("*").alias("reads"), F.count_if(~ok).alias("reads_skipped"), F.count_if(ok & ~long).alias("reads_short"),
-        F.count_if(ok & long).alias("reads_good"), F.coalesce(F.sum(F.when(ok & long, F.length(s).cast("long"))), F.lit(0)).alias("reads_goodbp"),
-    )
+    valid = F.col("valid") if "valid" in reads.columns else F.lit(True)
+    good = valid & ok & long
+    counts = [
+        F.count("*").alias("reads"), F.count_if(valid & ~ok).alias("reads_skipped"), F.count_if(valid & ok & ~long).alias("reads_short"),
+        F.count_if(good).alias("reads_good"), F.coalesce(F.sum(F.when(good, F.length(s).cast("long"))), F.lit(0)).alias("reads_goodbp"),
+    ]
+    return reads.agg(*([F.count_if(~valid).alias("input_lines_invalid")] if "valid" in reads.columns else []), *counts)
 
 
 def mark_contained(reads: DataFrame) -> DataFrame:

@@ -7,7 +7,11 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults follow from k and the reads' length where None is given."""
+    """Defaults follow from k and the reads' length where None is given.
+
+    ``counters``: each stage's numbers are noted, for some jobs more.
+    ``stage_stats``: the statistics of the graph are worked out after each stage.
+    """
 
     k: int
     read_len: int
@@ -26,6 +30,8 @@ class Config:
     n50_target: int = 0
     chimeric_rounds: int = 2
     max_rounds: int = 50
+    counters: bool = True
+    stage_stats: bool = False
 
     def __post_init__(self) -> None:
         if self.k < 1 or self.k % 2 == 0:

@@ -15,7 +15,7 @@ from helixframe.bridge import RAW_SQL, READ_LEN, K, raw_reads
 from helixframe.functions import dna
 from helixframe.operators import chains, consensus, graph, kmers, overlap, reads, repeats, simplify, stats
 from helixframe.plans.config import Config
-from helixframe.plans.scratch import cut
+from helixframe.plans.scratch import cut, reserve
 from helixframe.sources import formats
 
 CFG = Config(k=K, read_len=READ_LEN)
@@ -192,6 +192,45 @@ def q_mate_edges(s: SparkSession, d: str) -> DataFrame:
     return _edges(repeats.mate_edge_support(e, n, cut(node_reads(s, d), "mates"), **MATES))
 
 
+def q_fastq_files(s: SparkSession, d: str) -> DataFrame:
+    """Reads written as FASTQ into two folders, and both read as one table."""
+    r = raw_reads(s, d)
+    value = F.concat(F.lit("@"), "read_id", F.lit(" x\n"), F.lower("seq"), F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))
+    paths = [reserve(s, f"fastq{i}") for i in (0, 1)]
+    for i, path in enumerate(paths):
+        r.filter(F.pmod(F.xxhash64("read_id"), F.lit(2)) == i).select(value.alias("value")).write.text(path)
+    return formats.read_fastq(s, paths)
+
+
+def q_fasta_files(s: SparkSession, d: str) -> DataFrame:
+    """Nodes written as FASTA files and read again, with numbers as tags."""
+    path = reserve(s, "fasta")
+    formats.write_fasta(nodes_of(s, d), path)
+    found = formats.read_fasta(s, path)
+    return formats.renumber(found.withColumnRenamed("tag", "node_id").select(F.col("node_id").alias("tag"), "node_id", "seq"), "node_id")
+
+
+def q_kmer_files(s: SparkSession, d: str) -> DataFrame:
+    path = reserve(s, "kmers")
+    formats.write_kmers(kmers.high_kmers(nodes_of(s, d), K, 20), path)
+    return formats.read_kmers(s, path)
+
+
+def q_stats_text(s: SparkSession, d: str) -> DataFrame:
+    """The text of the statistics, line by line, from its file."""
+    n, e = contigs(s, d)
+    path = reserve(s, "stats")
+    formats.write_stats(stats.graph_stats(n, e), path, stats.top_contigs(n), stats.global_n50(n, GENOME))
+    return s.read.text(path).select(F.col("value").alias("line"))
+
+
+def q_mate_rate(s: SparkSession, d: str) -> DataFrame:
+    """The share of differing places of each good read and its mate."""
+    r = good(s, d).filter(F.col("read_id").endswith("_1")).select("read_id", "seq", dna.mate_name("read_id").alias("mate"))
+    m = good(s, d).select(F.col("read_id").alias("mate"), F.col("seq").alias("mate_seq"))
+    return r.join(m, "mate").select("read_id", F.round(dna.hamming_ratio("seq", "mate_seq"), 6).alias("ratio"))
+
+
 def q_assemble(s: SparkSession, d: str) -> DataFrame:
     from helixframe.plans.assemble import assemble
 
@@ -203,13 +242,18 @@ QUERIES: dict[str, Query] = {
     "parse_fastq": q_parse_fastq,
     "parse_sfa": q_parse_sfa,
     "node_lines": q_node_lines,
+    "fastq_files": q_fastq_files,
+    "fasta_files": q_fasta_files,
+    "kmer_files": q_kmer_files,
     "scalar_functions": q_scalar,
+    "mate_rate": q_mate_rate,
     "read_filter": good,
     "read_metrics": lambda s, d: reads.read_metrics(raw_reads(s, d), K),
     "read_dedup": nodes_of,
     "redundant_removal": q_redundant_removal,
     "high_kmers": lambda s, d: kmers.high_kmers(nodes_of(s, d), K, 20),
     "kmer_count": lambda s, d: kmers.kmer_count(nodes_of(s, d), K),
+    "distinct_kmers": lambda s, d: kmers.distinct_kmers(kmers.kmer_count(nodes_of(s, d), K)),
     "kmer_histogram": lambda s, d: kmers.kmer_histogram(kmers.kmer_count(nodes_of(s, d), K)),
     "read_kmer_freq": lambda s, d: kmers.read_kmer_freq(cut(nodes_of(s, d), "nodes"), CFG.trust_k),
     "trusted_reads": q_trusted,
@@ -237,6 +281,7 @@ QUERIES: dict[str, Query] = {
     "mate_counts": q_mate_counts,
     "mate_edge_support": q_mate_edges,
     "graph_stats": lambda s, d: stats.graph_stats(*contigs(s, d)),
+    "stats_text": q_stats_text,
     "n50": lambda s, d: stats.n50(contigs(s, d)[0]),
     "top_contigs": lambda s, d: stats.top_contigs(contigs(s, d)[0]),
     "global_n50": lambda s, d: stats.global_n50(contigs(s, d)[0], GENOME),
@@ -408,6 +453,9 @@ ORACLES: dict[str, str] = {
     "parse_fastq": _sql("raw", "SELECT read_id AS tag, seq FROM raw"),
     "parse_sfa": _sql("raw", "SELECT read_id, seq FROM raw WHERE length(seq) % 3 <> 1"),
     "node_lines": _sql("edges", "SELECT n.node_id, n.seq, round(n.cov, 6) AS cov, coalesce(f, 0) AS fdeg, coalesce(r, 0) AS rdeg FROM nodes n LEFT JOIN (SELECT src, count(*) FILTER (src_dir = 'f') AS f, count(*) FILTER (src_dir = 'r') AS r FROM edges GROUP BY src) d ON d.src = n.node_id"),
+    "fastq_files": _sql("raw", "SELECT read_id AS tag, seq FROM raw"),
+    "fasta_files": _sql("nodes", "SELECT upper(hex(row_number() OVER (ORDER BY node_id))) AS tag, node_id, seq FROM nodes"),
+    "mate_rate": _sql("reads", "SELECT a.read_id, round(hamming(left(a.seq, least(length(a.seq), length(b.seq))), left(b.seq, least(length(a.seq), length(b.seq)))) / least(length(a.seq), length(b.seq)), 6) AS ratio FROM reads a JOIN reads b ON right(a.read_id, 2) = '_1' AND b.read_id = left(a.read_id, -1) || '2'"),
     "scalar_functions": _sql("reads", f"""SELECT read_id, {RC('seq')} AS rc, least(seq, {RC('seq')}) AS canonical, ({_PACKED})::INT AS packed_length, true AS round_trip, 'fr' AS flip_fr, 'rr' AS flip_ff,
  left(read_id, -1) || CASE WHEN right(read_id, 1) = '1' THEN '2' ELSE '1' END AS mate, seq || 'TACGT' AS joined, levenshtein(seq, {RC('seq')})::INT AS edits, hamming(seq, {RC('seq')})::INT AS differing, left(seq, 3) IN ('AAA', 'TTT') AS homopolymer FROM reads"""),
     "read_filter": _sql("reads", "SELECT read_id, seq FROM reads"),
@@ -415,6 +463,8 @@ ORACLES: dict[str, str] = {
     "read_dedup": _sql("nodes", "SELECT * FROM nodes"),
     "redundant_removal": _sql("nodes", "SELECT * FROM nodes"),
     "high_kmers": _sql("nodes", f"SELECT km AS kmer FROM (SELECT least(km, {RC('km')}) AS km, c FROM (SELECT substr(seq, i + 1, {K}) AS km, cov AS c FROM nodes, range(0, length(seq) - {K}) t(i))) GROUP BY km HAVING sum(c) > 20"),
+    "kmer_files": _sql("nodes", f"SELECT km AS kmer FROM (SELECT least(km, {RC('km')}) AS km, c FROM (SELECT substr(seq, i + 1, {K}) AS km, cov AS c FROM nodes, range(0, length(seq) - {K}) t(i))) GROUP BY km HAVING sum(c) > 20"),
+    "distinct_kmers": _sql("kc", "SELECT count(*) AS n_kmers FROM kc"),
     "kmer_count": _sql("kc", "SELECT km AS kmer, cnt FROM kc"),
     "kmer_histogram": _sql("kc", "SELECT cnt, count(*) AS n_kmers FROM kc GROUP BY cnt"),
     "read_kmer_freq": _sql("freq", "SELECT * FROM freq"),
@@ -441,6 +491,20 @@ SELECT e.node_id AS read_id, e.pos::INT AS pos, CASE WHEN strand = 'f' THEN won
     "count_braids": _sql("colors", f"""SELECT (SELECT count(*) FROM red) AS edges, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM (SELECT r.src, r.src_dir FROM red r JOIN agree a USING (src, src_dir) LEFT JOIN agree b ON b.src = r.dst AND b.src_dir = {FLIP('r.dst_dir')} GROUP BY ALL HAVING bool_and(b.src IS NOT NULL))) AS braids"""),
     "remove_tips": _left_over("tips"),
     "bubble_pairs": _sql("pairs", "SELECT u, v, round(extra, 6) AS extra FROM pairs"),
+    "pop_bubbles": _sql("pairs", """,
+later AS (SELECT u, list(v ORDER BY v) AS vs FROM pairs GROUP BY u),
+turn AS MATERIALIZED (SELECT u, vs, row_number() OVER (ORDER BY floor(n.cov * 100) DESC, u) AS i FROM later JOIN cn n ON n.node_id = u),
+greedy(i, down, done) AS (
+ SELECT 0::BIGINT, []::VARCHAR[], []::STRUCT(u VARCHAR, v VARCHAR)[]
+ UNION ALL SELECT t.i, CASE WHEN list_contains(g.down, t.u) THEN g.down ELSE list_concat(g.down, list_filter(t.vs, lambda x: NOT list_contains(g.down, x))) END,
+  CASE WHEN list_contains(g.down, t.u) THEN g.done ELSE list_concat(g.done, list_transform(list_filter(t.vs, lambda x: NOT list_contains(g.down, x)), lambda x: {'u': t.u, 'v': x})) END
+ FROM greedy g JOIN turn t ON t.i = g.i + 1),
+popped AS MATERIALIZED (SELECT x.u AS u, x.v AS node_id FROM (SELECT unnest(done) AS x FROM (SELECT done FROM greedy ORDER BY i DESC LIMIT 1))),
+more AS (SELECT p.u AS node_id, sum(q.extra) AS extra FROM popped p JOIN pairs q ON q.u = p.u AND q.v = p.node_id GROUP BY p.u),
+le AS MATERIALIZED (SELECT * FROM ce WHERE src NOT IN (SELECT node_id FROM popped) AND dst NOT IN (SELECT node_id FROM popped)),
+deg AS (SELECT src, count(*) FILTER (src_dir = 'f') AS f, count(*) FILTER (src_dir = 'r') AS r FROM le GROUP BY src)
+SELECT n.node_id, n.seq, round(CASE WHEN m.extra IS NULL THEN n.cov ELSE (n.cov * length(n.seq) + m.extra) / length(n.seq) END, 6) AS cov, coalesce(d.f, 0) AS fdeg, coalesce(d.r, 0) AS rdeg
+FROM cn n LEFT JOIN more m USING (node_id) LEFT JOIN deg d ON d.src = n.node_id WHERE n.node_id NOT IN (SELECT node_id FROM popped)"""),
     "remove_low_coverage": _left_over("lowcov"),
     "a_statistic": _sql("contig", f"SELECT node_id, round(a, 6) AS a_stat, a > 10 AS is_unique FROM (SELECT node_id, length(seq) * 30.0::DOUBLE / {READ_LEN - K + 1} - (length(seq) * cov / {READ_LEN}) * ln(2) AS a FROM cn)"),
     "cut_repeat_boundary": _sql("repeats", _without("rm", "ce")),
@@ -448,6 +512,9 @@ SELECT e.node_id AS read_id, e.pos::INT AS pos, CASE WHEN strand = 'f' THEN won
     "mate_counts": _sql("mates", "SELECT * FROM mates"),
     "graph_stats": _sql("halves", "SELECT cutoff, cnt, s AS sum, round(s / cnt, 2) AS mean, n50, n50cnt, round(d / s, 2) AS deg, round(c / s, 2) AS cov FROM half JOIN n50 USING (cutoff)"),
     "n50": _sql("halves", "SELECT * FROM n50"),
+    "stats_text": _sql("halves", f"""SELECT '>' || cutoff || chr(9) || cnt || chr(9) || s || chr(9) || printf('%.2f', round(s / cnt, 2)) || chr(9) || n50 || chr(9) || n50cnt || chr(9) || printf('%.2f', round(d / s, 2)) || chr(9) || printf('%.2f', round(c / s, 2)) AS line FROM half JOIN n50 USING (cutoff)
+ UNION ALL SELECT 'max_' || i || ':' || chr(9) || len || chr(9) || total::BIGINT FROM lens WHERE i <= 10
+ UNION ALL SELECT unnest(['global_n50target:' || chr(9) || '{GENOME}', 'global_n50:' || chr(9) || n50, 'global_n50cnt:' || chr(9) || n50cnt]) FROM (SELECT coalesce(arg_min(len, i)::VARCHAR, '<100') AS n50, coalesce(min(i)::VARCHAR, '>' || (SELECT count(*) FROM lens)) AS n50cnt FROM lens WHERE total >= {GENOME // 2})"""),
     "top_contigs": _sql("halves", "SELECT i::INT AS rank, len, total::BIGINT AS cum_sum FROM lens WHERE i <= 10"),
     "global_n50": _sql("halves", f"SELECT {GENOME}::BIGINT AS target, coalesce(arg_min(len, i)::VARCHAR, '<100') AS n50, coalesce(min(i)::VARCHAR, '>' || (SELECT count(*) FROM lens)) AS n50cnt FROM lens WHERE total >= {GENOME // 2}"),
     "to_fasta": _sql("nodes", "SELECT node_id, '>' || node_id || chr(9) || 'len=' || length(seq) || chr(9) || 'cov=' || printf('%.2f', cov) || chr(10) || seq AS value FROM nodes"),

@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
-from helixframe.operators import reads, repeats, simplify, stats
+from helixframe.operators import consensus, graph, reads, repeats, simplify, stats
+from helixframe.plans.assemble import assemble
 from helixframe.plans.config import Config
 from helixframe.sources import formats
 
@@ -105,6 +106,90 @@ def test_formats(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [("a", "ACGTA"), ("b", "C" * 130)]
 
 
+def test_more_files(spark, tmp_path):
+    """Several paths in one read, k-mer lists, the statistics as text, counts of what is malformed."""
+    for name, text in (("a", "@q1 z\nacgt\n+\n@@@@\n"), ("b", "@q2\nTT\n+\nII\n")):
+        (tmp_path / f"{name}.fq").write_text(text)
+        (tmp_path / f"{name}.fa").write_text(f">{name}\nACG\n")
+        (tmp_path / f"{name}.sfa").write_text(f"{name}\tACGTAC\nbroken\n{name}2\tACGN\tx\n")
+    both = lambda end: [str(tmp_path / f"{n}.{end}") for n in "ab"]
+    assert sorted(map(tuple, formats.read_fastq(spark, both("fq")).collect())) == [("q1", "ACGT"), ("q2", "TT")]
+    assert sorted(map(tuple, formats.read_fasta(spark, both("fa")).collect())) == [("a", "ACG"), ("b", "ACG")]
+    lines = formats.read_sfa(spark, both("sfa"))
+    assert reads.read_metrics(lines, 5).first().asDict() == {"input_lines_invalid": 2, "reads": 6, "reads_skipped": 2, "reads_short": 0, "reads_good": 2, "reads_goodbp": 12}
+    pieces = spark.createDataFrame([("@q1 z\nacgt\n+\n",), ("@@@",), ("q2\nTT\n+q2\n",), ("I\n",), ("q3\nACGT\nACGT\n",)], "value string")
+    assert tuple(formats.fastq_counts(pieces).first()) == (2, 1)
+    formats.write_kmers(spark.createDataFrame([("ACGTA",), ("TTTTT",)], "kmer string"), str(tmp_path / "kmers"))
+    assert sorted(r.kmer for r in formats.read_kmers(spark, str(tmp_path / "kmers")).collect()) == ["ACGTA", "TTTTT"]
+    nodes = spark.createDataFrame([("a", "A" * 500, 1.0), ("b", "A" * 300, 2.0)], NODES)
+    formats.write_stats(stats.graph_stats(nodes, spark.createDataFrame([], EDGES)), str(tmp_path / "stats"), stats.top_contigs(nodes), stats.global_n50(nodes, 800))
+    (part,) = (tmp_path / "stats").glob("part-*")
+    assert part.read_text().splitlines()[:2] == [">500\t1\t500\t500.00\t500\t1\t0.00\t1.00", ">250\t2\t800\t400.00\t500\t1\t0.00\t1.38"]
+    assert part.read_text().splitlines()[-5:] == ["max_1:\t500\t500", "max_2:\t300\t800", "global_n50target:\t800", "global_n50:\t500", "global_n50cnt:\t1"]
+
+
+def test_hamming_ratio(spark):
+    df = spark.createDataFrame([("ACGT", "ACCTTT"), ("", "A"), ("AA", "CC")], "a string, b string")
+    assert [r[0] for r in df.select(dna.hamming_ratio("a", "b")).collect()] == [0.25, None, 1.0]
+
+
+def hub(n, rng):
+    """A node with n neighbours on one side: reads that begin with its end and go on in many ways."""
+    end = "".join(rng.choices("ACGT", k=30))
+    tails = sorted({rng.choice("AAAAAAAACT") + "".join(rng.choices("ACGT", k=rng.randint(0, 11))) for _ in range(3 * n)})
+    rng.shuffle(tails)
+    nodes = [("hub", "".join(rng.choices("ACGT", k=40)) + end, 3.0)] + [(f"t{i:05d}", end[rng.randint(0, 8) :] + t, float(rng.randint(1, 4))) for i, t in enumerate(tails[:n])]
+    edges = [("hub", "f", i, "f", next(k for k in range(30, 20, -1) if s.startswith(end[30 - k :]))) for i, s, _ in nodes[1:]]
+    return nodes, edges
+
+
+def test_hub_of_very_many_edges(spark):
+    """Reduction and votes on a side of 10,000 edges: no pairs of edges are made, and the result is that of the definition."""
+    nodes, edges = hub(10_000, random.Random(5))
+    n, e = spark.createDataFrame(nodes, NODES), spark.createDataFrame(both(edges), EDGES)
+    ext = {d: (s[o:], o, len(s)) for (_, _, d, _, o), (_, s, _) in zip(edges, nodes[1:])}
+    packed = lambda k: (k + 1) // 2
+    by_text = {}
+    for d, (t, o, size) in ext.items():
+        by_text.setdefault(t, []).append((o, size, d))
+    implied = set()
+    for d, (t, o, size) in ext.items():
+        for k in range(len(t) + 1):
+            for o2, size2, d2 in by_text.get(t[:k], ()):
+                if (o2, size2) != (o, size) and (o2 > o or (o2 == o and (packed(size2), d2) < (packed(size), d) and (packed(size2) < packed(size) or d2 < d))):
+                    implied.add(d)
+    got = {r.dst for r in graph.transitive_marks(e, n).filter("src = 'hub'").collect()}
+    assert got == implied and len(got) > 1000
+    weights = {i: int(c) for i, _, c in nodes}
+    order = sorted(ext, key=lambda d: (-len(ext[d][0]), d))
+    length = len(ext[order[1]][0]) if nodes[0] and weights[order[0]] + weights[order[1]] > 2 else len(ext[order[2]][0])
+    won = []
+    for p in range(length):
+        votes = {}
+        for d, (t, _, _) in ext.items():
+            if p < len(t):
+                votes[t[p]] = votes.get(t[p], 0) + weights[d]
+        best = max(votes, key=votes.get)
+        won.append(best if votes[best] / sum(votes.values()) > 0.6 else None)
+    marks = {r.dst for r in consensus.chimeric_marks(graph.extensions(e, n), majority=0.6, pwm_n=1.0).filter("src = 'hub'").collect()}
+    assert marks == {d for d, (t, _, _) in ext.items() if any(w and c != w for c, w in zip(t, won))}
+
+
+def test_counters_and_statistics_of_an_assembly(spark):
+    rng = random.Random(2)
+    genome = "".join(rng.choices("ACGT", k=600))
+    rows = [(f"r{i:03d}", genome[a : a + 36]) for i, a in enumerate(range(0, 560, 4))] + [("bad", "ACGNNN"), ("short", "ACGT"), ("r000b", genome[:36])]
+    g = assemble(spark.createDataFrame(rows, "read_id string, seq string"), Config(k=21, read_len=36, stage_stats=True))
+    m = {(s, k): v for s, k, v in g.metrics}
+    assert (m["reads", "reads"], m["reads", "reads_skipped"], m["reads", "reads_short"], m["reads", "contained"], m["reads", "nodecount"]) == (len(rows), 1, 1, 1, 140)
+    assert m["string", "trans_edge"] > 0 and m["string", "chains"] == 1 and m["string", "saved"] == 139 and m["tips", "tips_island"] == 0
+    assert {"potentialbubbles", "bubbleschecked", "lowcovremoved", "lowcoverage_island", "linksremoved", "unique", "repeat", "hkmer", "braids", "tips_shorttandem"} <= {k for _, k in m}
+    found = g.stats_table(spark).collect()
+    assert {r.stage for r in found} == {"overlap", "string", "tips", "bubbles", "lowcov", "adjust"}
+    assert max(r["sum"] for r in found if r.stage == "adjust" and r.cutoff == 500) == len(g.nodes.first().seq)
+    assert g.metrics_table(spark).count() == len(g.metrics)
+
+
 def test_config():
     assert Config(k=21, read_len=36).tips == 360 and Config(k=21, read_len=36).bubble == 101
     for bad in ({"k": 20, "read_len": 36}, {"k": 21, "read_len": 21}):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.dna import homopolymer, rc_strict
+from helixframe.functions.dna import rc_strict
 
 #: Windows of a block; a window is cut from its block, as reaching into a text takes time by the distance.
 BLOCK = 512
@@ -110,16 +110,19 @@ def precorrect(nodes: DataFrame) -> DataFrame:
     """
     span = 2 * ARM + 1
     n = F.length("seq") - span
-    at = nodes.filter(n > 0).select("node_id", F.floor("cov").cast("long").alias("w"), "seq", F.length("seq").alias("len"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    turned = nodes.filter(n > 0).select("node_id", F.floor("cov").cast("long").alias("w"), "seq", rc_strict("seq").alias("rc"))
+    at = turned.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
 
-    def arms(start: Column) -> Column:
-        return F.concat(F.substr("seq", start + 1, F.lit(ARM)), F.substr("seq", start + ARM + 2, F.lit(ARM)))
+    def arms(text: str) -> Column:
+        return F.concat(F.substr(text, F.col("i") + 1, F.lit(ARM)), F.substr(text, F.col("i") + ARM + 2, F.lit(ARM)))
 
-    back = F.col("len") - span - F.col("i")
-    ahead = F.struct(arms(F.col("i")).alias("seed"), F.lit("f").alias("strand"), (F.col("i") + ARM).alias("pos"), F.substr("seq", F.col("i") + ARM + 1, F.lit(1)).alias("base"))
-    behind = F.struct(rc_strict(arms(back)).alias("seed"), F.lit("r").alias("strand"), (back + ARM).alias("pos"), F.translate(F.substr("seq", back + ARM + 1, F.lit(1)), "ACGT", "TGCA").alias("base"))
+    def middle(text: str) -> Column:
+        return F.substr(text, F.col("i") + ARM + 1, F.lit(1)).alias("base")
+
+    ahead = F.struct(arms("seq").alias("seed"), F.lit("f").alias("strand"), (F.col("i") + ARM).alias("pos"), middle("seq"))
+    behind = F.struct(arms("rc").alias("seed"), F.lit("r").alias("strand"), (F.length("seq") - span - F.col("i") + ARM).alias("pos"), middle("rc"))
     # Either strand is left out where the forward arms are one letter throughout.
-    seen = at.filter(~homopolymer(arms(F.col("i")))).select("node_id", "w", F.explode(F.array(ahead, behind)).alias("o")).select("node_id", "w", "o.*")
+    seen = at.filter(~arms("seq").isin("A" * 2 * ARM, "T" * 2 * ARM)).select("node_id", "w", F.explode(F.array(ahead, behind)).alias("o")).select("node_id", "w", "o.*")
     votes = seen.groupBy("seed").agg(*[F.sum(F.when(F.col("base") == b, F.col("w")).otherwise(0)).alias(b) for b in "ACGT"])
     top = F.greatest(*"ACGT")
     ties = sum((F.when(F.col(b) == top, 1).otherwise(0) for b in "ACGT"), F.lit(0))

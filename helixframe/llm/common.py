@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -46,6 +47,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, "8388608b")
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: a worker goes on to other tasks, and keeps what it has grown to else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 1024) -> DataFrame:
     """``f`` on up to ``rows`` rows of an Arrow batch; batches are bounded in bytes, so memory doesn't grow with a partition."""
     small_batches(df.sparkSession)
@@ -54,7 +64,7 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
         for b in batches:
             for i in range(0, b.num_rows, rows):
                 yield f(b.slice(i, rows))
-        pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import once_in_worker, small_batches, table, texts
+from helixframe.llm.common import once_in_worker, release, small_batches, table, texts
 from helixframe.plans.scratch import cut
 
 #: Bytes of words and ids, each with what Python adds to it, that a worker keeps; beyond it starts anew, so memory is bounded.
@@ -253,6 +253,7 @@ def _runner(size: int, windows: int, min_cut: int, round_no: int, last: bool, ke
                 done.extend(rows(parts, None))
         if done:
             yield flush()
+        release()
 
     return run
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import by_batch, table, utf8, without
+from helixframe.llm.common import by_batch, release, table, utf8, without
 from helixframe.plans.scratch import cut
 
 GRAM = 32
@@ -551,6 +551,7 @@ def shard_repeats(docs: DataFrame, leads: DataFrame, length: int, *, shard: int
                 size += len(r[4]) + 1
         if rows:
             yield work()
+        release()
 
     return dealt.mapInArrow(run, PLACE)
 

@@ -83,3 +83,17 @@ def test_empty(spark):
     assert D.find_benchmark(none, bench).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert D.find_benchmark(one, bench).first().n_words == 2
+
+
+def test_long_texts_and_repeated_rows(spark):
+    """A text whose stream of benchmark words alone is longer than a shard's, beside short ones; rows that are there twice."""
+    rng = np.random.default_rng(5)
+    item = " ".join(f"w{i}" for i in range(40))
+    vocabulary = item.split()
+    long = " ".join(vocabulary[k] for k in rng.integers(0, 40, D.SHARD + 50_000).tolist())
+    long = f"{item} {long[: len(long) // 2]} zz {item} {long[len(long) // 2 :]}"
+    rows = [(1, long, "a"), (2, "clean text of other words", "b"), (2, "clean text of other words", "b"), (3, " ".join(vocabulary[5:20]), "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    got = sorted((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) for r in D.find_benchmark(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect())
+    want = sorted((i, *brute(t, [(9, item)])) for i, t, _ in rows)
+    assert got == want and got[0][2] >= 80

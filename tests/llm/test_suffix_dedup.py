@@ -133,3 +133,27 @@ def test_sql(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10000000, None), (10000001, "é" * 150)], "doc_id long, text string"))
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.text).hexdigest()) for r in S.remove_repeats(docs).collect())
     assert got == sorted(db.execute(S.OP3_SQL).fetchall())
+
+
+def test_text_of_more_windows_than_a_block(spark):
+    """Repeats within a text that is chosen from in two blocks, across the edge of these and of another document."""
+    rng = random.Random(11)
+    text = "".join(rng.choices("abcdefgh", k=S.BLOCK + 3000))
+    long = text[:-2000] + text[S.BLOCK - 300 : S.BLOCK + 400] + text[-2000:] + text[5000:5150]
+    docs = [(1, long), (2, "x" + text[S.BLOCK - 150 : S.BLOCK + 20] + "y"), (3, text[:99])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)) for r in S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: v for (i, _), v in brute([(i, 0, t.encode()) for i, t in docs], 100).items()}
+    assert got[1][1] == 700 + 150 and got[2][1] == 170
+
+
+def test_an_anchor_of_many_segments(spark):
+    """One phrase in very many contexts: its anchor is split by the bytes around it, and again by whole windows."""
+    rng = random.Random(12)
+    phrase = "the same thirty-two or more bytes in every text of all"
+    around = ["".join(rng.choices("abcdefgh", k=120)) for _ in range(60)]
+    docs = [(i, rng.choice(around) + phrase + rng.choice(around)) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = {i: v for (i, _), v in brute([(i, 0, t.encode()) for i, t in docs], 100).items()}
+    for crowd in (2000, 40, 5, 1):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)) for r in S.remove_repeats(df, crowd=crowd).collect()}
+        assert got == want

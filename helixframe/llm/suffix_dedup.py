@@ -14,7 +14,8 @@ Strings are judged on the input, so of equal strings exactly the first stays.
    bucket by bucket, through queues that go to disk when they outgrow their
    share of memory. Neighbours in that order with a common prefix of ``length``
    bytes are equal windows; the first one of each stays. An anchor with more
-   segments than a task should hold has its windows compared by their hashes.
+   segments than a task should hold is split by the bytes around it first, in
+   the last step by whole windows.
 4. Each document is joined with its repeats and cut.
 
 Null texts have no bytes. Rows of equal id and equal text are one document,

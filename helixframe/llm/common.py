@@ -75,6 +75,14 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def once_in_worker(key: str, make: Callable[[], Any]) -> Any:
     """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
     kept = sys.modules.setdefault("_helixframe_worker", types.ModuleType("_helixframe_worker"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import ctph, decontaminate, line_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, warc
+from helixframe.llm import ctph, decontaminate, line_dedup, merkle, packing, pii, quality, secrets, sharding, simhash, suffix_dedup, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_fixity": warc.op10_fixity,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_fixity": warc.OP10_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }

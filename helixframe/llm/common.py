@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.plans.scratch import spread
+from helixframe.plans.ship import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +42,9 @@ def small_batches(spark: SparkSession) -> None:
     """Batches of 8 MB where the session has the default of 64: a task holds a batch several times over.
 
     The setting stays for the session, as plans read it when they run; a value
-    of the user's own is left as it is.
+    of the user's own is left as it is. The workers get the package as well.
     """
+    ship(spark)
     if spark.conf.get(BATCH_BYTES, None) in ("64MB", "64m", "67108864", "67108864b"):
         spark.conf.set(BATCH_BYTES, "8388608b")
 

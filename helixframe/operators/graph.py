@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.dna import flip_dir, oriented, packed_length
+from helixframe.functions.dna import flip_dir, oriented
 from helixframe.operators.overlap import EDGE, flipped
 from helixframe.plans.scratch import cut
+from helixframe.plans.ship import arrow
+
+SIDE = ["src", "src_dir"]
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -43,33 +51,101 @@ def node_removal(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(g, "node_id", "left_anti"), kept.select(*EDGE)
 
 
+#: Edges of a side from which its texts are dealt to more than one task, and texts drawn for each of these.
+SIDE_ROWS, DRAWS = 50_000, 16
+
+
+def _dealt(x: DataFrame) -> DataFrame:
+    """``x`` (EDGE, ext) with ``part``, and with ``open`` rows: sides of very many edges are cut between their texts.
+
+    A text that is a prefix of the first one of a later part is told to that part
+    as well. Only a text's edge of the largest overlap can count there, and the
+    least and greatest neighbours of those; a text of n letters has n prefixes,
+    so a part is told few rows however large the side is.
+    """
+    one = x.select(*EDGE, "ext", F.lit(0).alias("part"), F.lit(False).alias("open"), F.col("dst").alias("lo"), F.col("dst").alias("hi"))
+    size = cut(x.groupBy(*SIDE).agg(F.count("*").alias("n")).filter(F.col("n") > SIDE_ROWS), "large")
+    if size.isEmpty():
+        return one
+    large, rest = x.join(size, SIDE), one.join(size, SIDE, "left_anti")
+    odds = F.pmod(F.xxhash64("dst", "dst_dir", "ovl", "ext"), F.lit(SIDE_ROWS // DRAWS)) == 0
+    drawn = large.filter(odds).groupBy(*SIDE).agg(F.array_sort(F.collect_list("ext")).alias("t"))  # the side's edges / SIDE_ROWS * DRAWS texts
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("t") / DRAWS).cast("int"))), lambda i: F.get("t", i * DRAWS - 1))
+    cuts = cut(drawn.select(*SIDE, F.array_sort(F.array_distinct(F.filter(every, lambda t: t.isNotNull()))).alias("cuts")), "cuts")
+    large = large.join(cuts, SIDE, "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<string>")))
+    large = large.withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("ext"))))
+    mine = large.select(*EDGE, "ext", "part", F.lit(False).alias("open"), F.col("dst").alias("lo"), F.col("dst").alias("hi"))
+    top = large.groupBy(*SIDE, "ext", "part", "cuts").agg(F.max("ovl").alias("ovl"))
+    ends = large.groupBy(*SIDE, "ext", "ovl").agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"))
+    later = F.filter(F.sequence(F.lit(0), F.size("cuts")), lambda p: (p > F.col("part")) & F.startswith(F.get("cuts", p - 1), F.col("ext")))
+    told = top.join(ends, [*SIDE, "ext", "ovl"]).withColumn("part", F.explode(later))
+    told = told.select("src", "src_dir", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("dst_dir"), "ovl", "ext", "part", F.lit(True).alias("open"), "lo", "hi")
+    return rest.unionByName(mine).unionByName(told)
+
+
+def _implied(rows: Iterable[tuple]) -> Iterator[bool]:
+    """For each (side, part, text, overlap, neighbour, least, greatest) in the order of side, part, text and falling overlap: is it implied by a row before it?
+
+    The texts that are prefixes of the present one are a stack. An entry has the
+    largest overlap down to it, the shortest text that has this, and the least
+    and greatest neighbours of that.
+    """
+    side, stack = None, []
+    for src, src_dir, part, text, ovl, dst, lo, hi in rows:
+        if (src, src_dir, part) != side:
+            side, stack = (src, src_dir, part), []
+        while stack and not text.startswith(stack[-1][0]):
+            stack.pop()
+        n = len(text)
+        if stack:
+            _, most, short, low, high = stack[-1]
+            implied = most > ovl
+            if most == ovl and short < n and dst is not None:
+                ahead, own = (most + short + 1) // 2, (ovl + n + 1) // 2  # packed lengths
+                implied = ahead < own or ahead == own and (low < dst if src_dir == "f" else high > dst)
+            yield implied
+            if len(stack[-1][0]) == n:
+                if most == ovl and short == n:
+                    stack[-1] = (text, most, short, min(low, lo), max(high, hi))
+                continue
+            if ovl <= most:
+                stack.append((text, most, short, low, high))
+                continue
+        else:
+            yield False
+        stack.append((text, ovl, n, lo, hi))
+
+
 def transitive_marks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges implied by another one of their side whose extension is a prefix of theirs.
 
     The other one comes earlier: a longer overlap, or an equal one of a shorter
     packed neighbour, then by id (upwards on the f side, downwards on the r
-    side); equal overlap and length imply nothing. Each extension meets the
-    table of extensions through its prefixes of the lengths that occur on its
-    side, by 128-bit hashes: an equi-join of as many rows for an edge as its
-    side has lengths, so neither a side with very many edges nor a very long
-    extension costs a square.
+    side); equal overlap and length imply nothing. A side's extensions are
+    sorted as texts and read once, with the prefixes of the present one as a
+    stack: a row for each edge, however many lengths its side has, and memory
+    for one text's prefixes. Sides of more than ``SIDE_ROWS`` edges are read in
+    parts by several tasks.
     """
-    side = ["src", "src_dir"]
-    x = cut(extensions(edges, nodes).select(*EDGE, "ext", F.length("ext").alias("len")), "extensions")
-    y = x.groupBy(*side, "len", *_print("ext"), F.col("ovl").alias("y_ovl")).agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"))
-    y = y.withColumnRenamed("len", "p_len")
-    lengths = x.groupBy(*side).agg(F.collect_set("len").alias("lens"))
-    px = x.join(lengths, side).select(*EDGE, "len", "ext", F.explode(F.filter("lens", lambda n: n <= F.col("len"))).alias("p_len"))
-    px = px.select(*EDGE, "len", "p_len", *_print(F.left("ext", F.col("p_len"))))
-    short, own = packed_length(F.col("y_ovl") + F.col("p_len")), packed_length(F.col("ovl") + F.col("len"))
-    by_id = F.when(F.col("src_dir") == "f", F.col("lo") < F.col("dst")).otherwise(F.col("hi") > F.col("dst"))
-    tie = (F.col("y_ovl") == F.col("ovl")) & (F.col("p_len") < F.col("len")) & ((short < own) | ((short == own) & by_id))
-    return px.join(y, [*side, "p_len", "h1", "h2"]).filter((F.col("y_ovl") > F.col("ovl")) | tie).select(*EDGE).distinct()
-
-
-def _print(text: Column | str) -> list[Column]:
-    t = F.col(text) if isinstance(text, str) else text
-    return [F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("_"), t).alias("h2")]
+    x = cut(extensions(edges, nodes).select(*EDGE, "ext"), "extensions")
+    dealt = _dealt(x).repartition(*SIDE, "part").sortWithinPartitions(*SIDE, "part", "ext", F.desc("ovl"))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def rows() -> Iterator[tuple]:
+            for b in filter(len, batches):
+                held.append(b)
+                yield from zip(*(b.column(c).to_pylist() for c in ("src", "src_dir", "part", "ext", "ovl", "dst", "lo", "hi")), strict=True)
+
+        found = _implied(rows())
+        for first in found:
+            b = held.pop()
+            marks = [first, *islice(found, b.num_rows - 1)]
+            mask = pc.and_(pa.array(marks, pa.bool_()), pc.invert(b.column("open")))
+            yield b.select(EDGE).filter(mask)
+
+    return arrow(dealt, scan, x.select(*EDGE).schema)
 
 
 def transitive_reduction(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,8 +10,11 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _sent: set[str] = set()
 
@@ -33,3 +36,9 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(d, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     spark.sparkContext.addPyFile(path)
+
+
+def arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``f`` over the Arrow batches of each task, on workers that have the package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)

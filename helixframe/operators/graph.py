@@ -9,8 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions.dna import flip_dir, oriented
+from helixframe.operators.crowded import crowded_keys
 from helixframe.operators.overlap import EDGE, flipped
 from helixframe.plans.scratch import cut
 from helixframe.plans.ship import arrow
@@ -55,32 +57,34 @@ def node_removal(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
 SIDE_ROWS, DRAWS = 50_000, 16
 
 
-def _dealt(x: DataFrame) -> DataFrame:
-    """``x`` (EDGE, ext) with ``part``, and with ``open`` rows: sides of very many edges are cut between their texts.
+def _dealt(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(EDGE, ext, part, lo, hi): extensions; sides of very many edges are cut between their texts.
 
     A text that is a prefix of the first one of a later part is told to that part
-    as well. Only a text's edge of the largest overlap can count there, and the
-    least and greatest neighbours of those; a text of n letters has n prefixes,
-    so a part is told few rows however large the side is.
+    as well, by a row without a neighbour. Only a text's edges of the largest
+    overlap can count there, and of these the least and greatest neighbours (lo,
+    hi); a text of n letters has n prefixes, so a part is told few rows however
+    large the side is.
     """
-    one = x.select(*EDGE, "ext", F.lit(0).alias("part"), F.lit(False).alias("open"), F.col("dst").alias("lo"), F.col("dst").alias("hi"))
-    size = cut(x.groupBy(*SIDE).agg(F.count("*").alias("n")).filter(F.col("n") > SIDE_ROWS), "large")
-    if size.isEmpty():
-        return one
-    large, rest = x.join(size, SIDE), one.join(size, SIDE, "left_anti")
+    key = F.xxhash64(*SIDE)
+    many = crowded_keys(edges, key, {"n": F.lit(1)}, SIDE_ROWS, edges.count())
+    none = [F.lit(None).cast("string").alias(c) for c in ("lo", "hi")]
+    if many is None:
+        return extensions(edges, nodes).select(*EDGE, "ext", F.lit(0).alias("part"), *none)
+    x = cut(extensions(edges, nodes).select(*EDGE, "ext", key.alias("key")), "extensions")
+    large, rest = x.join(many.select("key"), "key"), x.join(many.select("key"), "key", "left_anti")
     odds = F.pmod(F.xxhash64("dst", "dst_dir", "ovl", "ext"), F.lit(SIDE_ROWS // DRAWS)) == 0
-    drawn = large.filter(odds).groupBy(*SIDE).agg(F.array_sort(F.collect_list("ext")).alias("t"))  # the side's edges / SIDE_ROWS * DRAWS texts
+    drawn = large.filter(odds).groupBy(*SIDE).agg(F.array_sort(F.collect_list("ext")).alias("t"))  # DRAWS texts for SIDE_ROWS edges
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("t") / DRAWS).cast("int"))), lambda i: F.get("t", i * DRAWS - 1))
     cuts = cut(drawn.select(*SIDE, F.array_sort(F.array_distinct(F.filter(every, lambda t: t.isNotNull()))).alias("cuts")), "cuts")
     large = large.join(cuts, SIDE, "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<string>")))
     large = large.withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("ext"))))
-    mine = large.select(*EDGE, "ext", "part", F.lit(False).alias("open"), F.col("dst").alias("lo"), F.col("dst").alias("hi"))
     top = large.groupBy(*SIDE, "ext", "part", "cuts").agg(F.max("ovl").alias("ovl"))
     ends = large.groupBy(*SIDE, "ext", "ovl").agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"))
     later = F.filter(F.sequence(F.lit(0), F.size("cuts")), lambda p: (p > F.col("part")) & F.startswith(F.get("cuts", p - 1), F.col("ext")))
     told = top.join(ends, [*SIDE, "ext", "ovl"]).withColumn("part", F.explode(later))
-    told = told.select("src", "src_dir", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("dst_dir"), "ovl", "ext", "part", F.lit(True).alias("open"), "lo", "hi")
-    return rest.unionByName(mine).unionByName(told)
+    told = told.select("src", "src_dir", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("dst_dir"), "ovl", "ext", "part", "lo", "hi")
+    return rest.select(*EDGE, "ext", F.lit(0).alias("part"), *none).unionByName(large.select(*EDGE, "ext", "part", *none)).unionByName(told)
 
 
 def _implied(rows: Iterable[tuple]) -> Iterator[bool]:
@@ -92,6 +96,8 @@ def _implied(rows: Iterable[tuple]) -> Iterator[bool]:
     """
     side, stack = None, []
     for src, src_dir, part, text, ovl, dst, lo, hi in rows:
+        if lo is None:
+            lo = hi = dst
         if (src, src_dir, part) != side:
             side, stack = (src, src_dir, part), []
         while stack and not text.startswith(stack[-1][0]):
@@ -116,19 +122,9 @@ def _implied(rows: Iterable[tuple]) -> Iterator[bool]:
         stack.append((text, ovl, n, lo, hi))
 
 
-def transitive_marks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges implied by another one of their side whose extension is a prefix of theirs.
-
-    The other one comes earlier: a longer overlap, or an equal one of a shorter
-    packed neighbour, then by id (upwards on the f side, downwards on the r
-    side); equal overlap and length imply nothing. A side's extensions are
-    sorted as texts and read once, with the prefixes of the present one as a
-    stack: a row for each edge, however many lengths its side has, and memory
-    for one text's prefixes. Sides of more than ``SIDE_ROWS`` edges are read in
-    parts by several tasks.
-    """
-    x = cut(extensions(edges, nodes).select(*EDGE, "ext"), "extensions")
-    dealt = _dealt(x).repartition(*SIDE, "part").sortWithinPartitions(*SIDE, "part", "ext", F.desc("ovl"))
+def _scanned(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` (EDGE) with ``implied``."""
+    dealt = _dealt(edges, nodes).repartition(*SIDE, "part").sortWithinPartitions(*SIDE, "part", "ext", F.desc("ovl"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -141,16 +137,32 @@ def transitive_marks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         found = _implied(rows())
         for first in found:
             b = held.pop()
-            marks = [first, *islice(found, b.num_rows - 1)]
-            mask = pc.and_(pa.array(marks, pa.bool_()), pc.invert(b.column("open")))
-            yield b.select(EDGE).filter(mask)
+            marks = pa.array([first, *islice(found, b.num_rows - 1)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in EDGE), marks], [*EDGE, "implied"])
+            yield out.filter(out.column("dst").is_valid())
+
+    schema = T.StructType([*edges.select(*EDGE).schema.fields, T.StructField("implied", T.BooleanType())])
+    return arrow(dealt, scan, schema)
 
-    return arrow(dealt, scan, x.select(*EDGE).schema)
+
+def transitive_marks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges implied by another one of their side whose extension is a prefix of theirs.
+
+    The other one comes earlier: a longer overlap, or an equal one of a shorter
+    packed neighbour, then by id (upwards on the f side, downwards on the r
+    side); equal overlap and length imply nothing. A side's extensions are
+    sorted as texts and read once, with the prefixes of the present one as a
+    stack: a row for each edge, however many lengths its side has, and memory
+    for one text's prefixes. Sides of more than ``SIDE_ROWS`` edges are read in
+    parts by several tasks.
+    """
+    return _scanned(edges, nodes).filter("implied").select(*EDGE)
 
 
 def transitive_reduction(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which neither copy is implied."""
-    return edge_removal(edges, both_copies(transitive_marks(edges, nodes)))
+    found = cut(_scanned(edges, nodes), "scanned")
+    return found.filter("NOT implied").select(*EDGE).join(flipped(found.filter("implied")), EDGE, "left_anti")
 
 
 def compressible(edges: DataFrame) -> DataFrame:

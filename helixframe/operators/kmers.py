@@ -6,10 +6,18 @@ Windows leave out the last one of each read, as the counts this follows do;
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions.dna import rc_strict
+from helixframe.operators.crowded import crowded_keys
+from helixframe.plans.scratch import cut
+from helixframe.plans.ship import arrow
 
 #: Windows of a block; a window is cut from its block, as reaching into a text takes time by the distance.
 BLOCK = 512
@@ -28,6 +36,94 @@ def windows(nodes: DataFrame, k: int, *keep: str, last: bool = False) -> DataFra
     return at.select(*keep, "n", (F.col("b") + F.col("j")).alias("i"), F.substr("t", F.col("j") + 1, F.lit(k)).alias("fk"), F.substr("u", other, F.lit(k)).alias("rk"))
 
 
+#: Bases of a minimiser at most; windows of a piece, and bases that are worked on at once; runs of a minimiser from which its windows are counted apart.
+MINIMISER, PIECE, AT_ONCE, MANY_RUNS = 11, 4096, 1 << 20, 1_000_000
+_CODE = np.full(256, 0, np.uint64)
+_CODE[list(b"ACGT")] = range(4)
+
+
+def _runs(raw: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, windows, minimiser) of each run of neighbouring windows with one minimiser, for texts that lie in ``raw`` one after another; a run begins at ``begin`` in text number ``text``."""
+    n, lens = len(raw), np.diff(offsets)
+    code = _CODE[raw]
+    size = max(0, n - m + 1)
+    ahead, back = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+    for j in range(m):
+        c = code[j : j + size]
+        ahead = ahead << np.uint64(2) | c
+        back |= (np.uint64(3) - c) << np.uint64(2 * j)
+    # Multiplied, so that the least isn't that of long rows of A.
+    mixed = np.minimum(ahead, back) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    size = max(0, n - k + 1)
+    least = mixed[:size].copy()
+    for j in range(1, k - m + 1):
+        np.minimum(least, mixed[j : j + size], out=least)
+    own = np.repeat(np.arange(len(lens)), lens)[:size]
+    place = np.arange(size) - offsets[own]
+    valid = place <= lens[own] - k
+    new = valid & (place == 0)
+    new[1:] |= valid[1:] & (least[1:] != least[:-1])
+    begin = np.flatnonzero(new)
+    windows = np.bincount(np.cumsum(new)[valid] - 1, minlength=len(begin))
+    return own[begin], begin, windows, least[begin].view(np.int64)
+
+
+def super_kmers(nodes: DataFrame, k: int, *keep: str, last: bool = False) -> DataFrame:
+    """(keep, mini, seq): of each text the runs of windows that have one minimiser, as one row with the bases that they cover.
+
+    A window's minimiser is the least, in a mixed order, of the canonical m-mers
+    in it, so that a k-mer and its other strand have the same one wherever they
+    are: all of a k-mer's windows meet under its minimiser, and neighbouring
+    windows, which mostly share one, travel together.
+    """
+    m = min(MINIMISER, k)
+    n = F.length("seq")
+    some = nodes.filter(n >= k + (0 if last else 1))
+    top = n - k - (0 if last else 1)
+    pieces = some.select(*keep, "seq", top.alias("top"), F.explode(F.sequence(F.lit(0), top, F.lit(PIECE))).alias("b"))
+    pieces = pieces.select(*keep, F.substr("seq", F.col("b") + 1, F.least(F.lit(PIECE), F.col("top") - F.col("b") + 1) + k - 1).alias("seq"))
+
+    def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = max(1, AT_ONCE // (PIECE + k)) if b.nbytes > AT_ONCE else max(1, b.num_rows)
+            for i in range(0, b.num_rows, at):
+                part = b.slice(i, at)
+                seq = part.column(len(keep)).cast(pa.binary())
+                offsets = np.frombuffer(seq.buffers()[1], np.int32)[seq.offset : seq.offset + len(seq) + 1].astype(np.int64)
+                raw = np.frombuffer(seq.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                text, begin, windows, mini = _runs(raw, offsets - offsets[0], k, m)
+                size = windows + k - 1
+                ends = np.concatenate(([0], np.cumsum(size)))
+                bases = raw[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+                seqs = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(bases))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(text)) for c in part.columns[:-1]), pa.array(mini), seqs], [*keep, "mini", "seq"])
+
+    schema = T.StructType([*pieces.select(*keep).schema.fields, T.StructField("mini", T.LongType()), T.StructField("seq", T.StringType())])
+    return arrow(pieces, cut_up, schema)
+
+
+def _counted(nodes: DataFrame, k: int, last: bool) -> DataFrame:
+    """(c, s): coverage of each canonical k-mer, on one strand.
+
+    Runs are dealt by their minimiser and taken apart where they arrive: one
+    exchange, of a run's bases and not of every window's. A minimiser of very many
+    runs is left out of that; its windows are counted under their own k-mers,
+    before and after an exchange of what that leaves.
+    """
+    runs = cut(super_kmers(_covered(nodes), k, "cov", last=last), "runs")
+    many = crowded_keys(runs, F.col("mini"), {"n": F.lit(1)}, MANY_RUNS, runs.count())
+    crowded = many is not None
+    many = many.select(F.col("key").alias("mini")) if crowded else None
+    few = runs.join(many, "mini", "left_anti") if crowded else runs
+    total = F.sum("cov").alias("s")
+    # Rows that lie by their minimiser lie by minimiser and k-mer as well.
+    half = windows(few.repartition("mini"), k, "mini", "cov", last=True).groupBy("mini", F.least("fk", "rk").alias("c")).agg(total).select("c", "s")
+    if not crowded:
+        return half
+    return half.unionByName(windows(runs.join(many, "mini", "left_semi"), k, "cov", last=True).groupBy(F.least("fk", "rk").alias("c")).agg(total))
+
+
 def _covered(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("cov", F.floor("cov").cast("long"))
 
@@ -38,8 +134,7 @@ def _both_strands(nodes: DataFrame, k: int, last: bool) -> DataFrame:
 
 def kmer_count(nodes: DataFrame, k: int, *, last: bool = False) -> DataFrame:
     """(kmer, cnt): coverage of each k-mer over both strands. One strand is counted, under the lesser text of the two; the other one follows."""
-    half = windows(_covered(nodes), k, "cov", last=last).groupBy(F.least("fk", "rk").alias("c")).agg(F.sum("cov").alias("s"))
-    half = half.select("c", rc_strict("c").alias("r"), "s")
+    half = _counted(nodes, k, last).select("c", rc_strict("c").alias("r"), "s")
     # A k-mer that is its own reverse complement, of an even k, was counted once for two strands.
     both = F.when(F.col("c") == F.col("r"), F.array(F.struct("c", (2 * F.col("s")).alias("s")))).otherwise(F.array(F.struct("c", "s"), F.struct(F.col("r").alias("c"), "s")))
     return half.select(F.explode(both).alias("x")).select(F.col("x.c").alias("kmer"), F.col("x.s").alias("cnt"))
@@ -59,11 +154,16 @@ def heavy(nodes: DataFrame, k: int, limit: int) -> DataFrame:
     """(key, n, covered): hashes of canonical k-mers with more windows, or more coverage without reads' last windows, than the limit.
 
     Every k-mer beyond the limit is under one of them, so what follows is
-    worked out for these only; on most inputs there are none.
+    worked out for these only; on most inputs there are none, and a sketch tells
+    so without an exchange of the windows.
     """
-    w = windows(_covered(nodes), k, "cov", last=True)
+    covered = _covered(nodes)
+    long = F.greatest(F.lit(0), F.length("seq") - k + 1).cast("long")
+    total = covered.agg(F.sum(long), F.sum(long * F.greatest(F.lit(1), "cov"))).first()
+    w = windows(covered, k, "cov", last=True)
     inner = F.when(F.col("i") < F.col("n") - k, F.col("cov")).otherwise(0)
-    return w.groupBy(F.xxhash64(F.least("fk", "rk")).alias("key")).agg(F.count("*").alias("n"), F.sum(inner).alias("covered")).filter((F.col("n") > limit) | (F.col("covered") > limit))
+    found = crowded_keys(w, F.xxhash64(F.least("fk", "rk")), {"n": F.lit(1).cast("long"), "covered": inner}, limit, max(x or 0 for x in total))
+    return found if found is not None else nodes.sparkSession.createDataFrame([], "key long, n long, covered long")
 
 
 def high_kmers(nodes: DataFrame, k: int, up_kmer: int, *, last: bool = False, among: DataFrame | None = None) -> DataFrame:

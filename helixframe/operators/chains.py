@@ -10,48 +10,59 @@ that id names the contig. A ring is opened before its least id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.dna import flip_dir, oriented
 from helixframe.operators.graph import compressible
 from helixframe.operators.overlap import EDGE
-from helixframe.plans.scratch import cut
+from helixframe.plans.scratch import counted, cut
 
 
-def _jump(pred: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(id, dir, hid, hdir, pos) of vertices on paths, and (id, dir, least) of those on rings.
+def _jump(pred: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame, int]:
+    """(id, dir, hid, hdir, pos) of vertices on paths, (id, dir, least) of those on rings, and how many these are.
 
     ``pred``: (id, dir, pid, pdir) of vertices with a predecessor. The least id
     on the way is carried; a ring's vertices never come to a head, and after as
-    many doublings as the ring is long each knows the ring's least id.
+    many doublings as the logarithm of its length each knows the ring's least id.
     """
     heads = pred.select(F.col("pid").alias("id"), F.col("pdir").alias("dir")).join(pred.select("id", "dir"), ["id", "dir"], "left_anti").distinct()
     state = pred.select("id", "dir", F.col("pid").alias("hid"), F.col("pdir").alias("hdir"), F.lit(1).cast("long").alias("pos"), F.least("id", "pid").alias("least"), F.lit(False).alias("done"))
     ends = heads.select("id", "dir", F.col("id").alias("hid"), F.col("dir").alias("hdir"), F.lit(0).cast("long").alias("pos"), F.col("id").alias("least"), F.lit(True).alias("done"))
-    state = cut(state.union(ends), "jump")
-    size = state.count()
-    for i in range(max_rounds):
-        to = state.select(F.col("id").alias("hid"), F.col("dir").alias("hdir"), F.col("hid").alias("hid2"), F.col("hdir").alias("hdir2"), F.col("pos").alias("pos2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
-        moved = state.filter(~F.col("done")).join(to, ["hid", "hdir"])
-        moved = moved.select("id", "dir", F.col("hid2").alias("hid"), F.col("hdir2").alias("hdir"), (F.col("pos") + F.col("pos2")).alias("pos"), F.least("least", "least2").alias("least"), F.col("done2").alias("done"))
-        state = cut(state.filter("done").union(moved), "jump")
-        left = state.filter(~F.col("done")).count()
-        if left == 0 or 2 ** (i + 1) >= size:
+    state, seen = counted(state.union(ends), "jump", left=F.count_if(~F.col("done")))
+    # What is done stays in the table where it got so; a round writes the vertices that weren't, fewer every time.
+    done, active, left = [state.filter("done")], state.filter("NOT done"), seen["left"]
+    for _ in range(max_rounds):
+        if left == 0:
+            break
+        to = reduce(DataFrame.union, done, active)
+        to = to.select(F.col("id").alias("hid"), F.col("dir").alias("hdir"), F.col("hid").alias("hid2"), F.col("hdir").alias("hdir2"), F.col("pos").alias("pos2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
+        moved = active.join(to, ["hid", "hdir"])
+        moved = moved.select("id", "dir", F.col("hid2").alias("hid"), F.col("hdir2").alias("hdir"), (F.col("pos") + F.col("pos2")).alias("pos"), F.least("least", "least2").alias("least"), F.col("done2").alias("done"), (F.col("least2") < F.col("least")).alias("lower"))
+        moved, seen = counted(moved, "jump", rows=left, left=F.count_if(~F.col("done")), lower=F.count_if(~F.col("done") & F.col("lower")))
+        moved, before, left = moved.drop("lower"), left, seen["left"]
+        done, active = [*done, moved.filter("done")], moved.filter("NOT done")
+        # A path's vertices come to its head one doubling after another; where none did, the rest is on rings, which know their least id once it falls no more.
+        if left == before and seen["lower"] == 0:
             break
-    return state.filter("done").select("id", "dir", "hid", "hdir", "pos"), state.filter(~F.col("done")).select("id", "dir", "least")
+    return reduce(DataFrame.union, done).select("id", "dir", "hid", "hdir", "pos"), active.select("id", "dir", "least"), left
 
 
 def chain_places(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
     """(id, dir, hid, hdir, pos, ovl): each vertex on a chain, its chain's head, its place, and its overlap with the vertex before."""
-    link = cut(compressible(edges), "links")
+    return _places(cut(compressible(edges), "links"), max_rounds)
+
+
+def _places(link: DataFrame, max_rounds: int) -> DataFrame:
     pred = link.select(F.col("dst").alias("id"), F.col("dst_dir").alias("dir"), F.col("src").alias("pid"), F.col("src_dir").alias("pdir"))
-    paths, rings = _jump(pred, max_rounds)
-    if not rings.isEmpty():
+    paths, rings, on_rings = _jump(pred, max_rounds)
+    if on_rings:
         p = pred.join(rings, ["id", "dir"])
         # The link into (least, f) goes, and on the other strand the one out of (least, r).
         open_ = ~(((F.col("id") == F.col("least")) & (F.col("dir") == "f")) | ((F.col("pid") == F.col("least")) & (F.col("pdir") == "r")))
-        more, _ = _jump(cut(p.filter(open_).select("id", "dir", "pid", "pdir"), "opened"), max_rounds)
+        more, *_ = _jump(cut(p.filter(open_).select("id", "dir", "pid", "pdir"), "opened"), max_rounds)
         paths = paths.unionByName(more)
     into = link.select(F.col("dst").alias("id"), F.col("dst_dir").alias("dir"), "ovl")
     return paths.join(into, ["id", "dir"], "left").select("id", "dir", "hid", "hdir", "pos", F.when(F.col("pos") == 0, 0).otherwise(F.col("ovl")).alias("ovl"))
@@ -59,7 +70,13 @@ def chain_places(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
 
 def compress_chains(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with every chain as one node: overlaps once, coverage weighted by length, outer edges of both ends led over."""
-    places = cut(chain_places(edges, max_rounds=max_rounds), "places")
+    made, moved = merged_chains(nodes, edges, max_rounds=max_rounds)
+    return made.drop("members"), moved
+
+
+def merged_chains(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 64, link: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``compress_chains``, and for each node the nodes that became it (members). ``link``: the compressible links, where they have been written already."""
+    places = cut(chain_places(edges, max_rounds=max_rounds) if link is None else _places(link, max_rounds), "places")
     ends = places.groupBy("hid", "hdir").agg(F.max_by(F.struct("id", "dir"), "pos").alias("tail"), F.max("pos").alias("last"))
     ends = ends.filter(F.col("last") > 0).select("hid", "hdir", F.col("tail.id").alias("tid"), F.col("tail.dir").alias("tdir"))
     forward = F.when(F.col("hid") <= F.col("tid"), F.col("hdir")).otherwise(F.col("tdir")) == "f"
@@ -68,9 +85,9 @@ def compress_chains(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 64)
     parts = members.join(nodes.withColumnRenamed("node_id", "id").select("id", "seq", "cov"), "id")
     piece = F.struct("pos", F.substr(oriented("seq", "dir"), F.col("ovl") + 1).alias("s"))
     made = parts.groupBy("contig").agg(F.array_sort(F.collect_list(piece)).alias("ps"), F.sum(F.col("cov") * F.length("seq")).alias("weight"))
-    made = made.select(F.col("contig").alias("node_id"), F.array_join(F.transform("ps", lambda p: p["s"]), "").alias("seq"), "weight")
-    made = made.select("node_id", "seq", (F.col("weight") / F.length("seq")).alias("cov"))
-    rest = nodes.select("node_id", "seq", "cov").join(members.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_anti")
+    made = made.select(F.col("contig").alias("node_id"), F.array_join(F.transform("ps", lambda p: p["s"]), "").alias("seq"), "weight", F.size("ps").cast("long").alias("members"))
+    made = made.select("node_id", "seq", (F.col("weight") / F.length("seq")).alias("cov"), "members")
+    rest = nodes.select("node_id", "seq", "cov", F.lit(1).cast("long").alias("members")).join(members.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_anti")
     joints = members.filter(F.col("pos") > 0).select(F.col("id").alias("dst"), F.col("dir").alias("dst_dir"))
     inner = joints.union(_mirror(members, chosen))
     outer = edges.join(inner.distinct(), ["dst", "dst_dir"], "left_anti")

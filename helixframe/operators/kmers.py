@@ -146,8 +146,8 @@ def kmer_histogram(counts: DataFrame) -> DataFrame:
 
 
 def distinct_kmers(counts: DataFrame) -> DataFrame:
-    """(n_kmers): how many k-mers there are."""
-    return counts.agg(F.count("*").alias("n_kmers"))
+    """(n_kmers, diffkmer): how many k-mers there are, and how many of coverage 2 or more."""
+    return counts.agg(F.count("*").alias("n_kmers"), F.count_if(F.col("cnt") >= 2).alias("diffkmer"))
 
 
 def heavy(nodes: DataFrame, k: int, limit: int) -> DataFrame:

@@ -15,6 +15,7 @@ from helixframe.bridge import RAW_SQL, READ_LEN, K, raw_reads
 from helixframe.functions import dna
 from helixframe.operators import chains, consensus, graph, kmers, overlap, reads, repeats, simplify, stats
 from helixframe.plans.config import Config
+from helixframe.plans.metrics import stage_counts
 from helixframe.plans.scratch import cut, reserve
 from helixframe.sources import formats
 
@@ -22,10 +23,10 @@ CFG = Config(k=K, read_len=READ_LEN)
 UP = CFG.up_kmer
 TRUST = 3
 GENOME = 1_000_000
+#: These reads' nodes are short, so the mate statistic calls them unique from less on than it would call contigs.
+MATE_UNIQUE = 0.0
 #: The limit of windows for a k-mer in the query that shows the crowded ones.
 CROWDED = 40
-#: Mate counts in these reads are small, so the statistic that calls a node unique is given these totals.
-MATES = {"reads": 50_000, "ctg_sum": 100_000}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,7 +190,9 @@ def node_reads(s: SparkSession, d: str) -> DataFrame:
 def q_mate_edges(s: SparkSession, d: str) -> DataFrame:
     """Edges of the uncompressed graph that mate support leaves."""
     n, e = base_graph(s, d)
-    return _edges(repeats.mate_edge_support(e, n, cut(node_reads(s, d), "mates"), **MATES))
+    held = cut(node_reads(s, d), "mates")
+    total = reads.count_reads(n, held).first()
+    return _edges(repeats.mate_edge_support(e, n, held, reads=total["reads"], ctg_sum=total["ctg_sum"], unique=MATE_UNIQUE))
 
 
 def q_fastq_files(s: SparkSession, d: str) -> DataFrame:
@@ -231,6 +234,11 @@ def q_mate_rate(s: SparkSession, d: str) -> DataFrame:
     return r.join(m, "mate").select("read_id", F.round(dna.hamming_ratio("seq", "mate_seq"), 6).alias("ratio"))
 
 
+def q_stage_counts(s: SparkSession, d: str) -> DataFrame:
+    """The counters of the operators over all reads."""
+    return stage_counts(raw_reads(s, d), CFG, TRUST)
+
+
 def q_assemble(s: SparkSession, d: str) -> DataFrame:
     from helixframe.plans.assemble import assemble
 
@@ -287,6 +295,7 @@ QUERIES: dict[str, Query] = {
     "global_n50": lambda s, d: stats.global_n50(contigs(s, d)[0], GENOME),
     "to_fasta": lambda s, d: formats.to_fasta(nodes_of(s, d)),
     "to_sfa": lambda s, d: formats.to_sfa(q_tag_trusted(s, d)),
+    "stage_counts": q_stage_counts,
     "assemble": q_assemble,
 }
 
@@ -382,6 +391,17 @@ arm AS MATERIALIZED (SELECT node_id, cov, length(seq) AS len, CASE WHEN ins < 0
 pairs AS MATERIALIZED (SELECT u.node_id AS u, v.node_id AS v, v.cov * length(v.s) AS extra FROM arm u JOIN arm v USING (major, minor, ms, ns)
  WHERE (floor(u.cov * 100) > floor(v.cov * 100) OR (floor(u.cov * 100) = floor(v.cov * 100) AND u.node_id < v.node_id))
  AND levenshtein(u.s, CASE WHEN u.l = v.l OR u.l = reverse({FLIP('v.l')}) THEN v.s ELSE {RC('v.s')} END) <= floor(greatest(length(u.s), length(v.s)) * {CFG.bubble_edit_rate}))""",
+    ),
+    "greedy": (
+        "pairs",
+        """later AS (SELECT u, list(v ORDER BY v) AS vs FROM pairs GROUP BY u),
+turn AS MATERIALIZED (SELECT u, vs, row_number() OVER (ORDER BY floor(n.cov * 100) DESC, u) AS i FROM later JOIN cn n ON n.node_id = u),
+greedy(i, down, done) AS (
+ SELECT 0::BIGINT, []::VARCHAR[], []::STRUCT(u VARCHAR, v VARCHAR)[]
+ UNION ALL SELECT t.i, CASE WHEN list_contains(g.down, t.u) THEN g.down ELSE list_concat(g.down, list_filter(t.vs, lambda x: NOT list_contains(g.down, x))) END,
+  CASE WHEN list_contains(g.down, t.u) THEN g.done ELSE list_concat(g.done, list_transform(list_filter(t.vs, lambda x: NOT list_contains(g.down, x)), lambda x: {'u': t.u, 'v': x})) END
+ FROM greedy g JOIN turn t ON t.i = g.i + 1),
+popped AS MATERIALIZED (SELECT x.u AS u, x.v AS node_id FROM (SELECT unnest(done) AS x FROM (SELECT done FROM greedy ORDER BY i DESC LIMIT 1)))""",
     ),
     "repeats": (
         "contig",
@@ -398,7 +418,7 @@ rm AS MATERIALIZED (SELECT x.src, x.src_dir, x.dst, x.dst_dir, x.ovl FROM uext x
     "supported": (
         "edges",
         f"""held AS (SELECT node_id, count(*) AS held FROM nr GROUP BY node_id),
-uq AS (SELECT n.node_id, length(n.seq) AS slen FROM nodes n LEFT JOIN held h USING (node_id) WHERE length(n.seq) * {MATES['reads']}::DOUBLE / {MATES['ctg_sum']} - coalesce(h.held, 0) * ln(2) > {repeats.UNIQUE}),
+uq AS (SELECT n.node_id, length(n.seq) AS slen FROM nodes n LEFT JOIN held h USING (node_id) WHERE length(n.seq) * (SELECT count(*) FROM nr)::DOUBLE / (SELECT sum(length(seq)) FROM nodes) - coalesce(h.held, 0) * ln(2) > {MATE_UNIQUE}),
 x AS MATERIALIZED (SELECT e.*, u.slen, length(n.seq) AS len FROM edges e JOIN uq u ON u.node_id = e.src JOIN nodes n ON n.node_id = e.dst),
 across AS (SELECT x.*, y.dst AS d2, y.len AS len2, y.ovl AS ovl2 FROM x LEFT JOIN x y ON y.src = x.src AND y.src_dir <> x.src_dir),
 sup AS MATERIALIZED (SELECT c.src, c.src_dir, c.dst, c.dst_dir, c.ovl, greatest(coalesce(max(m1.mates), 0), coalesce(max(m2.mates), 0)) AS support, coalesce(bool_or(c.dst <> c.d2 AND c.len + c.len2 + c.slen - c.ovl - c.ovl2 < {CFG.insert_len + 2 * CFG.insert_sd}), false) AS near
@@ -407,6 +427,15 @@ side AS (SELECT src, src_dir FROM sup GROUP BY ALL HAVING count(*) > 1 AND max(s
 mm AS MATERIALIZED (SELECT {EDGES} FROM sup JOIN side USING (src, src_dir) QUALIFY row_number() OVER (PARTITION BY src, src_dir ORDER BY support DESC, dst, dst_dir, ovl) > 1)""",
     ),
     "mates": ("reads", f"nr AS MATERIALIZED (SELECT min(read_id) OVER (PARTITION BY least(seq, {RC('seq')})) AS node_id, read_id FROM reads), mates AS MATERIALIZED (SELECT x.node_id AS a, y.node_id AS b, count(*) AS mates FROM nr x JOIN nr y ON y.read_id = CASE WHEN x.read_id LIKE '%\\_1' ESCAPE '\\' THEN left(x.read_id, -1) || '2' ELSE left(x.read_id, -1) || '1' END GROUP BY ALL)"),
+    "fixes": (
+        "nodes",
+        f"""spot AS (SELECT node_id, cov::BIGINT AS w, seq, length(seq) - 25 - i AS k, i FROM nodes, range(0, length(seq) - 25) t(i) WHERE NOT regexp_full_match(substr(seq, i + 1, 12) || substr(seq, i + 14, 12), 'A*|T*')),
+seen AS MATERIALIZED (SELECT node_id, w, substr(seq, i + 1, 12) || substr(seq, i + 14, 12) AS seed, 'f' AS strand, i + 12 AS pos, substr(seq, i + 13, 1) AS base FROM spot
+ UNION ALL SELECT node_id, w, {RC('substr(seq, k + 1, 12) || substr(seq, k + 14, 12)')}, 'r', k + 12, translate(substr(seq, k + 13, 1), 'ACGT', 'TGCA') FROM spot),
+votes AS MATERIALIZED (SELECT *, max(s) OVER (PARTITION BY seed) AS m, count(*) OVER (PARTITION BY seed) AS n FROM (SELECT seed, base, sum(w) AS s FROM seen GROUP BY ALL)),
+best AS (SELECT seed, any_value(m) AS top, max(base) FILTER (s = m) AS won FROM votes GROUP BY seed HAVING any_value(n) > 1 AND count(*) FILTER (s = m) = 1),
+fixes AS (SELECT e.node_id AS read_id, e.pos::INT AS pos, CASE WHEN strand = 'f' THEN won ELSE translate(won, 'ACGT', 'TGCA') END AS base FROM seen e JOIN best b USING (seed) JOIN votes v ON v.seed = e.seed AND v.base = e.base WHERE e.base <> b.won AND v.s / b.top <= 0.25)""",
+    ),
     "halves": (
         "contig",
         f"""cut AS (SELECT unnest({stats.CUTOFFS}) AS cutoff),
@@ -464,18 +493,13 @@ ORACLES: dict[str, str] = {
     "redundant_removal": _sql("nodes", "SELECT * FROM nodes"),
     "high_kmers": _sql("nodes", f"SELECT km AS kmer FROM (SELECT least(km, {RC('km')}) AS km, c FROM (SELECT substr(seq, i + 1, {K}) AS km, cov AS c FROM nodes, range(0, length(seq) - {K}) t(i))) GROUP BY km HAVING sum(c) > 20"),
     "kmer_files": _sql("nodes", f"SELECT km AS kmer FROM (SELECT least(km, {RC('km')}) AS km, c FROM (SELECT substr(seq, i + 1, {K}) AS km, cov AS c FROM nodes, range(0, length(seq) - {K}) t(i))) GROUP BY km HAVING sum(c) > 20"),
-    "distinct_kmers": _sql("kc", "SELECT count(*) AS n_kmers FROM kc"),
+    "distinct_kmers": _sql("kc", "SELECT count(*) AS n_kmers, count(*) FILTER (cnt >= 2) AS diffkmer FROM kc"),
     "kmer_count": _sql("kc", "SELECT km AS kmer, cnt FROM kc"),
     "kmer_histogram": _sql("kc", "SELECT cnt, count(*) AS n_kmers FROM kc GROUP BY cnt"),
     "read_kmer_freq": _sql("freq", "SELECT * FROM freq"),
     "trusted_reads": _sql("trust", "SELECT * FROM trust"),
     "tag_trusted": _sql("tagged", "SELECT * FROM tagged"),
-    "precorrect": _sql("nodes", f""", spot AS (SELECT node_id, cov::BIGINT AS w, seq, length(seq) - 25 - i AS k, i FROM nodes, range(0, length(seq) - 25) t(i) WHERE NOT regexp_full_match(substr(seq, i + 1, 12) || substr(seq, i + 14, 12), 'A*|T*')),
-seen AS MATERIALIZED (SELECT node_id, w, substr(seq, i + 1, 12) || substr(seq, i + 14, 12) AS seed, 'f' AS strand, i + 12 AS pos, substr(seq, i + 13, 1) AS base FROM spot
- UNION ALL SELECT node_id, w, {RC('substr(seq, k + 1, 12) || substr(seq, k + 14, 12)')}, 'r', k + 12, translate(substr(seq, k + 13, 1), 'ACGT', 'TGCA') FROM spot),
-votes AS MATERIALIZED (SELECT *, max(s) OVER (PARTITION BY seed) AS m, count(*) OVER (PARTITION BY seed) AS n FROM (SELECT seed, base, sum(w) AS s FROM seen GROUP BY ALL)),
-best AS (SELECT seed, any_value(m) AS top, max(base) FILTER (s = m) AS won FROM votes GROUP BY seed HAVING any_value(n) > 1 AND count(*) FILTER (s = m) = 1)
-SELECT e.node_id AS read_id, e.pos::INT AS pos, CASE WHEN strand = 'f' THEN won ELSE translate(won, 'ACGT', 'TGCA') END AS base FROM seen e JOIN best b USING (seed) JOIN votes v ON v.seed = e.seed AND v.base = e.base WHERE e.base <> b.won AND v.s / b.top <= 0.25"""),
+    "precorrect": _sql("fixes", "SELECT * FROM fixes"),
     "count_reads": _sql("nodes", "SELECT sum(cov)::BIGINT AS reads, sum(length(seq))::BIGINT AS ctg_sum FROM nodes"),
     "overlap_candidates": _sql("cand", "SELECT * FROM cand"),
     "overlap_crowded": _sql("cand", "SELECT * FROM cand", {f"> {UP}": f"> {CROWDED}", f"<= {UP}": f"<= {CROWDED}"}),
@@ -491,15 +515,7 @@ SELECT e.node_id AS read_id, e.pos::INT AS pos, CASE WHEN strand = 'f' THEN won
     "count_braids": _sql("colors", f"""SELECT (SELECT count(*) FROM red) AS edges, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM (SELECT r.src, r.src_dir FROM red r JOIN agree a USING (src, src_dir) LEFT JOIN agree b ON b.src = r.dst AND b.src_dir = {FLIP('r.dst_dir')} GROUP BY ALL HAVING bool_and(b.src IS NOT NULL))) AS braids"""),
     "remove_tips": _left_over("tips"),
     "bubble_pairs": _sql("pairs", "SELECT u, v, round(extra, 6) AS extra FROM pairs"),
-    "pop_bubbles": _sql("pairs", """,
-later AS (SELECT u, list(v ORDER BY v) AS vs FROM pairs GROUP BY u),
-turn AS MATERIALIZED (SELECT u, vs, row_number() OVER (ORDER BY floor(n.cov * 100) DESC, u) AS i FROM later JOIN cn n ON n.node_id = u),
-greedy(i, down, done) AS (
- SELECT 0::BIGINT, []::VARCHAR[], []::STRUCT(u VARCHAR, v VARCHAR)[]
- UNION ALL SELECT t.i, CASE WHEN list_contains(g.down, t.u) THEN g.down ELSE list_concat(g.down, list_filter(t.vs, lambda x: NOT list_contains(g.down, x))) END,
-  CASE WHEN list_contains(g.down, t.u) THEN g.done ELSE list_concat(g.done, list_transform(list_filter(t.vs, lambda x: NOT list_contains(g.down, x)), lambda x: {'u': t.u, 'v': x})) END
- FROM greedy g JOIN turn t ON t.i = g.i + 1),
-popped AS MATERIALIZED (SELECT x.u AS u, x.v AS node_id FROM (SELECT unnest(done) AS x FROM (SELECT done FROM greedy ORDER BY i DESC LIMIT 1))),
+    "pop_bubbles": _sql("greedy", """,
 more AS (SELECT p.u AS node_id, sum(q.extra) AS extra FROM popped p JOIN pairs q ON q.u = p.u AND q.v = p.node_id GROUP BY p.u),
 le AS MATERIALIZED (SELECT * FROM ce WHERE src NOT IN (SELECT node_id FROM popped) AND dst NOT IN (SELECT node_id FROM popped)),
 deg AS (SELECT src, count(*) FILTER (src_dir = 'f') AS f, count(*) FILTER (src_dir = 'r') AS r FROM le GROUP BY src)
@@ -517,6 +533,33 @@ FROM cn n LEFT JOIN more m USING (node_id) LEFT JOIN deg d ON d.src = n.node_id
  UNION ALL SELECT unnest(['global_n50target:' || chr(9) || '{GENOME}', 'global_n50:' || chr(9) || n50, 'global_n50cnt:' || chr(9) || n50cnt]) FROM (SELECT coalesce(arg_min(len, i)::VARCHAR, '<100') AS n50, coalesce(min(i)::VARCHAR, '>' || (SELECT count(*) FROM lens)) AS n50cnt FROM lens WHERE total >= {GENOME // 2})"""),
     "top_contigs": _sql("halves", "SELECT i::INT AS rank, len, total::BIGINT AS cum_sum FROM lens WHERE i <= 10"),
     "global_n50": _sql("halves", f"SELECT {GENOME}::BIGINT AS target, coalesce(arg_min(len, i)::VARCHAR, '<100') AS n50, coalesce(min(i)::VARCHAR, '>' || (SELECT count(*) FROM lens)) AS n50cnt FROM lens WHERE total >= {GENOME // 2}"),
+    "stage_counts": _sql("kc+tagged+fixes+w+colors+tips+greedy", f""",
+low AS (SELECT node_id FROM cn WHERE length(seq) <= {int((CFG.low_cov + 1) * READ_LEN - CFG.low_cov * K)} AND cov <= {CFG.low_cov}),
+near AS (SELECT node_id, bool_or(c) AS own FROM (SELECT src AS node_id, true AS c FROM link UNION SELECT dst, false FROM red WHERE src IN (SELECT src FROM link)) GROUP BY node_id),
+one1 AS (SELECT src, src_dir FROM ce GROUP BY ALL HAVING count(*) = 1),
+again AS (SELECT DISTINCT src FROM ce WHERE src <> dst AND (src, src_dir) IN (SELECT (src, src_dir) FROM one1) AND (dst, {FLIP('dst_dir')}) IN (SELECT (src, src_dir) FROM one1)),
+kepttip AS (SELECT x.* FROM (SELECT *, row_number() OVER (PARTITION BY h, hd ORDER BY reach DESC, node_id) AS i, count(*) OVER (PARTITION BY h, hd) AS tips FROM hung) x JOIN cdeg g ON g.src = x.h AND g.src_dir = x.hd WHERE x.tips = g.deg AND x.i = 1 AND x.h NOT IN (SELECT node_id FROM tc)),
+said(stage, name, value) AS (
+ SELECT 'reads', 'reads', count(*) FROM raw UNION ALL SELECT 'reads', 'reads_skipped', count(*) FROM raw WHERE contains(seq, 'N')
+ UNION ALL SELECT 'reads', 'reads_short', count(*) FROM raw WHERE NOT contains(seq, 'N') AND length(seq) <= {K} UNION ALL SELECT 'reads', 'reads_good', count(*) FROM reads
+ UNION ALL SELECT 'reads', 'reads_goodbp', coalesce(sum(length(seq)), 0) FROM reads UNION ALL SELECT 'reads', 'contained', (SELECT count(*) FROM reads) - (SELECT count(*) FROM nodes) UNION ALL SELECT 'reads', 'nodecount', count(*) FROM nodes
+ UNION ALL SELECT 'kmers', 'hkmer', count(*) FROM stop UNION ALL SELECT 'kmers', 'allkmer', coalesce(sum(cov * greatest(0, length(seq) - {K})), 0) FROM nodes UNION ALL SELECT 'kmers', 'diffkmer', count(*) FROM kc WHERE cnt >= 2
+ UNION ALL SELECT 'kmers', 'fix_char', count(*) FROM fixes UNION ALL SELECT 'kmers', 'failed_reads', count(*) FROM tagged WHERE NOT is_trusted
+ UNION ALL SELECT 'overlap', 'nodes', count(*) FROM nodes UNION ALL SELECT 'overlap', 'edges', count(*) FROM edges
+ UNION ALL SELECT 'string', 'contained_edge', count(*) FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst WHERE length(a.seq) = e.ovl AND length(b.seq) = e.ovl
+ UNION ALL SELECT 'string', 'trans_edge', (SELECT count(*) FROM edges) - (SELECT count(*) FROM red)
+ UNION ALL SELECT 'chains', 'compressible', count(*) FROM link UNION ALL SELECT 'chains', 'compressibleneighborhood', count(*) FROM near WHERE own
+ UNION ALL SELECT 'chains', 'chains', count(*) FROM chain UNION ALL SELECT 'chains', 'cchains', count(*) FROM chain UNION ALL SELECT 'chains', 'totalchainlen', count(*) FROM member
+ UNION ALL SELECT 'chains', 'saved', (SELECT count(*) FROM member) - (SELECT count(*) FROM chain) UNION ALL SELECT 'chains', 'needscompress', count(*) FROM again
+ UNION ALL SELECT 'chains', 'nodes', count(*) FROM cn UNION ALL SELECT 'chains', 'edges', count(*) FROM ce
+ UNION ALL SELECT 'string', 'braids', count(*) FROM (SELECT r.src, r.src_dir FROM red r JOIN agree a USING (src, src_dir) LEFT JOIN agree b ON b.src = r.dst AND b.src_dir = {FLIP('r.dst_dir')} GROUP BY ALL HAVING bool_and(b.src IS NOT NULL))
+ UNION ALL SELECT 'tips', 'tips_found', count(*) FROM tc UNION ALL SELECT 'tips', 'tips_island', count(*) FROM tc WHERE fdeg + rdeg = 0 UNION ALL SELECT 'tips', 'tips_shorttandem', count(*) FROM tc WHERE fdeg + rdeg > 0 AND node_id NOT IN (SELECT node_id FROM hung)
+ UNION ALL SELECT 'tips', 'tips_kept', count(*) FROM kepttip UNION ALL SELECT 'tips', 'tips_clipped', (SELECT count(*) FROM hung) - (SELECT count(*) FROM kepttip)
+ UNION ALL SELECT 'bubbles', 'potentialbubbles', count(*) FROM arm UNION ALL SELECT 'bubbles', 'bubbleschecked', coalesce(sum(c * (c - 1) // 2), 0) FROM (SELECT count(*) AS c FROM arm GROUP BY major, minor, ms, ns)
+ UNION ALL SELECT 'bubbles', 'bubblespopped', count(*) FROM popped
+ UNION ALL SELECT 'lowcov', 'lowcovremoved', count(*) FROM low UNION ALL SELECT 'lowcov', 'lowcoverage_island', count(*) FROM low WHERE node_id NOT IN (SELECT src FROM ce)
+ UNION ALL SELECT 'lowcov', 'linksremoved', count(*) FROM ce WHERE src IN (SELECT node_id FROM low) OR dst IN (SELECT node_id FROM low))
+SELECT stage, name, value::BIGINT AS value FROM said"""),
     "to_fasta": _sql("nodes", "SELECT node_id, '>' || node_id || chr(9) || 'len=' || length(seq) || chr(9) || 'cov=' || printf('%.2f', cov) || chr(10) || seq AS value FROM nodes"),
     "to_sfa": _sql("tagged", "SELECT CASE WHEN i = 0 THEN node_id ELSE i || '_' || node_id END AS read_id, seq FROM (SELECT node_id, seq, unnest(CASE WHEN cov = 1 THEN [0] ELSE range(1, cov::BIGINT) END) AS i FROM tagged WHERE is_trusted)"),
 }

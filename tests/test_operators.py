@@ -171,7 +171,7 @@ def test_hub_of_very_many_edges(spark):
                 votes[t[p]] = votes.get(t[p], 0) + weights[d]
         best = max(votes, key=votes.get)
         won.append(best if votes[best] / sum(votes.values()) > 0.6 else None)
-    marks = {r.dst for r in consensus.chimeric_marks(graph.extensions(e, n), majority=0.6, pwm_n=1.0).filter("src = 'hub'").collect()}
+    marks = {r.dst for r in consensus.chimeric_marks(e, n, majority=0.6, pwm_n=1.0).filter("src = 'hub'").collect()}
     assert marks == {d for d, (t, _, _) in ext.items() if any(w and c != w for c, w in zip(t, won))}
 
 

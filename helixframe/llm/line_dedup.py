@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import by_batch, table, utf8, without
-from helixframe.plans.scratch import cut
+from helixframe.plans.scratch import counted, cut
 
-#: Parts of a common line's rows.
-SALTS = 32
+#: Lines that are sent to all tasks, at most: 4 MB.
+MANY = 1 << 18
 #: Stripped from both ends of a line's key.
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -64,14 +64,18 @@ def drop_common_lines(df: DataFrame, *, text: str = "text", id_col: str = "doc_i
     The hashes are written once; counting them combines before the shuffle, so
     a line of every document weighs no more than another. The counts that reach
     the threshold are written too, and only these hashes come back to the rows
-    they are from, in ``SALTS`` parts each. A row's own such hashes form its list:
-    no list is longer than a text.
+    they are from: those of the most frequent lines, ``MANY`` at most whatever the
+    table, are sent to all tasks, so that no line's rows meet anywhere; of the
+    others none has more than one in ``MANY`` of all rows. A row's own such hashes
+    form its list: no list is longer than a text.
     """
-    seen = cut(line_hashes(df, text=text, id_col=id_col, min_chars=min_chars), "lines")
-    common = cut(seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2"), "common")
-    # The rows of a line of a third of all documents go to as many tasks, not to one.
-    salted = common.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = seen.withColumn("salt", F.pmod("k", F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"]).groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("hs"))
+    seen, all_ = counted(line_hashes(df, text=text, id_col=id_col, min_chars=min_chars), "lines")
+    common = cut(seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs), "common")
+    # No more than MANY lines can be in more than this share of all rows.
+    limit = all_["n"] // MANY
+    most = seen.join(F.broadcast(common.filter(F.col("n") > limit).select("h1", "h2")), ["h1", "h2"])
+    rest = seen.join(common.filter(F.col("n") <= limit).select("h1", "h2").hint("merge"), ["h1", "h2"])
+    own = most.unionByName(rest).groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("hs"))
     own = own.select(F.col("k").alias("__k"), F.col("hs").alias("__hs"))
     keep = without(df, "n_lines", "n_dropped")
     joined = df.select(*[F.col(f"`{c}`") for c in keep], _row_key(text, id_col).alias("__k")).join(own, "__k", "left").drop("__k")

@@ -41,7 +41,12 @@ UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
 SPACES = b" \t\n\x0b\x0c\r"
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-()?!")
+AROUND = MARKS + b".,;:'\"-()?!"
 N_STATS = 11
+#: Words whose places are kept in a worker.
+KEPT = 1 << 18
+#: Entries of vectors that are scored at once: as many as a core has near.
+AT_ONCE = 1 << 13
 
 
 def statistics(text: bytes, words: list[bytes], counts: Counter) -> tuple[list[float], list[int]]:
@@ -63,13 +68,27 @@ def statistics(text: bytes, words: list[bytes], counts: Counter) -> tuple[list[f
     return shares, [len(words), n // m]
 
 
+class Slots(dict):
+    """The place of each word: hashed without its case and the marks around it. Words of a text come again in others, so they are kept, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = xxhash.xxh32_intdigest(word.lower().strip(AROUND), 7) & (WORDS - 1)
+        if len(word) <= 32:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = place
+        return place
+
+
+SLOTS = Slots()
+
+
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a text's vector; no place twice."""
     words = text.split()
     counts = Counter(words)
     shares, sizes = statistics(text, words, counts)
-    # A word is hashed without its case and the marks around it.
-    slot = np.fromiter((xxhash.xxh32_intdigest(w.lower().strip(MARKS + b".,;:'\"-()?!"), 7) & (WORDS - 1) for w in counts), np.int64, len(counts))
+    slot = np.fromiter(map(SLOTS.__getitem__, counts), np.int64, len(counts))
     place, back = np.unique(slot, return_inverse=True)
     value = np.log1p(np.bincount(back, weights=np.fromiter(counts.values(), np.float64, len(counts)), minlength=len(place)))
     value /= max(1e-9, float(np.sqrt((value**2).sum())))
@@ -91,7 +110,12 @@ class Machine:
         pairs = 0.5 * (total**2 - np.add.reduceat(vx**2, at)).sum(1)
         return self.bias + np.add.reduceat(self.w[place] * value, at) + pairs, total
 
-    def score(self, place: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of vectors (places, values), all in one go; a vector has a place for each statistic, so none is empty."""
+        if not rows:
+            return np.zeros(0)
+        at = np.cumsum([0, *(len(p) for p, _ in rows[:-1])])
+        place, value = (np.concatenate(x) for x in zip(*rows, strict=True))
         return 1 / (1 + np.exp(-np.clip(self.raw(place, value, at)[0], -30, 30)))
 
 
@@ -155,10 +179,15 @@ def score(df: DataFrame, model: Machine, *, text: str = "text", score_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        m, out = shared.value, np.empty(b.num_rows)
-        for i, t in enumerate(utf8(b.column(at))):
-            place, value = features(t)
-            out[i] = m.score(place, value, np.zeros(1, np.int64))[0]
+        m, out, held, size = shared.value, [], [], 0
+        for t in utf8(b.column(at)):
+            held.append(features(t))
+            size += len(held[-1][0])
+            if size >= AT_ONCE:
+                out.append(m.scores(held))
+                held, size = [], 0
+        out.append(m.scores(held))
+        out = np.concatenate(out)
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*keep, score_col])
 
     return by_batch(df, run, T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType())]))

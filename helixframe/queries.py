@@ -25,6 +25,8 @@ TRUST = 3
 GENOME = 1_000_000
 #: These reads' nodes are short, so the mate statistic calls them unique from less on than it would call contigs.
 MATE_UNIQUE = 0.0
+#: The share of edits up to which the query calls mates similar.
+MATE_EDITS = 0.5
 #: The limit of windows for a k-mer in the query that shows the crowded ones.
 CROWDED = 40
 
@@ -228,10 +230,17 @@ def q_stats_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_mate_rate(s: SparkSession, d: str) -> DataFrame:
-    """The share of differing places of each good read and its mate."""
-    r = good(s, d).filter(F.col("read_id").endswith("_1")).select("read_id", "seq", dna.mate_name("read_id").alias("mate"))
-    m = good(s, d).select(F.col("read_id").alias("mate"), F.col("seq").alias("mate_seq"))
-    return r.join(m, "mate").select("read_id", F.round(dna.hamming_ratio("seq", "mate_seq"), 6).alias("ratio"))
+    """The share of differing places of each good read and its mate, and whether they are similar."""
+    g = cut(good(s, d), "good")
+    r = g.filter(F.col("read_id").endswith("_1")).select("read_id", "seq", dna.mate_name("read_id").alias("mate"))
+    m = g.filter(F.col("read_id").endswith("_2")).select(F.col("read_id").alias("mate"), F.col("seq").alias("mate_seq"))
+    return r.join(m, "mate").select("read_id", F.round(dna.hamming_ratio("seq", "mate_seq"), 6).alias("ratio"), dna.similar("seq", "mate_seq", MATE_EDITS).alias("similar"))
+
+
+def q_best_edges(s: SparkSession, d: str) -> DataFrame:
+    """Of the reduced graph's sides the edge of the heaviest neighbour, where the extensions agree."""
+    n, e = reduced(s, d)
+    return consensus.best_edges(e, n)
 
 
 def q_stage_counts(s: SparkSession, d: str) -> DataFrame:
@@ -279,6 +288,7 @@ QUERIES: dict[str, Query] = {
     "compress_neighborhood": lambda s, d: graph.compress_neighborhood(reduced(s, d)[1]),
     "compress_chains": lambda s, d: _with_edge_count(contigs(s, d)),
     "define_consensus": q_colors,
+    "best_edges": q_best_edges,
     "count_braids": q_braids,
     "remove_tips": lambda s, d: _with_edge_count(simplify.remove_tips(*contigs(s, d), CFG.tips)),
     "bubble_pairs": q_bubble_pairs,
@@ -484,7 +494,10 @@ ORACLES: dict[str, str] = {
     "node_lines": _sql("edges", "SELECT n.node_id, n.seq, round(n.cov, 6) AS cov, coalesce(f, 0) AS fdeg, coalesce(r, 0) AS rdeg FROM nodes n LEFT JOIN (SELECT src, count(*) FILTER (src_dir = 'f') AS f, count(*) FILTER (src_dir = 'r') AS r FROM edges GROUP BY src) d ON d.src = n.node_id"),
     "fastq_files": _sql("raw", "SELECT read_id AS tag, seq FROM raw"),
     "fasta_files": _sql("nodes", "SELECT upper(hex(row_number() OVER (ORDER BY node_id))) AS tag, node_id, seq FROM nodes"),
-    "mate_rate": _sql("reads", "SELECT a.read_id, round(hamming(left(a.seq, least(length(a.seq), length(b.seq))), left(b.seq, least(length(a.seq), length(b.seq)))) / least(length(a.seq), length(b.seq)), 6) AS ratio FROM reads a JOIN reads b ON right(a.read_id, 2) = '_1' AND b.read_id = left(a.read_id, -1) || '2'"),
+    "mate_rate": _sql("reads", f""",
+one AS MATERIALIZED (SELECT read_id, left(read_id, -2) AS k, seq FROM reads WHERE ends_with(read_id, '_1')), two AS MATERIALIZED (SELECT left(read_id, -2) AS k, seq FROM reads WHERE ends_with(read_id, '_2')),
+both_ AS MATERIALIZED (SELECT a.read_id, least(length(a.seq), length(b.seq)) AS n, left(a.seq, least(length(a.seq), length(b.seq))) AS x, left(b.seq, least(length(a.seq), length(b.seq))) AS y FROM one a JOIN two b USING (k))
+SELECT read_id, round(hamming(x, y) / n, 6) AS ratio, levenshtein(x, y) / n < {MATE_EDITS} AS similar FROM both_"""),
     "scalar_functions": _sql("reads", f"""SELECT read_id, {RC('seq')} AS rc, least(seq, {RC('seq')}) AS canonical, ({_PACKED})::INT AS packed_length, true AS round_trip, 'fr' AS flip_fr, 'rr' AS flip_ff,
  left(read_id, -1) || CASE WHEN right(read_id, 1) = '1' THEN '2' ELSE '1' END AS mate, seq || 'TACGT' AS joined, levenshtein(seq, {RC('seq')})::INT AS edits, hamming(seq, {RC('seq')})::INT AS differing, left(seq, 3) IN ('AAA', 'TTT') AS homopolymer FROM reads"""),
     "read_filter": _sql("reads", "SELECT read_id, seq FROM reads"),
@@ -512,6 +525,13 @@ ORACLES: dict[str, str] = {
     "compress_neighborhood": _sql("link", "SELECT node_id, bool_or(c) AS is_compressible FROM (SELECT src AS node_id, true AS c FROM link UNION SELECT dst, false FROM red WHERE src IN (SELECT src FROM link)) GROUP BY node_id"),
     "compress_chains": _sql("contig", "SELECT node_id, seq, round(cov, 6) AS cov, fdeg, rdeg FROM cd"),
     "define_consensus": _sql("colors", "SELECT * FROM colors"),
+    "best_edges": _sql("red", f""",
+bext AS MATERIALIZED (SELECT e.* FROM ext e JOIN red r USING (src, src_dir, dst, dst_dir, ovl)),
+bn AS (SELECT src, src_dir, count(*) AS c, max(length(ext)) FILTER (i = 2) AS n FROM (SELECT *, row_number() OVER (PARTITION BY src, src_dir ORDER BY length(ext) DESC, dst, dst_dir, ovl) AS i FROM bext) GROUP BY ALL),
+bvote AS (SELECT r.src, r.src_dir, l.n, i AS pos, substr(r.ext, i, 1) AS b, sum(floor(r.cov)) AS w FROM bext r JOIN bn l USING (src, src_dir), range(1, least(l.n, length(r.ext)) + 1) p(i) WHERE l.c > 1 GROUP BY ALL),
+bwon AS (SELECT src, src_dir, n, pos, coalesce(max(b) FILTER (w / total > 0.6), 'N') AS base FROM (SELECT *, sum(w) OVER (PARTITION BY src, src_dir, pos) AS total FROM bvote) GROUP BY ALL),
+bbad AS (SELECT src, src_dir FROM (SELECT src, src_dir, n, string_agg(base, '' ORDER BY pos) AS t FROM bwon GROUP BY ALL) WHERE n >= 20 AND (contains(t, 'NNNN') OR (length(t) - length(replace(t, 'N', ''))) / n > 0.4))
+SELECT {EDGES} FROM bext WHERE (src, src_dir) NOT IN (SELECT (src, src_dir) FROM bbad) QUALIFY row_number() OVER (PARTITION BY src, src_dir ORDER BY len * cov DESC, dst, dst_dir, ovl) = 1"""),
     "count_braids": _sql("colors", f"""SELECT (SELECT count(*) FROM red) AS edges, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM (SELECT r.src, r.src_dir FROM red r JOIN agree a USING (src, src_dir) LEFT JOIN agree b ON b.src = r.dst AND b.src_dir = {FLIP('r.dst_dir')} GROUP BY ALL HAVING bool_and(b.src IS NOT NULL))) AS braids"""),
     "remove_tips": _left_over("tips"),
     "bubble_pairs": _sql("pairs", "SELECT u, v, round(extra, 6) AS extra FROM pairs"),

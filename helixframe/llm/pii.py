@@ -10,8 +10,9 @@ suffices, a shape alone does not without a word of its context. Such a span is
 left out where it overlaps one of a base kind.
 
 A null text is the empty text. Ids are only carried: null and repeated ids and
-repeated rows give a result for each row. Texts of any length are read whole;
-no step takes the square of a text's matches.
+repeated rows give a result for each row. Texts of any length are read whole; the
+work is in proportion to a text and its matches, but for copies of one number for
+each 64 matches, which grow with the square of those.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import table, without
 
-#: Code points before a match and behind it in which its context words count, and earlier matches that are looked through.
-CONTEXT, AFTER, LOOK_BACK = 48, 24, 8
+#: Code points before a match and behind it in which its context words count.
+CONTEXT, AFTER = 48, 24
+#: Earlier matches that can lie in a context: no match of any kind is shorter than 4.
+LOOK_BACK = CONTEXT // 4
 #: The least score of a span whose kind isn't a base kind.
 MIN_SCORE = 0.7
 

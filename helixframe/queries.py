@@ -7,6 +7,7 @@ graph build it first, by the library's own operators.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,6 +249,13 @@ def q_stage_counts(s: SparkSession, d: str) -> DataFrame:
     return stage_counts(raw_reads(s, d), CFG, TRUST)
 
 
+def q_stage_stats(s: SparkSession, d: str) -> DataFrame:
+    """The statistics after each stage of an assembly up to the string graph, without the cuts that SQL has elsewhere."""
+    from helixframe.plans.assemble import assemble
+
+    return assemble(raw_reads(s, d), replace(CFG, chimeric_rounds=0, counters=False, stage_stats=True), stop="string").stats_table(s)
+
+
 def q_assemble(s: SparkSession, d: str) -> DataFrame:
     from helixframe.plans.assemble import assemble
 
@@ -306,6 +314,7 @@ QUERIES: dict[str, Query] = {
     "to_fasta": lambda s, d: formats.to_fasta(nodes_of(s, d)),
     "to_sfa": lambda s, d: formats.to_sfa(q_tag_trusted(s, d)),
     "stage_counts": q_stage_counts,
+    "stage_stats": q_stage_stats,
     "assemble": q_assemble,
 }
 
@@ -316,6 +325,14 @@ RC = "reverse(translate({0}, 'ACGT', 'TGCA'))".format
 FLIP = "translate({0}, 'fr', 'rf')".format
 EDGES = "src, src_dir, dst, dst_dir, ovl"
 
+def _halves(o: str, nodes: str, degrees: str) -> str:
+    """Statistics of a graph's nodes by cutoff, in tables whose names begin with ``o``."""
+    return f"""{o}cut AS (SELECT unnest({stats.CUTOFFS}) AS cutoff),
+{o}lens AS (SELECT length(seq) AS len, row_number() OVER (ORDER BY length(seq) DESC) AS i, sum(length(seq)) OVER (ORDER BY length(seq) DESC ROWS UNBOUNDED PRECEDING) AS total FROM {nodes} WHERE length(seq) >= {stats.N50_FLOOR}),
+{o}half AS (SELECT cutoff, count(*) AS cnt, sum(length(seq))::BIGINT AS s, sum(length(seq)) // 2 AS half, sum((fdeg + rdeg) * length(seq)) AS d, sum(cov * length(seq)) AS c FROM {degrees} JOIN {o}cut ON length(seq) >= cutoff GROUP BY cutoff),
+{o}n50 AS (SELECT h.cutoff, coalesce(arg_min(l.len, l.i), 0)::BIGINT AS n50, coalesce(min(l.i), 0)::BIGINT AS n50cnt FROM {o}half h LEFT JOIN {o}lens l ON l.total >= h.half GROUP BY h.cutoff)"""
+
+
 STEPS: dict[str, tuple[str, str]] = {
     "raw": ("", RAW_SQL),
     "reads": ("raw", f"reads AS MATERIALIZED (SELECT read_id, seq FROM raw WHERE regexp_full_match(seq, '[ACGT]*') AND length(seq) > {K})"),
@@ -446,12 +463,12 @@ votes AS MATERIALIZED (SELECT *, max(s) OVER (PARTITION BY seed) AS m, count(*)
 best AS (SELECT seed, any_value(m) AS top, max(base) FILTER (s = m) AS won FROM votes GROUP BY seed HAVING any_value(n) > 1 AND count(*) FILTER (s = m) = 1),
 fixes AS (SELECT e.node_id AS read_id, e.pos::INT AS pos, CASE WHEN strand = 'f' THEN won ELSE translate(won, 'ACGT', 'TGCA') END AS base FROM seen e JOIN best b USING (seed) JOIN votes v ON v.seed = e.seed AND v.base = e.base WHERE e.base <> b.won AND v.s / b.top <= 0.25)""",
     ),
-    "halves": (
-        "contig",
-        f"""cut AS (SELECT unnest({stats.CUTOFFS}) AS cutoff),
-lens AS (SELECT length(seq) AS len, row_number() OVER (ORDER BY length(seq) DESC) AS i, sum(length(seq)) OVER (ORDER BY length(seq) DESC ROWS UNBOUNDED PRECEDING) AS total FROM cn WHERE length(seq) >= {stats.N50_FLOOR}),
-half AS (SELECT cutoff, count(*) AS cnt, sum(length(seq))::BIGINT AS s, sum(length(seq)) // 2 AS half, sum((fdeg + rdeg) * length(seq)) AS d, sum(cov * length(seq)) AS c FROM cd JOIN cut ON length(seq) >= cutoff GROUP BY cutoff),
-n50 AS (SELECT h.cutoff, coalesce(arg_min(l.len, l.i), 0)::BIGINT AS n50, coalesce(min(l.i), 0)::BIGINT AS n50cnt FROM half h LEFT JOIN lens l ON l.total >= h.half GROUP BY h.cutoff)""",
+    "halves": ("contig", _halves("", "cn", "cd")),
+    "halves_overlap": (
+        "edges",
+        f"""odeg AS MATERIALIZED (SELECT src, src_dir, count(*) AS deg FROM edges GROUP BY ALL),
+od AS MATERIALIZED (SELECT n.*, coalesce(f.deg, 0) AS fdeg, coalesce(r.deg, 0) AS rdeg FROM nodes n LEFT JOIN odeg f ON f.src = n.node_id AND f.src_dir = 'f' LEFT JOIN odeg r ON r.src = n.node_id AND r.src_dir = 'r'),
+{_halves("o", "nodes", "od")}""",
     ),
 }
 
@@ -547,6 +564,7 @@ FROM cn n LEFT JOIN more m USING (node_id) LEFT JOIN deg d ON d.src = n.node_id
     "mate_edge_support": _sql("mates+supported", _without("mm")),
     "mate_counts": _sql("mates", "SELECT * FROM mates"),
     "graph_stats": _sql("halves", "SELECT cutoff, cnt, s AS sum, round(s / cnt, 2) AS mean, n50, n50cnt, round(d / s, 2) AS deg, round(c / s, 2) AS cov FROM half JOIN n50 USING (cutoff)"),
+    "stage_stats": _sql("halves_overlap+halves", " UNION ALL ".join(f"SELECT '{stage}' AS stage, cutoff, cnt, s AS sum, round(s / cnt, 2) AS mean, n50, n50cnt, round(d / s, 2) AS deg, round(c / s, 2) AS cov FROM {o}half JOIN {o}n50 USING (cutoff)" for stage, o in (("overlap", "o"), ("string", "")))),
     "n50": _sql("halves", "SELECT * FROM n50"),
     "stats_text": _sql("halves", f"""SELECT '>' || cutoff || chr(9) || cnt || chr(9) || s || chr(9) || printf('%.2f', round(s / cnt, 2)) || chr(9) || n50 || chr(9) || n50cnt || chr(9) || printf('%.2f', round(d / s, 2)) || chr(9) || printf('%.2f', round(c / s, 2)) AS line FROM half JOIN n50 USING (cutoff)
  UNION ALL SELECT 'max_' || i || ':' || chr(9) || len || chr(9) || total::BIGINT FROM lens WHERE i <= 10

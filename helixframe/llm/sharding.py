@@ -12,8 +12,9 @@ Equal keys form a group. A group of up to a 64th of a shard stays in one shard;
 a larger one is cut between records, so a key of a third of all records is dealt
 out like any others, and so are rows that are alike in everything: each has a
 number of its own, given once and written. Records of more than a 64th of a shard
-are placed singly, each into the shard with the fewest bytes so far, and the
-others fill up what these leave; there are at most 64 for each shard. So two
+are placed first, equal ones together up to an eighth of a shard, each into the
+shard with the fewest bytes so far, and the others fill up what these leave; there
+are at most 64 for each shard. So two
 shards differ by about a 64th of a shard, unless a record is longer than one.
 
 A null key or tie is the least one. A null size is 1, as is one below. An empty
@@ -34,6 +35,8 @@ from helixframe.plans.scratch import cut
 
 #: A record or a group of more than this part of a shard is placed or cut singly.
 UNIT = 64
+#: Long equal records are placed together up to this part of a shard.
+TOGETHER = 8
 #: Ranges for each shard, and records drawn for each range.
 RANGES, DRAWS = 8, 16
 #: A range of so few records is never overfull; one of more than so many always is.
@@ -116,14 +119,24 @@ def _splitters(records: DataFrame, rows: int, total: int, ranges: int, *, max_ro
 
 
 def _singly(records: DataFrame, total: int, shards: int) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
-    """(row, shard, slot) of records of more than a 64th of a shard, the longest first, each to the shard of the fewest bytes; the shards' bytes and records."""
+    """(row, shard, slot) of records of more than a 64th of a shard, the longest first, each to the shard of the fewest bytes; the shards' bytes and records.
+
+    Equal ones go together as long as they are no more than an eighth of a shard.
+    """
     long = records.filter(F.col("size") * (UNIT * shards) > total).select("size", *ORDER).collect()  # UNIT * shards at most
+    alike: dict[tuple[int, int], list] = {}
+    for r in sorted(long, key=lambda r: (r["tie"], r["row"])):
+        alike.setdefault((r["key"], r["size"]), []).append(r)
+    units = []
+    for (key, size), rows in alike.items():
+        together = size * len(rows) * TOGETHER * shards <= total
+        units += [(-size * len(rows), key, rows)] if together else [(-size, key, [r]) for r in rows]
     heap, loads, held, placed = [(0, s) for s in range(shards)], [0] * shards, [0] * shards, []
-    for r in sorted(long, key=lambda r: (-r["size"], r["key"], r["tie"], r["row"])):
+    for minus, _, rows in sorted(units, key=lambda u: (u[0], u[1], u[2][0]["tie"], u[2][0]["row"])):
         load, s = heapq.heappop(heap)
-        placed.append((r["row"], s, held[s]))
-        held[s] += 1
-        loads[s] = load + r["size"]
+        placed += [(r["row"], s, held[s] + i) for i, r in enumerate(rows)]
+        held[s] += len(rows)
+        loads[s] = load - minus
         heapq.heappush(heap, (loads[s], s))
     return placed, loads, held
 

@@ -56,6 +56,17 @@ def test_long_records_nulls_ties(spark):
     check(dealt(spark, rows, 4).collect(), rows, 4, 1 / 8)
 
 
+def test_long_copies_stay_together(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("abc", k=100))) for i in range(4000)] + [(9000 + i, f"{i // 3} " * 1200) for i in range(9)]
+    out = dealt(spark, rows, 4).collect()
+    check(out, rows, 4, 1 / 16)
+    where = defaultdict(set)
+    for r in out:
+        where[r.text].add(r.shard)
+    assert all(len(v) == 1 for t, v in where.items() if len(t) > 1000)
+
+
 def test_alike_rows_only(spark):
     """Nothing but the rows' own numbers can cut this."""
     rows = [(7, "same")] * 4000

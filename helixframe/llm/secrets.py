@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens.
 
-The field tags each token as the beginning of a secret, inside one, or outside,
-from its shape, the words and marks beside it and features of the whole text;
-Viterbi finds the best tags of a chain. A chain is a stretch of a text with all
-its tokens, ordinary words too: the neighbourhood of every clue word (password,
-token, bearer, ...), of every token that looks random, and of credentials in an
-address. Overlapping neighbourhoods are one chain. Between chains there is
-neither a clue nor such a token: all tokens there are outside, so a secret of
-ordinary letters without a clue isn't found. Clue words are those of English,
-German, Spanish and French (``CLUES``). A token is looked at whole, however long.
+The field tags each token of a text as the beginning of a secret, inside one, or
+outside, from its shape, the words and marks beside it and features of the whole
+text; Viterbi finds the best tags of the whole text, which is one chain: no
+token is left out, whatever stands beside it. Clue words (password, token,
+bearer, ...) are features; they are those of English, German, Spanish and French
+(``CLUES``). A token is looked at whole, however long.
+
+Most tokens can't be of a secret whatever their finer features are: bounds of
+their scores, worked out in numpy from their own and their neighbours' texts,
+tell so, and Viterbi runs on the others, between tokens that are outside on
+every best path. The tags are those of Viterbi on all tokens (``Bounds``).
 
 The field is trained here, on texts made from templates by a seeded rule: keys,
 passwords, passphrases, key blocks and connection strings on the one side; on
@@ -18,7 +20,7 @@ numbers, paths, versions, identifiers and checksums.
 Spans of the patterns are always kept; the field's (kind ``crf``) are added
 where they overlap none. A null text is the empty text. Each row gives a row:
 repeated rows and ids alike. Texts of any length are scanned whole, in time in
-proportion; memory holds one batch of texts and one chain.
+proportion; memory holds one batch of texts and the tokens of one text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,16 +62,10 @@ ALIKE = {"passwor": "password", "passwör": "password", "kennw": "password", "co
 #: Words between a clue and its secret.
 LINKS = {"is", "was", "are", "ist", "lautet", "war", "es", "era", "est", "était"}
 HARMLESS = re.compile("(?i)sha|md5|commit|digest|checksum|version|uuid|guid|isbn|issn|doi|order|invoice|phone|card|www|path|file|etag|image|build|revision|ticket|serial|page|date|room|flight")
-#: Runs of characters of keys, and credentials in an address.
-LONG = re.compile("[A-Za-z0-9+/_.-]{12,}={0,2}")
-ADDRESS = re.compile(r"://[^\s/:@]+:[^\s/@]+@")
 #: A token: a run without white space, brackets, quotes and commas; colons and equals signs are tokens of their own, but for padding at the end.
-TOKEN = re.compile(r"""[^\s:=,;"'`()<>\[\]{}|]+(?:={1,2}(?=[\s,;"'`)>\]}|]|$))?|[:=]""")
-SPACE = re.compile(r"\s")
-#: Characters of a chain before and after what it is about; a token that is cut there counts whole.
-BEFORE, AFTER = 64, 128
-
-
+#: White space (\s), spelt out: a class of single characters is a table.
+SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TOKEN = re.compile(rf"""[^{SPACES}:=,;"'`()<>\[\]{{}}|]+(?:={{1,2}}(?=[{SPACES},;"'`)>\]}}|]|$))?|[:=]""")
 DIGIT, LETTER, TURN = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("[a-z](?=[A-Z])")
 
 
@@ -90,41 +88,46 @@ def looks_random(token: str) -> bool:
 
 
 def chains(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each stretch that the field reads, in order; ends lie between tokens."""
-    small = text.lower()
-    about = [m.span() for m in CLUE.finditer(text)] if any(p in small for p in CLUE_PARTS) else []
-    about += [m.span() for m in LONG.finditer(text) if looks_random(m[0])]
-    if "://" in text:
-        about += [m.span() for m in ADDRESS.finditer(text)]
-    start = end = -1
-    for s, e in sorted(about):
-        if end < 0 or s - BEFORE > end:
-            if end >= 0:
-                yield start, end
-            start = max(0, end, s - BEFORE)
-            if start and not text[start - 1].isspace():
-                gap = SPACE.search(text, start, s)
-                start = gap.end() if gap else s
-        if e + AFTER > end:
-            end = min(len(text), e + AFTER)
-            if end < len(text):
-                gap = SPACE.search(text, end)
-                end = gap.start() if gap else len(text)
-    if end >= 0:
-        yield start, end
+    """(start, end) of what the field reads as one chain: the whole text."""
+    if text:
+        yield 0, len(text)
+
+
+#: A run of characters with padding behind it, and classes of characters: 1 is outside of tokens, 2 a token of its own.
+PADDED = re.compile(rf"""[^{SPACES}:=,;"'`()<>\[\]{{}}|]={{1,2}}(?=[{SPACES},;"'`)>\]}}|]|$)""")
+_CLASS = np.zeros(0x3002, np.uint8)
+_CLASS[[c for c in range(0x3001) if re.match(f"""[{SPACES},;"'`()<>\\[\\]{{}}|]""", chr(c))]] = 1
+_CLASS[[ord(":"), ord("=")]] = 2
+
+
+def codes(text: str) -> np.ndarray:
+    """Code points, and a space behind them."""
+    return np.frombuffer(f"{text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans of a chain's tokens; a full stop at the end of one isn't of it."""
-    out = []
-    for m in TOKEN.finditer(text, start, end):
-        s, e = m.span()
-        while e - s > 1 and text[e - 1] in ".…":
-            e -= 1
-        out.append((s, e))
+    """Spans of a chain's tokens (``TOKEN``); a full stop at the end of one isn't of it."""
+    if start or end < len(text) or "=" in text and PADDED.search(text):
+        return [_stripped(text, *m.span()) for m in TOKEN.finditer(text, start, end)]
+    code = codes(text)
+    kind = _CLASS[np.minimum(code, 0x3001)]
+    run, mark = kind == 0, kind == 2
+    begin, stop = run | mark, (run | mark)[:-1]
+    begin[1:] &= ~(run[1:] & run[:-1])
+    stop = stop & ~(run[:-1] & run[1:])
+    out = list(zip(np.flatnonzero(begin).tolist(), (ends := np.flatnonzero(stop) + 1).tolist(), strict=True))
+    tail = code[ends - 1]
+    for i in np.flatnonzero((tail == ord(".")) | (tail == ord("…"))).tolist():
+        out[i] = _stripped(text, *out[i])
     return out
 
 
+def _stripped(text: str, s: int, e: int) -> tuple[int, int]:
+    while e - s > 1 and text[e - 1] in ".…":
+        e -= 1
+    return s, e
+
+
 def shape(token: str) -> str:
     """Classes of characters, runs of one shortened to two; the first ten of these."""
     out: list[str] = []
@@ -151,9 +154,11 @@ def file_features(text: str) -> list[str]:
 
 CONSONANTS = re.compile("(?i)[bcdfghjklmnpqrstvwxz]{5,}")
 CLASSES = (str.islower, str.isupper, str.isdigit)
-MARKS = ":="
+MARKS = (":", "=")
+NEWLINE = re.compile("\n")
 
 
+@lru_cache(1 << 15)
 def _own(token: str) -> tuple[str, list[str]]:
     """A token's sort and the features of its own text."""
     head = token
@@ -179,43 +184,90 @@ def _own(token: str) -> tuple[str, list[str]]:
     return sort, features
 
 
-def chain_features(text: str, spans: list[tuple[int, int]], whole: list[str]) -> list[list[str]]:
-    """The features of each token of a chain."""
-    own = [_own(text[s:e]) for s, e in spans]
-    low = [text[s:e].lower() for s, e in spans]
-    clue = [CLUE.search(text, s, e) for s, e in spans]
-    no = [bool(HARMLESS.search(text, s, e)) for s, e in spans]
-    out = []
-    far, bad, since, last = 9, 9, "-", "-"
-    for i, ((s, e), (sort, mine)) in enumerate(zip(spans, own, strict=True)):
-        gap = text[spans[i - 1][1] if i else max(0, s - 1) : s]
-        after = text[e : e + 1]
-        broken = "\n" in gap
-        if broken and not clue[i]:
-            since += "n"
-        quoted = gap[-1:] in ("'", '"', "`") and after == gap[-1:]
-        place = f"{far}{since[-3:]}"
-        f = [
-            "bias", *mine, f"clue={bool(clue[i])}", f"place={place}", f"sp={sort}{place}", f"far={far}{sort}", f"no={min(bad, 3)}", f"ns={min(bad, 3)}{sort}", f"quoted={quoted}{sort}", f"next={after if after in ',.;' + chr(10) else '-'}", f"new={broken}{sort}",
-            "w-1=" + (low[i - 1] if i else "^"), "w-2=" + (low[i - 2] if i > 1 else "^"), "w+1=" + (low[i + 1] if i + 1 < len(spans) else "$"), f"s-1={own[i - 1][0] if i else '^'}", f"s+1={own[i + 1][0] if i + 1 < len(spans) else '$'}",
-            f"ss={own[i - 1][0] if i else '^'}{sort}{own[i + 1][0] if i + 1 < len(spans) else '$'}",
-        ]
-        if far < 9:
-            f += [f"last={last}{sort}", f"lf={last}{min(far, 3)}{since[-3:]}", *[f"{w}{sort}" for w in whole]]
-            f += [f"kp={mine[1]}{place}", f"lp={mine[2]}{place}", f"q={quoted}{place}{sort}"]
-        out.append([*f, *whole])
-        far, bad = (0 if clue[i] else min(9, far + (sort != "mark"))), (0 if no[i] else min(9, bad + 1))
-        if clue[i]:
-            since, last = "-", clue[i][0].lower()
+def _at(text: str, spans: list[tuple[int, int]], i: int, whole: list[str], far: int, bad: int, since: str, last: str, clue: bool, broken: bool) -> list[str]:
+    """The features of token i, of which ``far``, ``bad``, ``since`` and ``last`` tell what came before."""
+
+    def word(j: int, edge: str) -> str:
+        return text[slice(*spans[j])].lower() if 0 <= j < len(spans) else edge
+
+    def sort_of(j: int, edge: str) -> str:
+        return _own(text[slice(*spans[j])])[0] if 0 <= j < len(spans) else edge
+
+    s, e = spans[i]
+    sort, mine = _own(text[s:e])
+    before = text[s - 1 : s] if s and (not i or spans[i - 1][1] < s) else ""
+    after = text[e : e + 1]
+    quoted = before in ("'", '"', "`") and after == before
+    place = f"{far}{since[-3:]}"
+    f = [
+        "bias", *mine, f"clue={clue}", f"place={place}", f"sp={sort}{place}", f"far={far}{sort}", f"no={min(bad, 3)}", f"ns={min(bad, 3)}{sort}", f"quoted={quoted}{sort}", f"next={after if after in ',.;' + chr(10) else '-'}", f"new={broken}{sort}",
+        "w-1=" + word(i - 1, "^"), "w-2=" + word(i - 2, "^"), "w+1=" + word(i + 1, "$"), f"s-1={sort_of(i - 1, '^')}", f"s+1={sort_of(i + 1, '$')}",
+        f"ss={sort_of(i - 1, '^')}{sort}{sort_of(i + 1, '$')}",
+    ]
+    if far < 9:
+        f += [f"last={last}{sort}", f"lf={last}{min(far, 3)}{since[-3:]}", *[f"{w}{sort}" for w in whole]]
+        f += [f"kp={mine[1]}{place}", f"lp={mine[2]}{place}", f"q={quoted}{place}{sort}"]
+    return [*f, *whole]
+
+
+#: What is known at a token of those before it: words since a clue and since a harmless one (9: many), marks since the clue, the clue.
+State = tuple[int, int, str, str]
+FAR: State = (9, 9, "-", "-")
+#: A token's place, what is known there and behind it, is it a clue, does it begin a line.
+Step = tuple[int, State, State, bool, bool]
+
+
+def walk(text: str, spans: list[tuple[int, int]], marked: list[tuple[int, bool]]) -> list[Step]:
+    """A step for each ``marked`` token: those that are more than a word to what follows (clues, harmless words, marks, links, first ones of a line), and whether they begin a line."""
+    out: list[Step] = [(-1, FAR, FAR, False, False)]
+    (far, bad, since, last), before = FAR, -1
+    for i, broken in marked:
+        s, e = spans[i]
+        low = text[s:e].lower()
+        clue, mark = CLUE.search(text, s, e), low in MARKS
+        far, bad = min(9, far + i - before - 1), min(9, bad + i - before - 1)
+        if broken and not clue:
+            since = (since + "n")[-3:]
+        here = far, bad, since, last
+        far, bad = (0 if clue else min(9, far + (not mark))), (0 if HARMLESS.search(text, s, e) else min(9, bad + 1))
+        if clue:
+            since, last = "-", clue[0].lower()
             last = next((word for start, word in ALIKE.items() if last.startswith(start)), last)
-        elif sort == "mark":
-            since += low[i]
-        elif far == 1 and low[i] in LINKS:
-            since += "i"
+        elif mark:
+            since = (since + low)[-3:]
+        elif far == 1 and low in LINKS:
+            since = (since + "i")[-3:]
             far = 0
+        out.append((i, here, (far, bad, since, last), bool(clue), broken))
+        before = i
     return out
 
 
+def chain_features(text: str, spans: list[tuple[int, int]], whole: list[str], wanted: list[int] | None = None, steps: list[Step] | None = None) -> list[list[str]]:
+    """The features of each token of a chain, or of those ``wanted`` (ascending)."""
+    steps = walk(text, spans, list(enumerate(_breaks(text, spans).tolist()))) if steps is None else steps
+    out, at = [], 0
+    for i in range(len(spans)) if wanted is None else wanted:
+        while at + 1 < len(steps) and steps[at + 1][0] <= i:
+            at += 1
+        k, here, (far, bad, since, last), clue, broken = steps[at]
+        if k == i:
+            out.append(_at(text, spans, i, whole, *here, clue, broken))
+        else:
+            out.append(_at(text, spans, i, whole, min(9, far + i - k - 1), min(9, bad + i - k - 1), since, last, False, False))
+    return out
+
+
+def _breaks(text: str, spans: list[tuple[int, int]], ends: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens are the first ones of a line."""
+    out = np.zeros(len(spans) + 1, bool)
+    if "\n" in text:
+        ends = np.fromiter([e for _, e in spans], np.int64, len(spans)) if ends is None else ends
+        out[np.searchsorted(ends, [m.start() for m in NEWLINE.finditer(text)], "right")] = True
+        out[0] = text[max(0, spans[0][0] - 1) : spans[0][0]] == "\n"
+    return out[:-1]
+
+
 B, I, O = 0, 1, 2  # noqa: E741
 
 
@@ -238,15 +290,18 @@ class Field:
     def chain(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.array([self.w[p].sum(0) for p in rows]), self.steps()
 
-    def decode(self, rows: list[list[int]]) -> list[int]:
-        """The best tags, by Viterbi."""
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "bounds"}
+
+    def decode(self, rows: list[list[int]], first: bool = True, last: bool = True) -> list[int]:
+        """The best tags, by Viterbi; ``first`` and ``last``: whether the rows begin and end their chain or stand beside a token that is outside."""
         e, t = self.chain(rows)
-        best, back = e[0] + t[3], []
+        best, back = e[0] + t[3 if first else O], []
         for x in e[1:]:
             all_ = best[:, None] + t[:3]
             back.append(all_.argmax(0))
             best = all_.max(0) + x
-        tags = [int(best.argmax())]
+        tags = [int((best if last else best + t[:3, O]).argmax())]
         for b in reversed(back):
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
@@ -487,21 +542,170 @@ def train(seed: int = 11, n: int = 2400, epochs: int = 8, rate: float = 0.25, de
     return field
 
 
+#: Words in small letters that may be clues, harmless ones or links hold one of these.
+TOLD = re.compile("|".join([*CLUE_PARTS, HARMLESS.pattern.removeprefix("(?i)"), *(f"^{x}$" for x in LINKS)]))
+
+
+class Bounds:
+    """What tokens can score at most as the beginning (column 0) or the inside (1) of a secret, more than outside.
+
+    A secret of a best path scores, from any of its tokens to its end, no less than
+    if these tokens were outside. So the bounds of its tokens, added up from its
+    end, with the most that tags of neighbours can add, never fall below zero:
+    tokens that are in no such row are outside.
+
+    Far from clues the bounds are the scores themselves, looked up by the tokens'
+    texts, sorts and marks; near to clues the best of some features is taken.
+    """
+
+    #: Texts of tokens that are kept; when there are more, it begins anew.
+    KEPT = 1 << 19
+    CLUE, NO, MARK, LINK = 1, 2, 4, 8
+
+    def __init__(self, field: Field):
+        self.at, t = field.at, field.steps()
+        self.gain = np.ascontiguousarray((field.w - field.w[:, [O]])[:, :2])
+        self.none = np.zeros(2)
+        # What the way into a tag can add, and the way out of the last one.
+        self.into = np.array([max((t[x, y] - min(t[x, O], t[O, O])) for x in range(4) if t[x, y] > -1e3) for y in (B, I)])
+        self.out = max(0.0, max(t[x, y] - t[O, y] for x in (B, I) for y in (B, O)))
+        names = list(self.at)
+        # Sorts: 0 is the edge of a text, 1 any that the field hasn't seen. Marks since a clue: 0 is what it hasn't seen.
+        kinds = ["^", "", *(n[5:] for n in names if n.startswith("sort="))]
+        since = ["", *sorted({n[7:] for n in names if n.startswith("place=9")})]
+        self.sorts, self.since = {x: k for k, x in enumerate(kinds) if k > 1}, {x: k for k, x in enumerate(since) if k}
+        after = ["$", *kinds[1:]]
+        self.three = np.array([[[self.of(f"ss={a}{b}{c}") for c in after] for b in kinds] for a in kinds])
+        self.place = np.array([[self.of(f"place=9{x}") + self.of(f"sp={a}9{x}") if x else self.none for x in since] for a in kinds])
+        self.bad = np.array([[self.of(f"no={x}") + self.of(f"ns={x}{a}") for x in range(4)] for a in kinds])
+        self.quoted, self.new = (np.array([[self.of(f"{h}={x}{a}") for x in (False, True)] for a in kinds]) for h in ("quoted", "new"))
+        self.next = np.array([self.of(f"next={x}") for x in ("-", *",.;\n", "")])
+        most = sum(np.max([self.none, *(self.of(n) for n in names if n.startswith(h))], axis=0) for h in ("place=", "sp=", "far=", "last=", "lf=", "kp=", "lp=", "q=", "code", "lines"))
+        self.near = most + self.bad.max(1) + self.quoted.max(1) + self.new.max(1) + self.next.max(0)
+        self.known = {n.partition("=")[2] for n in names if n.startswith(("w=", "w-1=", "w-2=", "w+1="))}
+        self.clear()
+
+    def of(self, name: str) -> np.ndarray:
+        k = self.at.get(name)
+        return self.none if k is None else self.gain[k]
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.words: dict[tuple, int] = {}
+        self.n = 0
+        self.rows = np.zeros((1024, 4, 2))  # itself, and as the one before, the one but one before, the next
+        self.sort = np.zeros(1024, np.int64)
+        self.flags = np.zeros(1024, np.uint8)
+        self.put(np.array([self.none, self.of("w-1=^") + self.of("s-1=^"), self.of("w-2=^"), self.of("w+1=$") + self.of("s+1=$")]), 0, 0)
+
+    def put(self, row: np.ndarray, sort: int, flags: int) -> int:
+        k = self.n
+        if k == len(self.flags):
+            for name in ("rows", "sort", "flags"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        self.rows[k], self.sort[k], self.flags[k] = row, sort, flags
+        self.n += 1
+        return k
+
+    def add(self, token: str) -> int:
+        """The row of a token's text. Words that the field has no weight for, and that are no clues or the like, share rows."""
+        low = token.lower()
+        small = token.islower()
+        word = token.isalpha() and len(token) < 16 and (small or token.isupper() or token[0].isupper() and token[1:].islower())
+        told = low in self.known
+        plain = word and not told and not TOLD.search(low) and not any(c in token for c in "ſİı")
+        like = (small, not small and token.isupper(), len(token), CONSONANTS.search(token) is not None) if plain else None
+        k = self.words.get(like) if plain else None
+        if k is None:
+            row, sort = self.of_token(*_own(token))
+            if told:
+                row[1:] += [self.of(h + low) for h in ("w-1=", "w-2=", "w+1=")]
+            maybe = any(p in low for p in CLUE_PARTS) or any(c in token for c in "ſİı")  # letters that count as s and i
+            k = self.put(row, sort, self.CLUE * maybe + self.NO * (HARMLESS.search(token) is not None) + self.MARK * (token in MARKS) + self.LINK * (low in LINKS))
+            if plain:
+                self.words[like] = k
+        self.ids[token] = k
+        return k
+
+    def of_token(self, sort: str, mine: list[str]) -> tuple[np.ndarray, int]:
+        """A row without what is told by the neighbours' words, and the sort."""
+        own = [self.at[f] for f in ("bias", "clue=False", f"far=9{sort}", *mine) if f in self.at]
+        return np.array([self.gain[own].sum(0), self.of("s-1=" + sort), self.none, self.of("s+1=" + sort)]), self.sorts.get(sort, 1)
+
+    def open(self, text: str, spans: list[tuple[int, int]], whole: list[str]) -> tuple[list[int], list[Step]]:
+        """The tokens that may be of a secret, and the steps by which ``chain_features`` knows their places."""
+        if len(self.ids) > self.KEPT:
+            self.clear()
+        ids, add, n = self.ids, self.add, len(spans)
+        own = np.zeros(n + 3, np.int64)
+        own[2:-1] = [ids[w] if (w := text[s:e]) in ids else add(w) for s, e in spans]
+        x, sort = own[2:-1], self.sort[own]
+        mine = sort[2:-1]
+        most = self.rows[x, 0] + self.rows[own[1:-2], 1] + self.rows[own[:-3], 2] + self.rows[own[3:], 3] + self.three[sort[1:-2], mine, sort[3:]]
+        most += sum(map(self.of, whole), self.none) + self.into
+
+        s, e = np.fromiter(chain.from_iterable(spans), np.int64, 2 * n).reshape(-1, 2).T
+        flags, breaks = self.flags[x], _breaks(text, spans, e)
+        marked = np.flatnonzero((flags > 0) | breaks)
+        steps = walk(text, spans, list(zip(marked.tolist(), breaks[marked].tolist(), strict=True)))
+        place = np.array([p[0] for p in steps])
+        at = np.searchsorted(place, np.arange(n), "right") - 1
+        further = np.arange(n) - place[at] - 1
+        far, bad, since = (np.array(v)[at] for v in zip(*[(p[2][0], p[2][1], self.since.get(p[2][2], 0)) for p in steps], strict=True))
+        far, bad = far + further, bad + further
+        far[marked], bad[marked], since[marked] = np.array([(p[1][0], p[1][1], self.since.get(p[1][2], 0)) for p in steps[1:]], np.int64).reshape(-1, 3).T
+        near = far < 9
+        near[marked] |= np.array([p[3] for p in steps[1:]], bool)
+
+        code = codes(text)
+        before, after = code[s - 1], code[e]
+        quoted = (s > 0) & (before == after) & ((before == 34) | (before == 39) | (before == 96))
+        following = sum((after == ord(c)) * k for k, c in enumerate(",.;\n", 1))
+        following[e == len(text)] = 5
+        known = self.place[mine, since] + self.bad[mine, np.minimum(bad, 3)] + self.quoted[mine, quoted.astype(int)] + self.new[mine, breaks.astype(int)] + self.next[following]
+        if near.any():
+            clue = np.maximum(self.of("clue=True") - self.of("clue=False"), 0)
+            known[near] = self.near[mine[near]] + clue - [self.of(f"far=9{_own(text[slice(*spans[i])])[0]}") for i in np.flatnonzero(near).tolist()]
+        most += known
+
+        may = np.zeros(n, bool)
+        for j in np.flatnonzero((most > -self.out - 1e-6).any(1))[::-1].tolist():
+            left = self.out
+            while j >= 0 and not may[j]:
+                may[j] = most[j, 0] + left >= -1e-6
+                left += most[j, 1]
+                if left < -1e-6:
+                    break
+                may[j] = True
+                left, j = max(left, self.out), j - 1
+        return np.flatnonzero(may).tolist(), steps
+
+
 def crf_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """Spans from a beginning to the last inside token after it."""
+    if "bounds" not in vars(field):
+        field.bounds = Bounds(field)
     found: list[tuple[int, int]] = []
-    whole = None
     for a, b in chains(text):
-        whole = whole or file_features(text)
         parts = tokens(text, a, b)
         if not parts:
             continue
-        tags = field.decode([field.places(f) for f in chain_features(text, parts, whole)])
-        for (s, e), tag in zip(parts, tags, strict=True):
-            if tag == B:
-                found.append((s, e))
-            elif tag == I:
-                found[-1] = (found[-1][0], e)
+        whole = file_features(text)
+        wanted, steps = field.bounds.open(text, parts, whole)
+        rows = [field.places(f) for f in chain_features(text, parts, whole, wanted, steps)]
+        i = 0
+        while i < len(wanted):
+            j = i + 1
+            while j < len(wanted) and wanted[j] == wanted[j - 1] + 1:
+                j += 1
+            tags = field.decode(rows[i:j], wanted[i] == 0, wanted[j - 1] == len(parts) - 1)
+            for k, tag in zip(wanted[i:j], tags, strict=True):
+                if tag == B:
+                    found.append(parts[k])
+                elif tag == I:
+                    found[-1] = (found[-1][0], parts[k][1])
+            i = j
     return found
 
 

@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, exact decisions, components.
+"""Near copies by the Jaccard similarity of word shingles: SimHash first, MinHash for the rest, exact decisions, components.
+
+SimHash (``simhash``: fingerprints, exact tables, tiles of exclusive-or and bit
+counts) finds the nodes whose fingerprints differ in 3 bits or fewer. A
+similarity of 0.8 can lie anywhere in the fingerprints' distances, so what these
+links leave apart is looked for by MinHash.
 
 Rows of equal shingle sets are one node. Nodes meet in the buckets of ``BANDS``
 bands of ``ROWS`` MinHash values: a pair of similarity J meets in none of them
@@ -6,9 +11,10 @@ with probability (1 - J ** ROWS) ** BANDS, 3e-6 at 0.8 and less above, whatever
 the length of the texts. A link is made only where the whole sets (64-bit
 hashes of the shingles) have the similarity asked for, in integers.
 
-Links are looked for twice: between neighbours of each bucket, one pair for
-each row, and then between all pairs of a bucket that are not of one component
-yet, so that a large group of near copies doesn't cost the square of its size.
+Links are looked for twice: those of SimHash, of which a bucket gives one for
+each row, with the pairs of neighbours of each MinHash bucket, and then between all
+pairs of a bucket that are not of one component yet, so that a large group of
+near copies doesn't cost the square of its size.
 Of the latter, pairs go whose parities (of the number of shingles in each of
 ``CELLS`` cells) differ in more places than the sets may: the sets differ in as
 many shingles at least, so no pair that should be linked goes. Buckets of more than ``tile`` rows are dealt out as pairs of tiles.
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import by_batch, small_batches, utf8
 from helixframe.llm.components import connected_components
-from helixframe.llm.simhash import shingle_hashes
+from helixframe.llm.simhash import fingerprints, links, pigeonhole, shingle_hashes
 from helixframe.plans.scratch import cut
 
 ROWS, BANDS = 5, 32
@@ -37,6 +43,8 @@ ROWS, BANDS = 5, 32
 FACTORS = (np.random.default_rng(20).integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 #: Rows of a tile; a larger bucket is dealt out as pairs of tiles.
 TILE = 2048
+#: Parts of the nodes with one fingerprint.
+SALTS = 64
 #: Bits of a set's parities.
 CELLS = 1024
 #: Pairs that are sent on at once.
@@ -142,6 +150,25 @@ def neighbours(crowd: DataFrame, percent: int) -> DataFrame:
     return _ordered(_by_bucket(rows, ["place"], near, "a binary, b binary"))
 
 
+def fingerprint_links(nodes: DataFrame, *, text: str, shingle: int, percent: int, radius: int = 3) -> DataFrame:
+    """(a, b): SimHash's links between nodes (key, n, text); the sizes of their sets allow the similarity. Of nodes with one fingerprint each is linked to the next."""
+    from pyspark.sql import Window
+
+    prints = cut(fingerprints(nodes.select("key", text), text=text, id_col="key", shingle=shingle).join(nodes.select("key", "n"), "key"), "prints")
+    # A row for each part of a fingerprint's nodes and then one for each fingerprint: equal ones, however many, are no one task's.
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    near = Window.partitionBy("fp", "salt").orderBy("n", "key")
+    same = salted.select("key", "n", F.lead("key").over(near).alias("b"), F.lead("n").over(near).alias("m"))
+    heads = cut(salted.groupBy("fp", "salt").agg(F.min(F.struct("key", "n")).alias("x")), "heads")
+    first = cut(heads.groupBy("fp").agg(F.min("x").alias("x")), "reps")
+    over = heads.join(first.select("fp", F.col("x").alias("y")), "fp").select(F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("y.key").alias("b"), F.col("y.n").alias("m"))
+    near = links(first.select("fp"), pigeonhole(64, radius, radius + 2), radius)
+    x, y = (first.select(F.col("fp").alias(k), F.col("x.key").alias(f"{k}k"), F.col("x.n").alias(f"{k}n")) for k in "ab")
+    far = near.join(x, "a").join(y, "b").select(F.col("ak").alias("key"), F.col("an").alias("n"), F.col("bk").alias("b"), F.col("bn").alias("m"))
+    found = same.unionByName(over).unionByName(far).filter(F.col("b").isNotNull() & (F.col("key") != F.col("b")))
+    return _ordered(found.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("key").alias("a"), "b"))
+
+
 def across(crowd: DataFrame, size: int, sets: DataFrame, percent: int, tile: int) -> DataFrame:
     """(a, b): all pairs of each bucket (``size`` rows in all) that are of different roots; the sizes and parities of their sets allow the similarity."""
 
@@ -197,9 +224,11 @@ def near_copies(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", sh
     own = cut(sketches(df, text=text, shingle=shingle), "sketches")
     nodes = own.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     crowd = cut(crowds(nodes), "crowds")
-    sets = own.select("key", text).join(crowd.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    linked = cut(fingerprint_links(own.select("key", "n", text).dropDuplicates(["key"]), text=text, shingle=shingle, percent=percent), "linked")
+    met = crowd.select("key").union(linked.select("a")).union(linked.select("b")).distinct()
+    sets = own.select("key", text).join(met, "key", "left_semi").dropDuplicates(["key"])
     sets = cut(shingle_sets(sets, text=text, shingle=shingle), "sets")
-    first = cut(similar(neighbours(crowd, percent), sets, percent), "first")
+    first = cut(similar(linked.union(neighbours(crowd, percent)).distinct(), sets, percent), "first")
     roots = cut(connected_components(first, "a", "b"), "roots", rows=2 * first.count())
     rooted = crowd.join(roots, F.col("key") == F.col("node"), "left").select("g", "key", "n", F.coalesce("root", "key").alias("root"))
     size = crowd.count()

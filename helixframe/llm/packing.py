@@ -86,16 +86,14 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     whole: list[Tokenizer] = []
 
     def parts_of(w: str) -> list[str]:
-        if w.isalpha():
-            return [w]
         if w[-1] in ",." and w[:-1].isalpha():
             return [w[:-1], w[-1]]
         return cut_word(w)
 
-    def keep(word: str, ids: bytes) -> None:
+    def keep(words: list[str], ids: list[bytes]) -> None:
         nonlocal held
-        known[word] = ids
-        held += len(word) + len(ids) + ENTRY
+        known.update(zip(words, ids, strict=True))
+        held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * len(words)
 
     def ask(new: list[str]) -> None:
         lines = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
@@ -105,12 +103,14 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
             raise ValueError("the tokenizer's words don't end where its white space is")
         raw = ids.tobytes()
         stop = (4 * stop).tolist()
-        for p, a, b in zip(new, [0, *stop[:-1]], stop, strict=True):
-            keep(p, raw[a:b])
+        keep(new, [raw[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)])
 
     def learn(words: set[str]) -> None:
-        cut_up = {w: parts_of(w) for w in words}
-        new = list({p for parts in cut_up.values() for p in parts if p not in known})
+        """``words``: none of them known. Those of letters only are parts themselves, and most."""
+        new = list(filter(str.isalpha, words))
+        cut_up = {w: parts_of(w) for w in words if not w.isalpha()}
+        more = {p for parts in cut_up.values() for p in parts}
+        new += [p for p in more if p not in known and not (p in words and p.isalpha())]
         size, first = 0, 0
         for i, p in enumerate(new):
             size += len(p)
@@ -119,9 +119,8 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
                 size, first = 0, i + 1
         if first < len(new):
             ask(new[first:])
-        for w, parts in cut_up.items():
-            if len(parts) > 1:
-                keep(w, b"".join([known[p] for p in parts]))
+        several = [(w, parts) for w, parts in cut_up.items() if len(parts) > 1]
+        keep([w for w, _ in several], [b"".join(map(known.__getitem__, parts)) for _, parts in several])
 
     def look_up(group: list[list[str]]) -> None:
         """Every word of the group is known then."""

@@ -67,7 +67,7 @@ def test_little_is_exchanged(spark):
     """Less than 60 bytes a read, with its result's id: texts were sent twice before, and their nodes once more."""
     rng = random.Random(9)
     rows = [(f"d{i // 50}p{i % 50}_{1 + i % 2}", "".join(rng.choices("ACGT", k=36))) for i in range(20_000)]
-    df = spark.createDataFrame(rows, "read_id string, seq string").repartition(1).cache()
+    df = spark.createDataFrame(rows, "read_id string, seq string").repartition(3).cache()
     assert df.count() == 20_000
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
